@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import decontaminate, line_dedup
 
 LLM_QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op8_line_dedup": line_dedup.op8_line_dedup,
 }
 LLM_SQL = {
+    "op1_decontaminate": decontaminate.OP1_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
 }

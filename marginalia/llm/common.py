@@ -66,3 +66,33 @@ def rows_of(batches: Iterator, *names: str) -> Iterator[tuple]:
     """For each Arrow batch, its columns as Python lists."""
     for b in batches:
         yield tuple(b.column(b.schema.get_field_index(n)).to_pylist() for n in names)
+
+
+def add_columns(df: DataFrame, make, fields, keep: list[str] | None = None, needs: tuple[str, ...] = ("text",)) -> DataFrame:
+    """``df`` with columns computed by Arrow batches in Python, without a shuffle.
+
+    ``make()`` runs once per task and returns a function from a record batch (with the columns
+    of ``needs``) to one array per field of ``fields``. ``keep`` names the input columns that
+    are carried along (all by default); one named like a new field is replaced by it.
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    keep = [c for c in (df.columns if keep is None else keep) if c not in fields.names]
+    schema = T.StructType([df.schema[c] for c in keep] + fields.fields)
+    names = schema.names
+
+    def run(batches):
+        f = make()
+        for b in batches:
+            old = [b.column(b.schema.get_field_index(c)) for c in keep]
+            yield pa.RecordBatch.from_arrays(old + list(f(b)), names=names)
+
+    return df.select(*dict.fromkeys([*keep, *needs])).mapInArrow(run, schema)
+
+
+def utf8_of(batch, name: str = "text") -> list[bytes | None]:
+    """A string column's UTF-8 bytes, without decoding."""
+    import pyarrow as pa
+
+    return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
