@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup
+from . import decontaminate, line_dedup, ppm_langid, quality_cnn
 
 LLM_QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op5_quality_cnn": quality_cnn.op5_quality_cnn,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_ppm_langid": ppm_langid.op9_ppm_langid,
 }
 LLM_SQL = {
     "op1_decontaminate": decontaminate.OP1_SQL,
