@@ -179,7 +179,7 @@ def score_quality(docs: DataFrame, model: Cnn, cut: float = CUT, keep: list[str]
     """``docs`` with score and predicted (1 where the score reaches ``cut``)."""
     prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    fields = T.StructType().add("score", "double").add("predicted", "int")
+    fields = T.StructType().add("score", "double").add("predicted", T.IntegerType())
 
     def make():
         model = sent.value
