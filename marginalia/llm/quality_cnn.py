@@ -156,21 +156,27 @@ def pieces(text: bytes, size: int = TRAIN_BYTES, piece: int = 512) -> bytes:
     return b"".join(text[i : i + piece] for i in np.linspace(0, len(text) - piece, size // piece).astype(int))
 
 
-def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, steps: int = STEPS) -> Cnn:
-    """Train on ``labelled`` (doc_id, text, quality)."""
-    rows = labelled.where(F.col("quality").isin(0, 1))
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, steps: int = STEPS) -> Cnn:
+    """Train on the texts of ``docs`` that ``labels`` (doc_id, quality) marks.
+
+    The sample is chosen among the labels, without their texts: at most ``2 * train_rows`` ids,
+    a bound that makes them fit to broadcast, so texts are never shuffled.
+    """
+    rows = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n = {r.quality: r.n for r in rows.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     model = Cnn()
     if min(n.get(0, 0), n.get(1, 0)) == 0:
         model.constant = (n.get(1, 0) + 1) / (sum(n.values()) + 2)
         return model
     w = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= train_rows).select("quality", "text")
-    texts, labels = [], []
-    for r in sample.toLocalIterator():
-        texts.append(pieces((r.text or "").encode()))
-        labels.append(r.quality)
-    model.train(texts, labels, steps)
+    ids = rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= train_rows).select("doc_id", "quality").collect()
+    ids = docs.sparkSession.createDataFrame(ids, rows.schema)
+    texts = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "quality", "text").dropDuplicates(["doc_id"])
+    found = sorted((r.doc_id, r.quality, pieces((r.text or "").encode())) for r in texts.toLocalIterator())
+    if len({q for _, q, _ in found}) < 2:
+        model.constant = (n[1] + 1) / (n[0] + n[1] + 2)
+        return model
+    model.train([t for _, _, t in found], [q for _, q, _ in found], steps)
     model.shift = float(np.log(n[1] / n[0]))
     return model
 
@@ -197,14 +203,7 @@ def held_out():
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def learnable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled texts that may be learned from; the labels' side of the join is the small one."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return docs.join(labels, "doc_id").where(~held_out())
-
-
 def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out())
-    model = fit(learnable(spark, sf_dir))
+    model = fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
     return score_quality(docs, model, keep=["doc_id", "held_out"]).select("doc_id", "held_out", "score", "predicted")
