@@ -34,9 +34,13 @@ ORDER, TRAIN_DOCS, TRAIN_BYTES, PIECE = 3, 400, 4096, 512
 
 
 def sample_of(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """The bounded training sample; the window is limited per task before it is shuffled."""
+    """The bounded training sample: ``train_docs`` ids of each language are chosen without
+    their texts, and so few ids are fit to broadcast, so texts are never shuffled."""
+    docs = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    return docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= train_docs).select("doc_id", "text", "lang")
+    ids = docs.select("doc_id", "lang").withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= train_docs).select("doc_id", "lang")
+    ids = docs.sparkSession.createDataFrame(ids.collect(), ids.schema)
+    return docs.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "text", "lang").dropDuplicates(["doc_id", "lang"])
 
 
 def pieces(text: bytes, size: int = TRAIN_BYTES, piece: int = PIECE) -> list[bytes]:
