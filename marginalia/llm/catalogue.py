@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, packing, ppm_langid, quality_cnn, secrets
+from . import decontaminate, line_dedup, packing, ppm_langid, quality_cnn, secrets, warc
 
 LLM_QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op5_quality_cnn": quality_cnn.op5_quality_cnn,
+    "op7_warc_revisits": warc.op7_warc_revisits,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_ppm_langid": ppm_langid.op9_ppm_langid,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
 LLM_SQL = {
     "op1_decontaminate": decontaminate.OP1_SQL,
+    "op7_warc_revisits": warc.OP7_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
 }
