@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, packing, ppm_langid, quality_cnn, secrets, warc
+from . import decontaminate, line_dedup, packing, parity_join, ppm_langid, quality_cnn, secrets, warc
 
 LLM_QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op5_quality_cnn": quality_cnn.op5_quality_cnn,
+    "op6_parity_join": parity_join.op6_parity_join,
     "op7_warc_revisits": warc.op7_warc_revisits,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_ppm_langid": ppm_langid.op9_ppm_langid,
@@ -15,6 +16,7 @@ LLM_QUERIES = {
 }
 LLM_SQL = {
     "op1_decontaminate": decontaminate.OP1_SQL,
+    "op6_parity_join": parity_join.OP6_SQL,
     "op7_warc_revisits": warc.OP7_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
 }
