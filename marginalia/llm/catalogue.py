@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, packing, parity_join, ppm_langid, quality_cnn, secrets, warc
+from . import decontaminate, forest, line_dedup, packing, parity_join, ppm_langid, quality_cnn, secrets, warc
 
 LLM_QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_prefix_forest": forest.op2_prefix_forest,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op5_quality_cnn": quality_cnn.op5_quality_cnn,
     "op6_parity_join": parity_join.op6_parity_join,
