@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, forest, line_dedup, packing, parity_join, ppm_langid, quality_cnn, secrets, warc
+from . import decontaminate, forest, line_dedup, packing, parity_join, ppm_langid, quality_cnn, secrets, tool_calls, warc
 
 LLM_QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_prefix_forest": forest.op2_prefix_forest,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_tool_calls": tool_calls.op4_tool_calls,
     "op5_quality_cnn": quality_cnn.op5_quality_cnn,
     "op6_parity_join": parity_join.op6_parity_join,
     "op7_warc_revisits": warc.op7_warc_revisits,
@@ -17,6 +18,7 @@ LLM_QUERIES = {
 }
 LLM_SQL = {
     "op1_decontaminate": decontaminate.OP1_SQL,
+    "op4_tool_calls": tool_calls.OP4_SQL,
     "op6_parity_join": parity_join.OP6_SQL,
     "op7_warc_revisits": warc.OP7_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
