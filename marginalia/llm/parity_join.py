@@ -12,11 +12,13 @@ blocks that differ (the Hamming distance of the sketches) is at most d: of any d
 blocks one is equal in both (pigeonhole). Each class sends its d + 1 rarest blocks; rarity is
 one order for all, from a fixed-size table of counts of all shingles of the corpus, so passages
 that many documents share come last. It cannot lose a pair: the blocks that two classes share
-are at least max(blocks) - d, and prefixes of length d + 1 of one order meet. A class with
-fewer than d + 1 non-empty blocks would void this; if there is any, the pass is repeated with
-more blocks. Blocks are equi-joined by a shuffle of packed arrays.
+are at least max(blocks) - d, and prefixes of length d + 1 of one order meet. Prefixes of
+length d + ``SHARED`` even meet in ``SHARED`` blocks (or in all that must be shared, where
+that is less), which rules out most chance hits for a few more blocks. A class with fewer
+than d + 1 non-empty blocks would void this; if there is any, the pass is repeated with more
+blocks. Blocks are equi-joined by a shuffle of packed arrays.
 
-Candidates. A block shared by at most ``SMALL`` classes gives its pairs (a constant bound);
+Candidates. A block shared by at most ``SMALL`` classes counts for its pairs (a constant bound);
 one shared by more only ties its classes into a cluster, by a star. Clusters are dealt into
 squares of at most ``SQUARE`` x ``SQUARE`` classes; each class is sent once per row of
 squares, and a square returns links that span what it found, never all pairs. Blocks that
@@ -51,6 +53,7 @@ SMALL, SQUARE = 8, 256
 COUNTERS, CHUNK = 1 << 20, 1 << 14
 FLUSH, PER_BUCKET, OFTEN = 2_000_000, 1_500_000, 256
 SPREAD, LEAST_BLOCKS, SIZE_STEPS = 16, 1 << 14, 6
+SHARED = 6
 
 
 def linked(inter: int, a: int, b: int) -> bool:
@@ -132,10 +135,10 @@ def counted(partial: DataFrame) -> np.ndarray:
 # --- pass 2: blocks and candidates --------------------------------------------------------
 
 
-def blocks_of(s: np.ndarray, counts: np.ndarray, spread: int) -> tuple[list[np.ndarray], bool]:
-    """The d + 1 rarest blocks of a set in each band that it takes part in, as 64-bit tokens;
-    whether a band had fewer than that."""
-    n, out, poor = len(s), [], False
+def blocks_of(s: np.ndarray, counts: np.ndarray, spread: int) -> list[tuple[np.ndarray, int]]:
+    """The d + ``SHARED`` rarest blocks of a set in each band that it takes part in, as 64-bit
+    tokens, and how many of them a linked set must share; below 1 if a band had too few."""
+    n, out = len(s), []
     rare = counts[_cell(s)]
     largest = n * 100 // PERCENT
     for f in [band(n)] + [band(n) + 1] * (band(largest) > band(n)):
@@ -146,9 +149,8 @@ def blocks_of(s: np.ndarray, counts: np.ndarray, spread: int) -> tuple[list[np.n
         first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
         token = mix(np.bitwise_xor.reduceat(s[order], first) + np.uint64(f * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
         count = np.maximum.reduceat(rare[order], first)
-        poor |= len(token) < d + 1
-        out.append(token[np.lexsort((token, count))[: d + 1]])
-    return out, poor
+        out.append((token[np.lexsort((token, count))[: d + SHARED]], min(SHARED, len(token) - d)))
+    return out
 
 
 def candidates(docs: DataFrame, counts: np.ndarray, total: int, k: int, spread: int = SPREAD) -> DataFrame:
@@ -157,10 +159,10 @@ def candidates(docs: DataFrame, counts: np.ndarray, total: int, k: int, spread:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PER_BUCKET))
     sent = spark.sparkContext.broadcast(counts)
 
-    def pack(tokens, fps, sizes, ties):
+    def pack(tokens, fps, sizes, needs, ties):
         """One row per bucket: its classes, how many tokens each has there, and the tokens."""
         t, doc = np.concatenate(tokens), np.repeat(np.arange(len(fps)), [len(x) for x in tokens])
-        fp, size = np.array(fps, np.int64), np.array(sizes, np.uint8)
+        fp, size, need = np.array(fps, np.int64), np.array(sizes, np.uint8), np.array(needs, np.uint8)
         # blocks that occur very often here: only their first class travels on, marked by size 0
         order = np.argsort(t, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], t[order][1:] != t[order][:-1]]))
@@ -179,6 +181,7 @@ def candidates(docs: DataFrame, counts: np.ndarray, total: int, k: int, spread:
             fp = np.concatenate([fp, np.array([x for _, x in marked], np.int64)])
             doc = np.concatenate([doc, np.arange(len(size), len(size) + len(marked))])
             size = np.concatenate([size, np.zeros(len(marked), np.uint8)])
+            need = np.concatenate([need, np.ones(len(marked), np.uint8)])
             t = np.concatenate([t, np.array([x for x, _ in marked], np.uint64)])
         bucket = (t % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((doc, bucket))
@@ -188,18 +191,18 @@ def candidates(docs: DataFrame, counts: np.ndarray, total: int, k: int, spread:
         for a, b in zip(start, np.append(start[1:], len(t))):
             own, n = np.unique(doc[a:b], return_counts=True)
             part = t[a:b]
-            rows.append((int(bucket[a]), b"".join([np.int64(len(own)).tobytes(), fp[own].tobytes(), size[own].tobytes(), n.astype(np.uint32).tobytes(), part.astype(np.uint32).tobytes(), (part >> np.uint64(32)).astype(np.uint8).tobytes()])))
+            rows.append((int(bucket[a]), b"".join([np.int64(len(own)).tobytes(), fp[own].tobytes(), size[own].tobytes(), need[own].tobytes(), n.astype(np.uint32).tobytes(), part.astype(np.uint32).tobytes(), (part >> np.uint64(32)).astype(np.uint8).tobytes()])))
         return rows
 
     def emit(batches):
         counts = sent.value
-        seen, tokens, fps, sizes, ties, n, poor = set(), [], [], [], [], 0, 0
+        seen, tokens, fps, sizes, needs, ties, n, poor = set(), [], [], [], [], [], 0, 0
 
         def flush():
-            rows = pack(tokens, fps, sizes, ties) if tokens else []
+            rows = pack(tokens, fps, sizes, needs, ties) if tokens else []
             for x in ties:
                 rows.append((-1 - int(x[0, 0]) % buckets, x.tobytes()))
-            for a in (tokens, fps, sizes, ties):
+            for a in (tokens, fps, sizes, needs, ties):
                 a.clear()
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "data"])
 
@@ -213,10 +216,10 @@ def candidates(docs: DataFrame, counts: np.ndarray, total: int, k: int, spread:
                     continue
                 if len(seen) < 1_000_000:  # equal sets of one task are sent once; the rest meet in their bucket
                     seen.add(fp)
-                got, bad = blocks_of(s, counts, spread)
-                poor += bad
-                for x in got:
+                for x, need in blocks_of(s, counts, spread):
+                    poor += need < 1
                     tokens.append(x)
+                    needs.append(max(1, need))
                     fps.append(fp)
                     sizes.append(_size_class(len(s)))
                     n += len(x)
@@ -232,20 +235,21 @@ def candidates(docs: DataFrame, counts: np.ndarray, total: int, k: int, spread:
         for b in batches:
             for bucket, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if bucket == 2**31 - 1:
-                    yield _rows([(2, 0, 0)])
+                    yield _rows([(2, 0, 0, 0, 0)])
                 elif bucket < 0:
                     x = np.frombuffer(data, np.int64).reshape(2, -1)
                     yield _rows_of(1, x[0], x[1])
                 else:
                     held.setdefault(bucket, []).append(data)
-        pairs: set[tuple[int, int]] = set()
+        pairs: dict[tuple[int, int], list[int]] = {}
         for bucket in list(held):
             yield from _join(held.pop(bucket), pairs)
         if pairs:
-            yield _rows([(0, a, b) for a, b in pairs])
+            yield _rows([(0, a, b, c, need) for (a, b), (c, need) in pairs.items()])
 
     dealt = docs.select("text").mapInArrow(emit, "bucket int, data binary").repartition(buckets, "bucket")
-    return materialize(dealt.mapInArrow(meet, "kind int, u long, v long").distinct(), "candidates")
+    met = dealt.mapInArrow(meet, "kind int, u long, v long, c int, need int").groupBy("kind", "u", "v").agg(F.sum("c").alias("c"), F.min("need").alias("need"))
+    return materialize(met.where("kind <> 0 or c >= need").select("kind", "u", "v"), "candidates")
 
 
 def _size_class(n: int) -> int:
@@ -253,30 +257,36 @@ def _size_class(n: int) -> int:
     return min(255, 1 + int(np.log(n) * 20))
 
 
+_PAIR = pa.schema([("kind", pa.int32()), ("u", pa.int64()), ("v", pa.int64()), ("c", pa.int32()), ("need", pa.int32())])
+
+
 def _rows(rows):
-    cols = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["kind", "u", "v"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PAIR.types)], schema=_PAIR)
 
 
 def _rows_of(kind: int, u: np.ndarray, v: np.ndarray):
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int32)), pa.array(u), pa.array(v)], names=["kind", "u", "v"])
+    same = [pa.array(np.full(len(u), x, np.int32)) for x in (kind, 0, 0)]
+    return pa.RecordBatch.from_arrays([same[0], pa.array(u), pa.array(v), *same[1:]], schema=_PAIR)
 
 
-def _join(parts: list[bytes], pairs: set):
-    """The equal blocks of one bucket: small groups into ``pairs``, the ties of others yielded."""
-    fps, sizes, tokens = [], [], []
+def _join(parts: list[bytes], pairs: dict):
+    """The equal blocks of one bucket: small groups into ``pairs`` with the number of blocks
+    they share and must share, the ties of others yielded."""
+    fps, sizes, needs, tokens = [], [], [], []
     for data in parts:
         m = int(np.frombuffer(data, np.int64, 1)[0])
         fp = np.frombuffer(data, np.int64, m, 8)
         size = np.frombuffer(data, np.uint8, m, 8 + 8 * m)
-        n = np.frombuffer(data, np.uint32, m, 8 + 9 * m).astype(np.int64)
-        total, at = int(n.sum()), 8 + 13 * m
+        need = np.frombuffer(data, np.uint8, m, 8 + 9 * m)
+        n = np.frombuffer(data[8 + 10 * m : 8 + 14 * m], np.uint32).astype(np.int64)
+        total, at = int(n.sum()), 8 + 14 * m
         lo = np.frombuffer(data[at : at + 4 * total], np.uint32).astype(np.uint64)
         hi = np.frombuffer(data, np.uint8, total, at + 4 * total).astype(np.uint64)
         fps.append(np.repeat(fp, n))
         sizes.append(np.repeat(size, n))
+        needs.append(np.repeat(need, n))
         tokens.append(lo | hi << np.uint64(32))
-    fp, size, token = np.concatenate(fps), np.concatenate(sizes), np.concatenate(tokens)
+    fp, size, need, token = (np.concatenate(x) for x in (fps, sizes, needs, tokens))
     order = np.argsort(token, kind="stable")
     t = token[order]
     first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
@@ -284,16 +294,22 @@ def _join(parts: list[bytes], pairs: set):
     ties: set[tuple[int, int]] = set()
     for a, n in zip(first[length > 1].tolist(), length[length > 1].tolist()):
         own = order[a : a + n]
-        group = dict(zip(fp[own].tolist(), size[own].tolist()))  # equal sets of several tasks are one class
+        group = dict(zip(fp[own].tolist(), zip(size[own].tolist(), need[own].tolist())))  # equal sets of several tasks are one class
         if len(group) < 2:
             continue
         ids = sorted(group)
-        if len(ids) > SMALL or 0 in group.values():
+        if len(ids) > SMALL or any(not size for size, _ in group.values()):
             ties.update((ids[0], x) for x in ids[1:])
-        else:
-            pairs.update((x, y) for i, x in enumerate(ids) for y in ids[i + 1 :] if abs(group[x] - group[y]) <= SIZE_STEPS)
+            continue
+        for i, x in enumerate(ids):
+            for y in ids[i + 1 :]:
+                if abs(group[x][0] - group[y][0]) <= SIZE_STEPS:
+                    least = min(group[x][1], group[y][1])
+                    c = pairs.setdefault((x, y), [0, least])
+                    c[0] += 1
+                    c[1] = min(c[1], least)
     if ties:
-        yield _rows([(1, a, b) for a, b in ties])
+        yield _rows([(1, a, b, 0, 0) for a, b in ties])
 
 
 # --- verification -------------------------------------------------------------------------
@@ -342,7 +358,7 @@ def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> D
 
     own = docs.select("doc_id", "text").join(first.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
     sets = own.mapInArrow(run, "fp long, n long, sketch binary, hashes binary")
-    return materialize(sets.dropDuplicates(["fp"]), "sets")
+    return materialize(sets, "sets")  # a class may come twice where rows repeat an id; that does no harm
 
 
 def verified_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
