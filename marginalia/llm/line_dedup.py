@@ -48,6 +48,7 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: in
     docs = docs.withColumn("__tag", F.xxhash64("__text"))
     lines = materialize(keyed_lines(docs, max(1, min_chars)), "lines")
     common = lines.groupBy("__h1", "__h2").agg(F.count_distinct("__doc").alias("__n")).where(F.col("__n") >= min_docs)
+    common = materialize(common.select("__h1", "__h2"), "common")  # a join of written tables can be split or broadcast
     gone = (
         lines.join(common, ["__h1", "__h2"], "left_semi")
         .groupBy("__doc", "__tag")
