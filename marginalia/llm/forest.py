@@ -113,7 +113,9 @@ class Forest:
         keys = self.strings(np.concatenate([q, np.zeros((len(q), 1), q.dtype)], 1).astype(np.float32))
         want = candidates(n)
         # the longest prefix whose stretches hold enough; a shorter one holds no fewer
-        a, b = np.zeros(len(q), np.int64), np.full(len(q), BITS, np.int64)
+        # (counted over all trees, so at least want / TREES vectors, over k for any n); a shard
+        # so small that all are wanted is scored whole
+        a, b = np.zeros(len(q), np.int64), np.full(len(q), BITS if want < n else 0, np.int64)
         while (a < b).any():
             mid = (a + b + 1) // 2
             lo, hi = self.stretches(keys, mid)
