@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,13 +36,26 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
 
 
+def scratch_base(spark: SparkSession) -> str | None:
+    """The shared folder that the session names for checkpoints, if it names one."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and (own := sc._jsc.sc().getCheckpointDir()).isDefined():
+        named = own.get()
+    return named.rstrip("/") if named else None
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh path under ``spark.checkpoint.dir``; only where that is unset, a local one is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh path in the shared folder. A local one is made only in local mode."""
+    base = scratch_base(spark)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="marginalia-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="marginalia-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/marginalia/{uuid.uuid4().hex}"
+    return f"{base}/marginalia/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
@@ -54,20 +68,13 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete everything that :func:`materialize` has left under the scratch folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if base:
+    """Delete everything that :func:`materialize` has left behind in this application."""
+    if base := scratch_base(spark):
         jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/marginalia")
+        path = jvm.org.apache.hadoop.fs.Path(f"{base}/marginalia/{spark.sparkContext.applicationId}")
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def rows_of(batches: Iterator, *names: str) -> Iterator[tuple]:
-    """For each Arrow batch, its columns as Python lists."""
-    for b in batches:
-        yield tuple(b.column(b.schema.get_field_index(n)).to_pylist() for n in names)
-
-
 def add_columns(df: DataFrame, make, fields, keep: list[str] | None = None, needs: tuple[str, ...] = ("text",)) -> DataFrame:
     """``df`` with columns computed by Arrow batches in Python, without a shuffle.
 
