@@ -1,7 +1,7 @@
 """Secret scans with a recursive decoding worklist.
 
 Base spans come from three patterns over the whole text. Then every encoded stretch of a
-layer (URL escapes, ``\\uXXXX`` escapes, base64, and gzip/zlib/bzip2/xz inside it) is unwrapped
+layer (URL escapes, ``\\uXXXX`` and ``\\xXX`` escapes, base64, and gzip/zlib/bzip2/xz inside it) is unwrapped
 into a new layer, which is scanned and unwrapped in turn, until nothing new appears. A layer
 with the same bytes from the same place is not entered again, so cycles end; decoded layers
 shrink, and the sum of what one document may unwrap is bounded by
@@ -17,7 +17,6 @@ Input columns named like an output column are replaced.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -43,9 +42,10 @@ WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _HEX = bytes(120 if 48 <= b <= 57 or 97 <= b <= 102 else 32 for b in range(256))
 _B64 = bytes(120 if chr(b).isalnum() and b < 128 or b in b"+/-_=" else 32 for b in range(256))
 URL = re.compile(rb"%[0-9A-Fa-f]{2}")
-UNI = re.compile(rb"\\u[0-9A-Fa-f]{4}(?:\\u[0-9A-Fa-f]{4})*")
+UNI = re.compile(rb"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
+UNIT = re.compile(rb"\\[ux]([0-9A-Fa-f]+)")
 B64 = re.compile(rb"[A-Za-z0-9+/_-]+={0,2}")
-RUN = 24
+RUN = 16  # the shortest assignment found, of 12 bytes, has 16 characters in base64
 MAX_UNWRAPPED = 64 << 20
 
 
@@ -134,15 +134,15 @@ def unwrap(layer: Layer, most: int):
     data = layer.data
     if b"%" in data and (found := list(URL.finditer(data))):
         yield layer.spliced([(m.start(), m.end(), bytes([int(m.group()[1:], 16)])) for m in found])
-    if b"\\u" in data and (found := list(UNI.finditer(data))):
+    if (b"\\u" in data or b"\\x" in data) and (found := list(UNI.finditer(data))):
         parts = []
         for m in found:
-            units = binascii.unhexlify(m.group().replace(b"\\u", b""))
-            new = units.decode("utf-16-be", "surrogatepass").encode("utf-8", "replace")
-            if len(units) == len(new) * 2:  # ASCII: one escape for one byte
-                parts += [(m.start() + 6 * i, m.start() + 6 * i + 6, new[i : i + 1]) for i in range(len(new))]
+            units = [(u.start(), u.end(), int(u[1], 16)) for u in UNIT.finditer(data, m.start(), m.end())]
+            if all(x < 128 for _, _, x in units):  # one escape for one byte
+                parts += [(a, b, bytes([x])) for a, b, x in units]
             else:
-                parts.append((m.start(), m.end(), new))
+                text = "".join(chr(x) for _, _, x in units).encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+                parts.append((m.start(), m.end(), text.encode()))
         yield layer.spliced(parts)
     for a, b in runs(data, _B64, RUN):
         for m in B64.finditer(data, a, b):
@@ -164,7 +164,7 @@ def find(text: bytes, max_unwrapped: int = MAX_UNWRAPPED) -> tuple[list, list]:
     order = {k: i for i, k in enumerate(KINDS)}
     base = sorted((a, order[k], b) for k, a, b in scan(text))
     spans = set(base)
-    if not (b"%" in text or b"\\u" in text or runs(text, _B64, RUN)):
+    if not (b"%" in text or b"\\u" in text or b"\\x" in text or runs(text, _B64, RUN)):
         return base, base
     # a layer is known by what it holds and where it stands: the same secret may be hidden twice
     seen, work, left = {(hashlib.sha1(text).digest(), 0, len(text))}, deque([Layer(text)]), max_unwrapped

@@ -463,6 +463,9 @@ def test_secrets_in_layers():
     show = lambda t: secrets.shown(secrets.in_code_points(t.encode(), secrets.find(t.encode())[1]))
     assert show("é " + urllib.parse.quote(s) + " z") == f"assign:2:{2 + len(urllib.parse.quote(s))}"
     assert show("漢" + uni) == f"assign:1:{1 + len(uni)}"
+    assert show("q" + "".join(f"\\x{b:02x}" for b in s.encode())) == f"assign:1:{1 + 4 * len(s)}"
+    assert show(b64("token=abcdef")) == "assign:0:16"
+    assert show("\\ud83d\\ude00" + uni) == f"assign:0:{12 + len(uni)}"
     for inner in (b64(s), b64(gzip.compress(s.encode())), b64(zlib.compress(s.encode())), b64(b64(s)), b64("pre " + uni), b64("p " + urllib.parse.quote(b64(s)))):
         assert show(f"a {inner} b {inner}") == f"assign:2:{2 + len(inner)},assign:{5 + len(inner)}:{5 + 2 * len(inner)}"
     assert show("nothing " + b64("only a plain sentence here")) == ""
