@@ -18,8 +18,7 @@ def lines(c: Column) -> Column:
 
 def contains_ci(c: Column, query: str | Column) -> Column:
     """Literal, case-insensitive substring; an empty query is in everything."""
-    q = F.lit(query.lower()) if isinstance(query, str) else F.lower(query)
-    return F.contains(F.lower(c), q)
+    return F.contains(F.lower(c), F.lower(F.lit(query) if isinstance(query, str) else query))
 
 
 #: Two-character escapes and what they stand for.
