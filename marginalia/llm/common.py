@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Folder that holds the top-level package; workers on this host import it from here.
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -67,6 +68,16 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids that may be broadcast: 8 MB.
+FEW = 1_000_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """A written table of ids, marked for a broadcast if it is known to be small; a larger one
+    is left to an ordinary join."""
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete everything that :func:`materialize` has left behind in this application."""
     if base := scratch_base(spark):

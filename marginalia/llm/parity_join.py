@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare, table, utf8_of
+from .common import few, materialize, prepare, table, utf8_of
 from .components import components
 from .shingles import common, mix, shingle_set
 
@@ -356,7 +356,7 @@ def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> D
             cols = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["fp", "n", "sketch", "hashes"])
 
-    own = docs.select("doc_id", "text").join(first.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+    own = docs.select("doc_id", "text").join(few(first.withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi")
     sets = own.mapInArrow(run, "fp long, n long, sketch binary, hashes binary")
     return materialize(sets, "sets")  # a class may come twice where rows repeat an id; that does no harm
 
