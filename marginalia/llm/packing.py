@@ -65,41 +65,42 @@ class Encoder:
     differ on what white space is, or that hold the text of a special token, are encoded whole.
     """
 
-    MOST = 800_000  # cached chunks, and cached words, in a worker
+    MOST = 400_000  # cached chunks in a worker, about 100 MB
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
         self.special = "\x1c\x1d\x1e\x1f"
 
     def raw(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn_words(self, new: list[str]) -> None:
+    def learn_words(self, new: set[str]) -> None:
         """Words as the tokenizer's model sees them: a visible character for each UTF-8 byte."""
         model, pack = self.tok.model, struct.pack
         for w in new:
             seen = w if w.isascii() and w.isalnum() else w.encode().decode("latin-1").translate(VISIBLE)
             ids = [t.id for t in model.tokenize(seen)]
-            self.words[w] = pack(f"<{len(ids)}I", *ids)
+            self.cache[w] = pack(f"<{len(ids)}I", *ids)
 
     def learn(self, new: set[str]) -> None:
-        if len(self.cache) + len(new) > self.MOST:
-            self.cache.clear()
-        if len(self.words) > self.MOST:
-            self.words.clear()
-        latin, cache, words = [], self.cache, self.words
+        """A word is a chunk too, so words and chunks share the cache."""
+        cache = self.cache
+        if len(cache) + len(new) > self.MOST:
+            cache.clear()
+        latin = []
         for w in new:
             if w.isascii() or max(w) <= "\xff":
                 latin.append((w, LATIN_WORDS.findall(w.lower())))
             else:
                 cache[w] = self.raw(w)
-        self.learn_words(list({x for _, parts in latin for x in parts if x not in words}))
-        get = words.__getitem__
-        cache.update((w, b"".join(map(get, parts))) for w, parts in latin)
+        self.learn_words({x for _, parts in latin for x in parts if x not in cache})
+        get = cache.__getitem__
+        for w, parts in latin:
+            if w not in cache:
+                cache[w] = b"".join(map(get, parts))
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_many([text])[0]
