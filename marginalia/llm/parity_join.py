@@ -46,12 +46,12 @@ from pyspark.sql import functions as F
 
 from .common import few, materialize, prepare, table, utf8_of
 from .components import components
-from .shingles import common, mix, shingle_set
+from .shingles import common, forget, mix, shingle_set
 
 SHINGLE, PERCENT = 5, 75
 SMALL, SQUARE = 8, 256
 COUNTERS, CHUNK = 1 << 20, 1 << 14
-FLUSH, PER_BUCKET, OFTEN = 2_000_000, 1_500_000, 256
+FLUSH, PER_BUCKET, OFTEN = 1_000_000, 1_500_000, 256
 SPREAD, LEAST_BLOCKS, SIZE_STEPS = 16, 1 << 14, 6
 SHARED = 6
 
@@ -93,6 +93,7 @@ def survey(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
             n = len(rows)
             cols = list(zip(*rows)) or [()] * 3
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")).cast(pa.int64()), *(pa.array(c, pa.int64()) for c in cols), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+        forget()
         used = [(i, zlib.compress(c.astype(np.uint32).tobytes(), 1)) for i in range(COUNTERS // CHUNK) if (c := counts[i * CHUNK : (i + 1) * CHUNK]).any()]
         n = len(used)
         yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64())] * 4 + [pa.array([i for i, _ in used], pa.int32()), pa.array([c for _, c in used], pa.binary())], names=names)
@@ -227,6 +228,7 @@ def candidates(docs: DataFrame, counts: np.ndarray, total: int, k: int, spread:
                     yield flush()
                     n = 0
         yield flush()
+        forget()
         if poor:
             yield pa.RecordBatch.from_arrays([pa.array([2**31 - 1], pa.int32()), pa.array([b""], pa.binary())], names=["bucket", "data"])
 
@@ -355,6 +357,7 @@ def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> D
                     rows.append((_signed(xxhash.xxh3_64_intdigest(raw)), len(s), parity(s), raw))
             cols = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["fp", "n", "sketch", "hashes"])
+        forget()
 
     own = docs.select("doc_id", "text").join(few(first.withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi")
     sets = own.mapInArrow(run, "fp long, n long, sketch binary, hashes binary")

@@ -25,6 +25,11 @@ class WordHashes(dict):
 _WORDS = WordHashes()
 
 
+def forget() -> None:
+    """Give the memory of the words' hashes back, at the end of a task."""
+    _WORDS.clear()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = h ^ (h >> np.uint64(32))
