@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import with_md
-from .links import rewritten
+from ..functions.paths import is_rewritable, with_md
+from .links import base_name, replace_all, replacements, rewritten
 
 
 def with_content(notes: DataFrame, path: str, content: str) -> DataFrame:
@@ -23,9 +23,8 @@ def moved(notes: DataFrame, old: str, new: str) -> DataFrame:
     """After a move: the path changes, and the links to it in all notes."""
     path = F.when(F.col("path") == with_md(old), F.lit(with_md(new))).otherwise(F.col("path"))
     after = notes.withColumn("path", path)
-    from .links import is_rewritable, replace_all, replacements
-
-    content = F.when(is_rewritable(F.col("path")), replace_all(F.col("content"), replacements(old, new))).otherwise(F.col("content"))
+    own = is_rewritable(F.col("path")) & F.contains("content", F.lit(base_name(old)))
+    content = F.when(own, replace_all(F.col("content"), replacements(old, new))).otherwise(F.col("content"))
     return after.withColumn("content", content)
 
 

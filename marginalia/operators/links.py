@@ -40,13 +40,19 @@ def replacements(old: str, new: str) -> dict[str, str]:
     return out
 
 
+def base_name(note: str) -> str:
+    """A note's base name. Every text that links to the note holds it, so one test for it
+    drops most notes before anything dearer is done."""
+    return without_md(note.replace("\\", "/").rsplit("/", 1)[-1])
+
+
 def any_of(c: Column, patterns: list[str]) -> Column:
     return reduce(lambda x, y: x | y, [F.contains(c, F.lit(p)) for p in patterns])
 
 
 def backlinks(notes: DataFrame, note: str) -> DataFrame:
     """Lines of other notes that link to ``note``: (file_path, line_number, match_line, mtime_ns),
-    newest note first. A line counts once. The whole content is checked before it is split.
+    newest note first. A line counts once. The whole content is tested before it is split.
 
     The note itself is left out by the name as given: a bare base name of a note in a folder
     does not match its path, so that note's own lines stay.
@@ -54,8 +60,10 @@ def backlinks(notes: DataFrame, note: str) -> DataFrame:
     name = without_md(note)
     patterns = [p.lower() for p in shapes(name)]
     own = notes.where(is_note(F.col("path")) & (F.col("size") <= BACKLINK_CAP) & (remove_md(slashes(F.col("path"))) != name))
-    hit = own.where(any_of(F.lower("content"), patterns))
-    rows = hit.select("path", "mtime_ns", F.posexplode(lines(F.col("content"))).alias("__pos", "__line")).where(any_of(F.lower("__line"), patterns))
+    base = base_name(name).lower()
+    hit = own.where(F.contains(F.lower("content"), F.lit(base)))
+    rows = hit.select("path", "mtime_ns", F.posexplode(lines(F.col("content"))).alias("__pos", "__line"))
+    rows = rows.where(F.contains(F.lower("__line"), F.lit(base)) & any_of(F.lower("__line"), patterns))
     out = rows.select(F.col("path").alias("file_path"), (F.col("__pos") + 1).alias("line_number"), trim_ws(F.col("__line")).alias("match_line"), "mtime_ns")
     return newest_first(out)
 
@@ -121,7 +129,7 @@ def rewritten(notes: DataFrame, old: str, new: str) -> DataFrame:
     """The notes whose content changes when links to ``old`` become links to ``new``, with
     the new content. Case-sensitive; hidden notes are left alone, notes in hidden folders not."""
     pairs = replacements(old, new)
-    own = notes.where(is_rewritable(F.col("path")) & any_of(F.col("content"), list(pairs)))
+    own = notes.where(is_rewritable(F.col("path")) & F.contains("content", F.lit(base_name(old))))
     out = own.withColumn("__new", replace_all(F.col("content"), pairs)).where(~F.col("__new").eqNullSafe(F.col("content")))
     return out.withColumn("content", F.col("__new")).drop("__new")
 
