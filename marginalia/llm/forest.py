@@ -8,7 +8,7 @@ prefix match, then all trees ascend together, one bit at a time, until the stret
 share the prefix hold ``candidates(n)`` entries; those vectors are scored exactly. Equal
 vectors of a shard are one entry with its ids, so a group of copies takes one place.
 
-Queries are read in blocks of at most ``BLOCK`` and broadcast, and each block searches every
+Queries are read in blocks of about ``BLOCK_BYTES`` and broadcast, and each block searches every
 shard: nothing but each shard's best ``k`` is shuffled, and recall does not depend on the size
 of the table, only on the shard's. ``candidates(n)`` grows as n^0.65, as hashing on
 vectors without structure needs; recall is measured against brute force in the tests.
@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare, table
+from .common import prepare, scratch_dir, table
 
 K, TREES, BITS = 20, 64, 32
-SHARD, BLOCK = 16_384, 16_384
+SHARD, BLOCK_BYTES = 16_384, 16 << 20
 
 
 def candidates(n: int) -> int:
@@ -144,10 +144,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     spark = vectors.sparkSession
     prepare(spark)
     index, queries = usable(vectors), usable(queries)
-    shards = max(1, -(-index.count() // SHARD))
-    index = index.repartition(shards, "vec_id")
-    blocks = max(1, -(-queries.count() // BLOCK))
-    found = None
+    n, widest = index.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    index = index.repartition(max(1, -(-n // SHARD)), "vec_id")
+    blocks = max(1, -(-queries.count() * 4 * (widest or 1) // BLOCK_BYTES))
+    base, schema = scratch_dir(spark), "query_id long, vec_id long, score double"
     for i in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i)
         sent = spark.sparkContext.broadcast(by_length([part.toArrow()]))
@@ -163,9 +163,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             if held:
                 yield from shard(held, sent.value, k)
 
-        one = index.mapInArrow(run, "query_id long, vec_id long, score double")
-        found = one if found is None else found.unionByName(one)
-    found = materialize(found, "found")
+        index.mapInArrow(run, schema).write.parquet(f"{base}/{i}")
+        sent.unpersist()
+    found = spark.read.schema(schema).parquet(*(f"{base}/{i}" for i in range(blocks)))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, steps:
     w = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= train_rows).select("doc_id", "quality").collect()
     ids = docs.sparkSession.createDataFrame(ids, rows.schema)
-    texts = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "quality", "text").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "quality", "text").dropDuplicates(["doc_id"])
     found = sorted((r.doc_id, r.quality, pieces((r.text or "").encode())) for r in texts.toLocalIterator())
     if len({q for _, q, _ in found}) < 2:
         model.constant = (n[1] + 1) / (n[0] + n[1] + 2)
