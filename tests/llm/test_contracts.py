@@ -95,7 +95,7 @@ def test_nearest_small(spark):
 
 def test_recall(spark, monkeypatch):
     monkeypatch.setattr(forest, "SHARD", 4000)
-    monkeypatch.setattr(forest, "BLOCK", 150)
+    monkeypatch.setattr(forest, "BLOCK_BYTES", 150 * 4 * 32)
     r = np.random.default_rng(1)
     x = r.normal(size=(6000, 32)).astype(np.float32) * r.uniform(0.5, 2, size=(6000, 1)).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
@@ -356,8 +356,8 @@ def test_archives(spark, tmp_path):
         last = max((j for j, _, h in pages if (h or "") == (html or "") and j is not None), default=None)
         want.append((i, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), *(("response", None) if i == last else ("revisit", last))))
     same(got, want)
-    (tmp_path / "empty").mkdir()
     warc.write_archives(df.limit(0), str(tmp_path / "none"))
+    assert warc.resolve(warc.read_headers(spark, str(tmp_path / "none"))).count() == 0
 
 
 def test_reading_members_and_plain_files():
@@ -471,3 +471,20 @@ def test_secrets_in_layers():
     assert show("nothing " + b64("only a plain sentence here")) == ""
     bomb = b64(gzip.compress(b"0" * 5_000_000))
     assert [k for _, k, _ in secrets.find(bomb.encode(), 1 << 20)[1]] == [secrets.KINDS.index("bomb")]
+
+
+# all ---------------------------------------------------------------------------------------
+
+
+def test_queries_over_empty_tables(spark, tmp_path):
+    from marginalia.llm.catalogue import LLM_QUERIES
+
+    d = str(tmp_path)
+    schemas = {
+        "documents": "doc_id long, text string, lang string, source string, n_chars long", "embeddings": "vec_id long, embedding array<float>, label int",
+        "pages": "page_id long, url string, html string", "benchmark": "item_id long, text string", "labels": "doc_id long, quality int, toxic int",
+        "conversations": "conv_id long, turn long, role string, text string"}
+    for name, schema in schemas.items():
+        spark.createDataFrame([], schema).write.parquet(f"{d}/{name}.parquet")
+    for name, query in LLM_QUERIES.items():
+        assert query(spark, d).count() == 0, name
