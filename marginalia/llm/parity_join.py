@@ -366,9 +366,9 @@ def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> D
 
 def verified_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The linked ones of ``pairs`` (u, v): sketches are compared first, then sets."""
-    small = sets.select("fp", "n", "sketch")
-    near = pairs.join(small.select(F.col("fp").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su")), "u")
-    near = near.join(small.select(F.col("fp").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv")), "v")
+    side = lambda x, *cols: sets.select(F.col("fp").alias(x), *(F.col(c).alias(c[0] + x) for c in cols))
+    # where pairs are few they are broadcast, and sketches and sets stream past them
+    near = side("u", "n", "sketch").join(few(pairs), "u").join(side("v", "n", "sketch"), "v")
 
     def sift(batches):
         for b in batches:
@@ -377,8 +377,8 @@ def verified_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, y in zip(c, ok) if y], pa.int64()) for c in (u, v)], names=["u", "v"])
 
     near = materialize(near.mapInArrow(sift, "u long, v long"), "near")
-    full = sets.select("fp", "hashes")
-    both = near.join(full.select(F.col("fp").alias("u"), F.col("hashes").alias("hu")), "u").join(full.select(F.col("fp").alias("v"), F.col("hashes").alias("hv")), "v")
+    second = materialize(near.select("v").distinct(), "second")
+    both = side("u", "hashes").join(few(near), "u").join(side("v", "hashes").join(few(second), "v", "left_semi"), "v")
 
     def verify(batches):
         for b in batches:
