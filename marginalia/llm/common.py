@@ -8,8 +8,9 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Folder that holds the top-level package; workers on this host import it from here.
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -78,6 +79,22 @@ def few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= FEW else ids
 
 
+def smallest_hashes(ids: DataFrame, kind: str, most: int) -> DataFrame:
+    """At most ``most`` rows (doc_id, ``kind``) of each kind, those with the smallest hashes.
+
+    The kinds are counted first (they are classes or languages, so few); hashes are uniform,
+    so rows with a hash far above the share that is wanted are dropped before any shuffle, and
+    no task gets more than a few times ``most`` rows of a kind, however large the table.
+    """
+    counts = ids.groupBy(kind).agg(F.count("*").alias("n")).collect()
+    share = [(r[0], min(1.0, (2.0 * most + 100) / r[1])) for r in counts]
+    share = ids.sparkSession.createDataFrame(share, T.StructType([ids.schema[kind], T.StructField("__share", T.DoubleType())]))
+    at = F.xxhash64("doc_id")
+    low = ids.join(F.broadcast(share), kind).where(at / F.lit(2.0**64) + 0.5 < F.col("__share"))
+    w = Window.partitionBy(kind).orderBy(at, "doc_id")
+    return low.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).select("doc_id", kind)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete everything that :func:`materialize` has left behind in this application."""
     if base := scratch_base(spark):
@@ -94,7 +111,6 @@ def add_columns(df: DataFrame, make, fields, keep: list[str] | None = None, need
     are carried along (all by default); one named like a new field is replaced by it.
     """
     import pyarrow as pa
-    from pyspark.sql import types as T
 
     keep = [c for c in (df.columns if keep is None else keep) if c not in fields.names]
     schema = T.StructType([df.schema[c] for c in keep] + fields.fields)

@@ -24,11 +24,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, prepare, table, utf8_of
+from .common import add_columns, prepare, smallest_hashes, table, utf8_of
 
 ORDER, TRAIN_DOCS, TRAIN_BYTES, PIECE = 3, 400, 4096, 512
 
@@ -37,8 +37,7 @@ def sample_of(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """The bounded training sample: ``train_docs`` ids of each language are chosen without
     their texts, and so few ids are fit to broadcast, so texts are never shuffled."""
     docs = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.select("doc_id", "lang").withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= train_docs).select("doc_id", "lang")
+    ids = smallest_hashes(docs.select("doc_id", "lang"), "lang", train_docs)
     ids = docs.sparkSession.createDataFrame(ids.collect(), ids.schema)
     return docs.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "text", "lang").dropDuplicates(["doc_id", "lang"])
 

@@ -20,11 +20,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, prepare, table, utf8_of
+from .common import add_columns, prepare, smallest_hashes, table, utf8_of
 
 TRAIN_ROWS, TRAIN_BYTES, STEPS, BATCH, CUT = 1500, 4096, 700, 48, 0.7
 HALF, GROUP, EMBED, FILTERS, HIDDEN = 128, 4, 8, 24, 16
@@ -168,9 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, steps:
     if min(n.get(0, 0), n.get(1, 0)) == 0:
         model.constant = (n.get(1, 0) + 1) / (sum(n.values()) + 2)
         return model
-    w = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= train_rows).select("doc_id", "quality").collect()
-    ids = docs.sparkSession.createDataFrame(ids, rows.schema)
+    ids = docs.sparkSession.createDataFrame(smallest_hashes(rows, "quality", train_rows).collect(), rows.schema)
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "quality", "text").dropDuplicates(["doc_id"])
     found = sorted((r.doc_id, r.quality, pieces((r.text or "").encode())) for r in texts.toLocalIterator())
     if len({q for _, q, _ in found}) < 2:
