@@ -24,24 +24,33 @@ def snippet(line: Column, query: str, as_bytes: bool = False) -> Column:
     otherwise broken characters at a cut are left out. The three dots in front count as
     context when both ends are cut.
     """
-    m = trim_ws(line)
-    b, size = F.encode(m, "UTF-8"), F.octet_length(m)
-    q = F.lit(query.lower())
-    at = F.octet_length(F.substring_index(F.lower(m), query.lower(), 1)) if query else F.lit(0)
-    start = F.greatest(at - AROUND, F.lit(0))
-    end = F.least(at + len(query.encode()) + AROUND, size)
-    inner = lambda a, n: F.substring(b, a + F.lit(1), n)
-    dots = F.encode(F.lit(DOTS), "UTF-8")
-    front, back = start > 0, end < size
-    cut = F.when(~F.contains(F.lower(m), q), inner(F.lit(0), F.lit(LONG))).when(
-        front & back, inner(start, end - start - len(DOTS))).when(front, inner(start, size - start)).otherwise(inner(F.lit(0), end))
-    hit = F.contains(F.lower(m), q)
-    front, back = hit & front, ~hit | back
-    if as_bytes:
-        empty = F.encode(F.lit(""), "UTF-8")
-        return F.when(size <= LONG, b).otherwise(F.concat(F.when(front, dots).otherwise(empty), cut, F.when(back, dots).otherwise(empty)))
-    whole = F.regexp_replace(F.make_valid_utf8(cut.cast("string")), "^�+|�+$", "")
-    return F.when(size <= LONG, m).otherwise(F.concat(F.when(front, DOTS).otherwise(""), whole, F.when(back, DOTS).otherwise("")))
+    q = query.lower()
+    dots, none = F.encode(F.lit(DOTS), "UTF-8"), F.encode(F.lit(""), "UTF-8")
+
+    def around(m: Column, at: Column) -> Column:
+        """What is left of a long line ``m`` with a hit at byte ``at`` (-1: no hit)."""
+        b, size = F.encode(m, "UTF-8"), F.octet_length(m)
+        start = F.when(at < 0, 0).otherwise(F.greatest(at - AROUND, F.lit(0)))
+        end = F.when(at < 0, LONG).otherwise(F.least(at + len(query.encode()) + AROUND, size))
+        front, back = start > 0, end < size
+        n = end - start - F.when(front & back, len(DOTS)).otherwise(0)
+        cut = F.substring(b, start + F.lit(1), n)
+        if as_bytes:
+            return F.concat(F.when(front, dots).otherwise(none), cut, F.when(back, dots).otherwise(none))
+        whole = F.regexp_replace(F.make_valid_utf8(cut.cast("string")), "^\ufffd+|\ufffd+$", "")
+        return F.concat(F.when(front, DOTS).otherwise(""), whole, F.when(back, DOTS).otherwise(""))
+
+    def shortened(m: Column) -> Column:
+        low = F.lower(m)
+        at = F.when(F.contains(low, F.lit(q)), F.octet_length(F.substring_index(low, q, 1)) if q else F.lit(0)).otherwise(-1)
+        return F.when(F.octet_length(m) <= LONG, F.encode(m, "UTF-8") if as_bytes else m).otherwise(let(at, lambda p: around(m, p)))
+
+    return let(trim_ws(line), shortened)
+
+
+def let(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` computed once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def search_lines(notes: DataFrame, query: str) -> DataFrame:
