@@ -1,8 +1,8 @@
 """Secret scans with a recursive decoding worklist.
 
 Base spans come from three patterns over the whole text. Then every encoded stretch of a
-layer (URL escapes, ``\\uXXXX`` and ``\\xXX`` escapes, base64, and gzip/zlib/bzip2/xz inside it) is unwrapped
-into a new layer, which is scanned and unwrapped in turn, until nothing new appears. A layer
+layer (URL escapes, ``\\uXXXX`` and ``\\xXX`` escapes, base64, and gzip/zlib/bzip2/xz at the start of a decoded
+layer, all its members) is unwrapped into a new layer, which is scanned and unwrapped in turn, until nothing new appears. A layer
 with the same bytes from the same place is not entered again, so cycles end; decoded layers
 shrink, and the sum of what one document may unwrap is bounded by
 ``max_unwrapped`` bytes for compressed layers only, since those alone can grow (beyond it a
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import bz2
+import contextlib
 import hashlib
 import lzma
 import re
@@ -47,6 +48,7 @@ UNIT = re.compile(rb"\\[ux]([0-9A-Fa-f]+)")
 B64 = re.compile(rb"[A-Za-z0-9+/_-]+={0,2}")
 RUN = 16  # the shortest assignment found, of 12 bytes, has 16 characters in base64
 MAX_UNWRAPPED = 64 << 20
+BROKEN = (zlib.error, OSError, lzma.LZMAError, EOFError)
 
 
 def scan(text: bytes) -> list[tuple[str, int, int]]:
@@ -101,23 +103,42 @@ class Layer:
         return Layer(data, np.full(len(data), lo), np.full(len(data), hi))
 
 
-def inflate(data: bytes, most: int) -> bytes | None | bool:
-    """What a compressed stretch holds; None if it is none, False if it holds more than ``most``."""
-    if data[:2] == b"\x1f\x8b":
-        d = zlib.decompressobj(31)
-    elif len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0:
-        d = zlib.decompressobj()
-    elif data[:3] == b"BZh":
-        d = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        d = lzma.LZMADecompressor(memlimit=128 << 20)
-    else:
-        return None
-    try:
-        out = d.decompress(data, most + 1)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        return None
-    return False if len(out) > most else out
+def decompressor(data):
+    """For what starts like a compressed member, else None."""
+    head = bytes(data[:6])
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if len(data) > 2 and head[0] & 15 == 8 and (head[0] << 8 | head[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(memlimit=128 << 20)
+
+
+def inflate(data: bytes, most: int, at: int = 0) -> tuple[bytes, int] | None | bool:
+    """What the compressed members from ``at`` on hold, one after another, and where the last whole one
+    ends (the end of the data if it is cut, ``at`` if it is broken); None if there are none, False if they
+    hold more than ``most``."""
+    view, out, n, end = memoryview(data), [], 0, at
+    while (d := decompressor(view[end:])) is not None:
+        try:
+            part = d.decompress(view[end:], most - n + 1)
+        except BROKEN:  # what comes before the damage counts
+            d = decompressor(view[end:])
+            with contextlib.suppress(*BROKEN):
+                for i in range(end, len(data)):
+                    out.append(d.decompress(view[i : i + 1], most - n + 1))
+                    if (n := n + len(out[-1])) > most:
+                        break
+            break
+        out.append(part)
+        if (n := n + len(part)) > most:
+            break
+        end = len(data) - len(d.unused_data)
+        while end < len(data) and not data[end]:  # gzip and xz files may be padded
+            end += 1
+    return False if n > most else (b"".join(out), end) if n else None
 
 
 def readable(data: bytes) -> bool:
@@ -132,6 +153,12 @@ def readable(data: bytes) -> bool:
 def unwrap(layer: Layer, most: int):
     """The layers inside a layer; (start, end, None) for what would unwrap to too much."""
     data = layer.data
+    if layer.lo is not None:  # a layer that is compressed itself, wherever it comes from
+        got = inflate(data, most)
+        if got is False:
+            yield 0, len(data), None
+        elif got is not None:
+            yield layer.whole(0, got[1] or len(data), got[0])
     if b"%" in data and (found := list(URL.finditer(data))):
         yield layer.spliced([(m.start(), m.end(), bytes([int(m.group()[1:], 16)])) for m in found])
     if (b"\\u" in data or b"\\x" in data) and (found := list(UNI.finditer(data))):
@@ -150,12 +177,7 @@ def unwrap(layer: Layer, most: int):
             if len(body) < RUN - 2 or len(body) % 4 == 1:
                 continue
             raw = base64.b64decode(body + b"=" * (-len(body) % 4))
-            got = inflate(raw, most)
-            if got is False:
-                yield m.start(), m.end(), None
-            elif got is not None:
-                yield layer.whole(m.start(), m.end(), got)
-            elif readable(raw):
+            if decompressor(raw) is not None or readable(raw):
                 yield layer.whole(m.start(), m.end(), raw)
 
 

@@ -2,8 +2,10 @@
 ties, repeated rows, clashing column names, and on empty tables."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
@@ -473,6 +475,29 @@ def test_secrets_in_layers():
     assert [k for _, k, _ in secrets.find(bomb.encode(), 1 << 20)[1]] == [secrets.KINDS.index("bomb")]
 
 
+def test_secrets_in_compressed_layers():
+    s, other = b"token: q1w2e3r4t5y6", b"AKIA" + b"Q1" * 8
+    b64 = lambda x: base64.b64encode(x).decode()
+    show = lambda t: secrets.shown(secrets.find(t.encode())[1])
+    packers = (gzip.compress, zlib.compress, bz2.compress, lzma.compress)
+    for f in packers:
+        for g in packers:
+            t = b64(f(g(s)))  # compressed twice
+            assert show(f"a {t}") == f"assign:2:{2 + len(t)}", (f, g)
+            t = b64(f(b"first") + g(s))  # in the second member
+            assert show(f"a {t}") == f"assign:2:{2 + len(t)}", (f, g)
+        t = b64(f(s[:9]) + f(s[9:]))  # over two members
+        assert show(t) == f"assign:0:{len(t)}"
+        t = b64(f(b"first" * 9) + b"\n" + s + b"\n")  # behind the members
+        assert show(t).startswith("assign:0:")
+    t = b64(gzip.compress(gzip.compress(gzip.compress(b64(gzip.compress(s)).encode()) + gzip.compress(other))))
+    assert show(t) == f"access:0:{len(t)},assign:0:{len(t)}" or show(t) == f"assign:0:{len(t)},access:0:{len(t)}"
+    t = b64(gzip.compress(s)[:-8] + b"\0" * 8)  # a wrong checksum
+    assert show(t) == f"assign:0:{len(t)}"
+    t = urllib.parse.quote(gzip.compress(s))
+    assert show(t) == f"assign:0:{len(t)}"
+
+
 # all ---------------------------------------------------------------------------------------
 
 
