@@ -1,14 +1,16 @@
 """Secret scans with a recursive decoding worklist.
 
 Base spans come from three patterns over the whole text. Then every encoded stretch of a
-layer (URL escapes, ``\\uXXXX`` and ``\\xXX`` escapes, base64, and gzip/zlib/bzip2/xz at the start of a decoded
-layer, all its members) is unwrapped into a new layer, which is scanned and unwrapped in turn, until nothing new appears. A layer
+layer (URL escapes, ``\\uXXXX`` and ``\\xXX`` escapes, base64 in one run or over several lines, and the members of
+gzip/zlib/bzip2/xz anywhere in a decoded layer) is unwrapped into a new layer, which is scanned and unwrapped in turn, until nothing new appears. A layer
 with the same bytes from the same place is not entered again, so cycles end; decoded layers
 shrink, and the sum of what one document may unwrap is bounded by
 ``max_unwrapped`` bytes for compressed layers only, since those alone can grow (beyond it a
 compressed stretch is reported with kind ``bomb`` rather than dropped). A finding inside a
 layer is mapped back to code points of the original text: byte by byte through URL and
-Unicode escapes, and to the whole encoded stretch through base64 and compression.
+Unicode escapes, and to the whole encoded stretch through base64 and compression; through base64
+over several lines, to the lines that hold it. Base64 is read from each of its first four
+characters on, as others may be glued to its front, and what it holds need not be text.
 
 Defined results: null text is empty; a span found both directly and in a layer is given once.
 Input columns named like an output column are replaced.
@@ -46,8 +48,16 @@ URL = re.compile(rb"%[0-9A-Fa-f]{2}")
 UNI = re.compile(rb"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 UNIT = re.compile(rb"\\[ux]([0-9A-Fa-f]+)")
 B64 = re.compile(rb"[A-Za-z0-9+/_-]+={0,2}")
+PLAIN = bytes.maketrans(b"-_", b"+/")
+#: Line breaks, written as they are or escaped, with indentation; lines joined by them.
+BREAK = re.compile(rb"[\x20\t]*(?:\r?\n|\r|\\r\\n|\\n)[\x20\t]*")
+WRAPPED = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:" + BREAK.pattern + rb"[A-Za-z0-9+/_-]++)+={0,2}")
+CONTROL = bytes(b for b in range(32) if b not in b"\t\n\r")
+#: gzip, bzip2, xz, and the headers of zlib.
+MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|" + b"|".join(re.escape(bytes([a, b])) for a in range(8, 128, 16) for b in range(256) if (a << 8 | b) % 31 == 0 and not b & 32))
 RUN = 16  # the shortest assignment found, of 12 bytes, has 16 characters in base64
 MAX_UNWRAPPED = 64 << 20
+PIECE = 1 << 14
 BROKEN = (zlib.error, OSError, lzma.LZMAError, EOFError)
 
 
@@ -75,21 +85,24 @@ def runs(text: bytes, table: bytes, least: int) -> list[tuple[int, int]]:
 
 
 class Layer:
-    """Bytes with, for each of them, the original bytes [lo, hi) that it came from; None: itself."""
+    """Bytes with, for each of them, the original bytes [lo, hi) that it came from, or one number each
+    for all of them; None: itself."""
 
     __slots__ = ("data", "lo", "hi")
 
-    def __init__(self, data: bytes, lo: np.ndarray | None = None, hi: np.ndarray | None = None):
+    def __init__(self, data: bytes, lo: np.ndarray | int | None = None, hi: np.ndarray | int | None = None):
         self.data, self.lo, self.hi = data, lo, hi
 
     def origin(self, a: int, b: int) -> tuple[int, int]:
-        return (a, b) if self.lo is None else (int(self.lo[a:b].min()), int(self.hi[a:b].max()))
+        if self.lo is None:
+            return a, b
+        return (self.lo, self.hi) if isinstance(self.lo, int) else (int(self.lo[a:b].min()), int(self.hi[a:b].max()))
 
     def spliced(self, parts: list[tuple[int, int, bytes]]) -> "Layer":
         """This layer with stretches replaced; what replaces one comes from the whole of it."""
         n = len(self.data)
-        lo = np.arange(n) if self.lo is None else self.lo
-        hi = lo + 1 if self.hi is None else self.hi
+        lo = np.arange(n) if self.lo is None else np.broadcast_to(self.lo, n)
+        hi = lo + 1 if self.hi is None else np.broadcast_to(self.hi, n)
         data, los, his, at = [], [], [], 0
         for a, b, new in parts:
             data += [self.data[at:a], new]
@@ -99,8 +112,7 @@ class Layer:
         return Layer(b"".join([*data, self.data[at:]]), np.concatenate([*los, lo[at:]]), np.concatenate([*his, hi[at:]]))
 
     def whole(self, a: int, b: int, data: bytes) -> "Layer":
-        lo, hi = self.origin(a, b)
-        return Layer(data, np.full(len(data), lo), np.full(len(data), hi))
+        return Layer(data, *self.origin(a, b))
 
 
 def decompressor(data):
@@ -116,29 +128,35 @@ def decompressor(data):
         return lzma.LZMADecompressor(memlimit=128 << 20)
 
 
-def inflate(data: bytes, most: int, at: int = 0) -> tuple[bytes, int] | None | bool:
-    """What the compressed members from ``at`` on hold, one after another, and where the last whole one
-    ends (the end of the data if it is cut, ``at`` if it is broken); None if there are none, False if they
-    hold more than ``most``."""
-    view, out, n, end = memoryview(data), [], 0, at
-    while (d := decompressor(view[end:])) is not None:
-        try:
-            part = d.decompress(view[end:], most - n + 1)
-        except BROKEN:  # what comes before the damage counts
-            d = decompressor(view[end:])
-            with contextlib.suppress(*BROKEN):
-                for i in range(end, len(data)):
-                    out.append(d.decompress(view[i : i + 1], most - n + 1))
-                    if (n := n + len(out[-1])) > most:
+def inflate(data: bytes, most: int, at: int = 0) -> tuple[bytes, int, bool] | None | bool:
+    """What the compressed members from ``at`` on hold, one after another, where the last whole one ends,
+    and whether a cut or broken one follows; None if there are none, False if they hold more than ``most``.
+    Two bytes are a zlib header by chance, so one that breaks counts only at the start of the data."""
+    view, out, n, end, cut = memoryview(data), [], 0, at, False
+    while not cut and n <= most and (d := decompressor(view[end:])) is not None:
+        for piece in (PIECE, 1):  # byte by byte up to the damage, if any: what comes before it counts
+            got, cut = [], True
+            try:
+                for i in range(end, len(data), piece):
+                    got.append(d.decompress(view[i : i + piece], most - n + 1))
+                    n += len(got[-1])
+                    if d.eof or n > most:
                         break
-            break
-        out.append(part)
-        if (n := n + len(part)) > most:
-            break
-        end = len(data) - len(d.unused_data)
-        while end < len(data) and not data[end]:  # gzip and xz files may be padded
-            end += 1
-    return False if n > most else (b"".join(out), end) if n else None
+                broken = False
+            except BROKEN:
+                broken = True
+            if piece == 1 or not broken:
+                out += got
+                break
+            n -= sum(map(len, got))
+            if end and data[end] & 15 == 8:
+                break
+            d = decompressor(view[end:])
+        if d.eof and not broken:
+            end, cut = min(len(data), i + piece) - len(d.unused_data), False
+            while end < len(data) and not data[end]:  # gzip and xz files may be padded
+                end += 1
+    return False if n > most else (b"".join(out), end, cut) if n else None
 
 
 def readable(data: bytes) -> bool:
@@ -147,18 +165,24 @@ def readable(data: bytes) -> bool:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
         return False
-    return sum(ch < " " and ch not in "\t\n\r" for ch in text) * 20 <= len(text)
+    return (len(data) - len(data.translate(None, CONTROL))) * 20 <= len(text)
 
 
-def unwrap(layer: Layer, most: int):
-    """The layers inside a layer; (start, end, None) for what would unwrap to too much."""
+def unwrap(layer: Layer, most):
+    """The layers inside a layer; (start, end, None) for what would unwrap to more than ``most()`` bytes."""
     data = layer.data
     if layer.lo is not None:  # a layer that is compressed itself, wherever it comes from
-        got = inflate(data, most)
-        if got is False:
-            yield 0, len(data), None
-        elif got is not None:
-            yield layer.whole(0, got[1] or len(data), got[0])
+        done = 0
+        for at in packed(data):
+            if at < done:  # what a whole member holds is not looked into twice
+                continue
+            got = inflate(data, most(), at)
+            if got is False:
+                yield at, len(data), None
+            elif got is not None:
+                new, done, cut = got
+                if telling(new):
+                    yield layer.whole(at, len(data) if cut else done, new)
     if b"%" in data and (found := list(URL.finditer(data))):
         yield layer.spliced([(m.start(), m.end(), bytes([int(m.group()[1:], 16)])) for m in found])
     if (b"\\u" in data or b"\\x" in data) and (found := list(UNI.finditer(data))):
@@ -173,12 +197,51 @@ def unwrap(layer: Layer, most: int):
         yield layer.spliced(parts)
     for a, b in runs(data, _B64, RUN):
         for m in B64.finditer(data, a, b):
-            body = m.group().rstrip(b"=").replace(b"-", b"+").replace(b"_", b"/")
-            if len(body) < RUN - 2 or len(body) % 4 == 1:
-                continue
-            raw = base64.b64decode(body + b"=" * (-len(body) % 4))
-            if decompressor(raw) is not None or readable(raw):
-                yield layer.whole(m.start(), m.end(), raw)
+            for raw, _ in decoded(m.group().rstrip(b"=")):
+                if telling(raw):
+                    yield layer.whole(m.start(), m.end(), raw)
+    for lines in wrapped(data):
+        found = [x for x in decoded(b"".join(data[a:b] for a, b in lines).rstrip(b"=")) if telling(x[0])]
+        if found:  # each byte comes from the whole lines that its characters stand on
+            of = np.repeat(np.arange(len(lines)), [b - a for a, b in lines])
+            lo, hi = (np.array(x)[of] for x in zip(*(layer.origin(a, b) for a, b in lines)))
+            for raw, shift in found:
+                at = shift + np.arange(len(raw)) * 4 // 3
+                yield Layer(raw, lo[at], hi[at + 1])
+
+
+def wrapped(data: bytes):
+    """Base64 over several lines, as (start, end) of each line."""
+    if not (b"\n" in data or b"\r" in data or b"\\n" in data):
+        return
+    for m in WRAPPED.finditer(data):
+        if m.end() - m.start() > RUN:
+            cuts = [m.start(), *(x for c in BREAK.finditer(data, m.start(), m.end()) for x in c.span()), m.end()]
+            yield list(zip(cuts[::2], cuts[1::2]))
+
+
+def decoded(body: bytes):
+    """Base64 characters decoded from each of their first four on, as other characters may be glued to the
+    front, and how many were left out."""
+    body = body.translate(PLAIN)
+    for shift in range(4):
+        n = len(body) - shift
+        n -= n % 4 == 1
+        if n >= RUN - 2:
+            yield base64.b64decode(body[shift : shift + n] + b"=" * (-n % 4)), shift
+
+
+def packed(data: bytes):
+    """Where compressed members may start; in text that can only be its start."""
+    if decompressor(data) is not None:
+        yield 0
+    if MAGIC.search(data, 1) and not readable(data):
+        yield from (m.start() for m in MAGIC.finditer(data, 1))
+
+
+def telling(data: bytes) -> bool:
+    """Whether a decoded layer, readable or not, has anything to find or to unwrap."""
+    return bool(scan(data) or runs(data, _B64, RUN) or UNI.search(data) or URL.search(data)) or any(next(x, None) is not None for x in (packed(data), wrapped(data)))
 
 
 def find(text: bytes, max_unwrapped: int = MAX_UNWRAPPED) -> tuple[list, list]:
@@ -186,13 +249,13 @@ def find(text: bytes, max_unwrapped: int = MAX_UNWRAPPED) -> tuple[list, list]:
     order = {k: i for i, k in enumerate(KINDS)}
     base = sorted((a, order[k], b) for k, a, b in scan(text))
     spans = set(base)
-    if not (b"%" in text or b"\\u" in text or b"\\x" in text or runs(text, _B64, RUN)):
+    if not (b"%" in text or b"\\u" in text or b"\\x" in text or runs(text, _B64, RUN) or next(wrapped(text), None)):
         return base, base
     # a layer is known by what it holds and where it stands: the same secret may be hidden twice
     seen, work, left = {(hashlib.sha1(text).digest(), 0, len(text))}, deque([Layer(text)]), max_unwrapped
     while work:
         layer = work.popleft()
-        for got in unwrap(layer, left):
+        for got in unwrap(layer, lambda: left):
             if isinstance(got, tuple):
                 a, b = layer.origin(got[0], got[1])
                 spans.add((a, order["bomb"], b))

@@ -498,6 +498,37 @@ def test_secrets_in_compressed_layers():
     assert show(t) == f"assign:0:{len(t)}"
 
 
+def test_secrets_in_wrapped_glued_and_binary_base64():
+    s = b"token=q1w2e3r4t5y6u7i8o9p0 tail"
+    b64 = lambda x: base64.b64encode(x).decode()
+    show = lambda t: secrets.shown(secrets.find(t.encode())[1]).split(",")
+    packers = (gzip.compress, zlib.compress, bz2.compress, lzma.compress)
+    noise = bytes(random.Random(4).randbytes(200))
+    for at in range(32, 57):  # across the break of 76 columns
+        t = base64.encodebytes(b"x " * (at // 2) + b" " * (at % 2) + s).decode().strip()
+        assert "\n" in t and f"assign:0:{len(t)}" in show(t)
+    for width in (10, 64, 75, 76):
+        for glue in ("\n", "\r\n", "\r", "\n    ", " \n\t", "\\n", "\\r\\n"):
+            for before in ("", "see ", "see\n", "-----BEGIN KEY-----\n", "cfg/", "id_", "ab-", "q+"):
+                for inner in [s * 9] + [f(noise + s) for f in packers]:
+                    t = b64(inner)
+                    t = before + glue.join(t[i : i + width] for i in range(0, len(t), width))
+                    assert any(x.startswith("assign:") for x in show(t + " end")), (width, glue, before)
+    for before in ("cfg/", "id_", "x-", "ab+", "ab+cd/", "abcde_"):
+        for inner in (s, noise[:50] + s, "é".encode("latin-1") + s, *(f(s) for f in packers)):
+            for after in ("", "/x", "_tail"):
+                t = before + b64(inner).rstrip("=") + after
+                assert f"assign:2:{2 + len(t)}" in show(f"a {t} b"), (before, inner)
+    for bad in (b"\xff", b"\0\1\2\3", "é".encode("latin-1")):
+        t = b64(bad + b"AKIA" + b"Q1" * 8 + bad)
+        assert show(t) == [f"access:0:{len(t)}"]
+        t = b64(bad + b64(s).encode() + bad)
+        assert show(t) == [f"assign:0:{len(t)}"]
+    lines = "one\ntwo\n" + b64(b"token=abcdef") + "\nthree\nfour words"
+    assert show(lines) == ["assign:8:24"]
+    assert show("a\nb c\n" + "\n".join("plain words only".split() * 50)) == [""]
+
+
 # all ---------------------------------------------------------------------------------------
 
 
