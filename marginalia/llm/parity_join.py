@@ -300,7 +300,7 @@ def _join(parts: list[bytes], pairs: dict):
         if len(group) < 2:
             continue
         ids = sorted(group)
-        if len(ids) > SMALL or any(not size for size, _ in group.values()):
+        if len(ids) > SMALL or not size[own].all():  # the mark of any entry counts, also where a copy of its class has a size
             ties.update((ids[0], x) for x in ids[1:])
             continue
         for i, x in enumerate(ids):

@@ -305,6 +305,37 @@ def test_near_duplicates(spark, seed, monkeypatch):
     same(got, parity_join.brute(docs))
 
 
+def test_a_mark_of_often_makes_a_tie_in_any_order():
+    def part(classes):  # each class holds the one token 5
+        fp, size, need = (np.array(x, t) for x, t in zip(zip(*classes), (np.int64, np.uint8, np.uint8)))
+        n = len(fp)
+        return b"".join(x.tobytes() for x in (np.int64(n), fp, size, need, np.ones(n, np.uint32), np.full(n, 5, np.uint32), np.zeros(n, np.uint8)))
+
+    mark, rest = part([(1, 0, 1)]), part([(1, 70, 6), (2, 70, 6), (3, 71, 6)])
+    for parts in ([mark, rest], [rest, mark]):
+        pairs = {}
+        found = [r for b in parity_join._join(parts, pairs) for r in b.to_pylist()]
+        assert not pairs and sorted((r["kind"], r["u"], r["v"]) for r in found) == [(1, 1, 2), (1, 1, 3)]
+    pairs = {}
+    assert not list(parity_join._join([rest, rest], pairs)) and set(pairs) == {(1, 2), (1, 3), (2, 3)}
+
+
+def test_near_duplicates_with_a_hot_block_split_unevenly(spark, monkeypatch):
+    monkeypatch.setattr(parity_join, "OFTEN", 5)
+    r = random.Random(6)
+    base = prose(r, 150, 3000).split()
+    docs = []
+    for i in range(40):
+        w = list(base)
+        for _ in range(i % 4 * 4):
+            w[r.randrange(len(w))] = f"e{r.randint(0, 999)}"
+        docs.append((i, " ".join(w)))
+    few = docs[34:] + [(100 + i, t) for i, t in docs[:4]]
+    for parts in ([docs[:34], few], [few, docs[:34]]):
+        df = spark.createDataFrame(parts[0], DOC).coalesce(1).union(spark.createDataFrame(parts[1], DOC).coalesce(1))
+        same(rows(parity_join.near_duplicates(df)), parity_join.brute(parts[0] + parts[1]))
+
+
 def test_near_duplicates_of_odd_rows(spark):
     df = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f")], DOC).withColumn("n", F.lit("clash"))
     same(rows(parity_join.near_duplicates(df)), [(5, 2, 3), (5, 2, 3), (None, 2, None), (3, 2, 3)])
