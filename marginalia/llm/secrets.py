@@ -4,7 +4,7 @@ Base spans come from three patterns over the whole text. Then every encoded stre
 layer (URL escapes, ``\\uXXXX`` and ``\\xXX`` escapes, base64 in one run or over several lines, and the members of
 gzip/zlib/bzip2/xz anywhere in a decoded layer) is unwrapped into a new layer, which is scanned and unwrapped in turn, until nothing new appears. A layer
 with the same bytes from the same place is not entered again, so cycles end; decoded layers
-shrink, and the sum of what one document may unwrap is bounded by
+shrink, and the sum of what one encoded stretch of the text may unwrap is bounded by
 ``max_unwrapped`` bytes for compressed layers only, since those alone can grow (beyond it a
 compressed stretch is reported with kind ``bomb`` rather than dropped). A finding inside a
 layer is mapped back to code points of the original text: byte by byte through URL and
@@ -169,14 +169,14 @@ def readable(data: bytes) -> bool:
 
 
 def unwrap(layer: Layer, most):
-    """The layers inside a layer; (start, end, None) for what would unwrap to more than ``most()`` bytes."""
+    """The layers inside a layer; (start, end, None) for what would unwrap to more than ``most`` allows at its start."""
     data = layer.data
     if layer.lo is not None:  # a layer that is compressed itself, wherever it comes from
         done = 0
         for at in packed(data):
             if at < done:  # what a whole member holds is not looked into twice
                 continue
-            got = inflate(data, most(), at)
+            got = inflate(data, most(at), at)
             if got is False:
                 yield at, len(data), None
             elif got is not None:
@@ -252,10 +252,11 @@ def find(text: bytes, max_unwrapped: int = MAX_UNWRAPPED) -> tuple[list, list]:
     if not (b"%" in text or b"\\u" in text or b"\\x" in text or runs(text, _B64, RUN) or next(wrapped(text), None)):
         return base, base
     # a layer is known by what it holds and where it stands: the same secret may be hidden twice
-    seen, work, left = {(hashlib.sha1(text).digest(), 0, len(text))}, deque([Layer(text)]), max_unwrapped
+    seen, work = {(hashlib.sha1(text).digest(), 0, len(text))}, deque([Layer(text)])
+    used: dict[int, int] = {}  # by where an encoded stretch starts in the text
     while work:
-        layer = work.popleft()
-        for got in unwrap(layer, lambda: left):
+        layer = work.pop()  # the last first, so that few large layers are held at once
+        for got in unwrap(layer, lambda at: max(0, max_unwrapped - used.get(layer.origin(at, at + 1)[0], 0))):
             if isinstance(got, tuple):
                 a, b = layer.origin(got[0], got[1])
                 spans.add((a, order["bomb"], b))
@@ -263,7 +264,7 @@ def find(text: bytes, max_unwrapped: int = MAX_UNWRAPPED) -> tuple[list, list]:
             if got.data and (key := (hashlib.sha1(got.data).digest(), *got.origin(0, len(got.data)))) not in seen:
                 seen.add(key)
                 if len(got.data) > len(layer.data):
-                    left = max(0, left - len(got.data))
+                    used[key[1]] = used.get(key[1], 0) + len(got.data)
                 for k, a, b in scan(got.data):
                     a, b = got.origin(a, b)
                     spans.add((a, order[k], b))

@@ -560,6 +560,17 @@ def test_secrets_in_wrapped_glued_and_binary_base64():
     assert show("a\nb c\n" + "\n".join("plain words only".split() * 50)) == [""]
 
 
+def test_the_bound_on_unwrapping_is_for_each_stretch():
+    big = [base64.b64encode(gzip.compress(b"z " * 4000 + b"token=q1w2e3r4" + bytes([97 + i]))) for i in range(12)]
+    found = secrets.find(b" ".join(big), 10_000)[1]  # 96,000 bytes in all
+    assert [k for _, k, _ in found] == [0] * 12
+    assert [k for _, k, _ in secrets.find(b" ".join(big), 1000)[1]] == [secrets.KINDS.index("bomb")] * 12
+    escaped = " ".join(urllib.parse.quote(base64.b64decode(x)) for x in big).encode()
+    assert [k for _, k, _ in secrets.find(escaped, 10_000)[1]] == [0] * 12
+    nest = base64.b64encode(gzip.compress(b" ".join(big)))  # one stretch, one bound
+    assert secrets.KINDS.index("bomb") in [k for _, k, _ in secrets.find(nest, 20_000)[1]]
+
+
 # all ---------------------------------------------------------------------------------------
 
 
