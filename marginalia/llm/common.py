@@ -69,6 +69,20 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialize` wrote and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        if (files := df.inputFiles()) and f"/marginalia/{spark.sparkContext.applicationId}/" in files[0]:
+            _delete(spark, os.path.dirname(os.path.dirname(files[0])))
+
+
 #: Ids that may be broadcast: 8 MB.
 FEW = 1_000_000
 
@@ -98,9 +112,7 @@ def smallest_hashes(ids: DataFrame, kind: str, most: int) -> DataFrame:
 def drop_scratch(spark: SparkSession) -> None:
     """Delete everything that :func:`materialize` has left behind in this application."""
     if base := scratch_base(spark):
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{base}/marginalia/{spark.sparkContext.applicationId}")
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, f"{base}/marginalia/{spark.sparkContext.applicationId}")
 
 
 def add_columns(df: DataFrame, make, fields, keep: list[str] | None = None, needs: tuple[str, ...] = ("text",)) -> DataFrame:
