@@ -6,14 +6,17 @@ that is over two neighbouring half-chunks, so chunks overlap by half and cover t
 however long it is. A small dense layer reads every chunk; the mean and the maximum over all
 chunks make one probability.
 
-The network is trained on the driver from a bounded, documented sample: at most
-``train_rows`` labelled rows of each class, those with the smallest hashes of their ids, and
-at most ``train_bytes`` of each text, in pieces spread over all of it. Training is balanced
-between the classes; the score is set back to the true odds of the labels, which are counted
-over all learnable rows.
+The network is trained on the driver from a bounded, documented sample: the whole texts of at
+most ``train_rows`` labelled rows of each class, those with the smallest hashes of their ids.
+Training is balanced between the classes; the score is set back to the true odds of the labels,
+which are counted over all learnable rows. Texts are worked off in slabs, forward and backward,
+so memory does not grow with the longest of them by more than its own size.
 
 Defined results: null and empty texts are one chunk of padding, scored like any other; with
-labels of one class only, or none, every text has that class's smoothed share as its score.
+labels of one class only, or none, every text has that class's smoothed share as its score and
+the model is ``constant``: nothing was learned. Repeated rows are each scored; of rows that share
+a labelled id the smallest text is learned from, of its labels the larger one. An empty table gives
+an empty table. Input columns named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import add_columns, prepare, smallest_hashes, table, utf8_of
 
-TRAIN_ROWS, TRAIN_BYTES, STEPS, BATCH, CUT = 1500, 4096, 700, 48, 0.7
+TRAIN_ROWS, STEPS, BATCH, CUT = 1500, 500, 32, 0.7
 HALF, GROUP, EMBED, FILTERS, HIDDEN = 128, 4, 8, 24, 16
 SLAB = 512  # half-chunks at a time
 
@@ -63,17 +66,19 @@ class Cnn:
         self.shift = 0.0
         self.constant: float | None = None
 
-    def halves(self, buf: np.ndarray, start: np.ndarray, keep: bool = False):
-        """Filters max-pooled over each half-chunk."""
+    def halves(self, buf: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Filters max-pooled over each half-chunk, and the place of each maximum."""
         p, width = self.p, HALF + GROUP
-        x = buf[start[:, None] + np.arange(width)]
-        e = p["e"][x].reshape(len(start), width // GROUP, GROUP * EMBED)
-        y = e @ p["w"]
-        a = y[:, :-1, :FILTERS] + y[:, 1:, FILTERS:]
-        if not keep:
-            return np.maximum(a.max(axis=1) + p["b"], 0)
-        at = a.argmax(axis=1)
-        return np.maximum(np.take_along_axis(a, at[:, None], 1)[:, 0] + p["b"], 0), x, e, at
+        pooled = np.empty((len(start), FILTERS), p["w"].dtype)
+        place = np.empty((len(start), FILTERS), np.int8)
+        for i in range(0, len(start), SLAB):
+            x = buf[start[i : i + SLAB, None] + np.arange(width)]
+            y = p["e"][x].reshape(len(x), width // GROUP, GROUP * EMBED) @ p["w"]
+            a = y[:, :-1, :FILTERS] + y[:, 1:, FILTERS:]
+            at = a.argmax(axis=1)
+            pooled[i : i + SLAB] = np.maximum(np.take_along_axis(a, at[:, None], 1)[:, 0] + p["b"], 0)
+            place[i : i + SLAB] = at
+        return pooled, place
 
     def head(self, pooled: np.ndarray, n: np.ndarray):
         p = self.p
@@ -90,8 +95,7 @@ class Cnn:
         if not texts:
             return np.zeros(0)
         buf, start, n = layout(texts)
-        pooled = np.concatenate([self.halves(buf, start[i : i + SLAB]) for i in range(0, len(start), SLAB)])
-        return self.head(pooled, n)[0].astype(np.float64)
+        return self.head(self.halves(buf, start)[0], n)[0].astype(np.float64)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.constant is not None:
@@ -101,7 +105,7 @@ class Cnn:
     def gradients(self, texts: list[bytes], y: np.ndarray) -> dict[str, np.ndarray]:
         p = self.p
         buf, start, n = layout(texts)
-        pooled, x, e, at = self.halves(buf, start, keep=True)
+        pooled, place = self.halves(buf, start)
         z, (a, b, m, c, h, mean, peak) = self.head(pooled, n)
         dz = ((1 / (1 + np.exp(-z)) - y) / len(y)).astype(np.float32)
         g = {"c": np.array([dz.sum()], np.float32), "u": dz @ np.concatenate([mean, peak], 1)}
@@ -114,23 +118,22 @@ class Cnn:
         dc = dh @ p["v"].T
         left = pooled[a] >= pooled[b]
         dp = np.zeros_like(pooled)
-        np.add.at(dp, a, dc * left)
-        np.add.at(dp, b, dc * ~left)
+        dp[a] += dc * left  # a and b name each half-chunk once
+        dp[b] += dc * ~left
         dp *= pooled > 0
         g["b"] = dp.sum(0)
         # only the winning place of each filter in each half-chunk gets a gradient
-        i = np.repeat(np.arange(len(start)), FILTERS)
-        k, f, d = at.ravel(), np.tile(np.arange(FILTERS), len(start)), dp.ravel()
-        gw = np.zeros_like(p["w"])
-        ge = np.zeros_like(p["e"])
-        for side in (0, 1):
-            rows, col = e[i, k + side], f + side * FILTERS
-            for q in range(FILTERS):
-                own = f == q
-                gw[:, q + side * FILTERS] = d[own] @ rows[own]
-            de = (d[:, None] * p["w"][:, col].T).reshape(-1, GROUP, EMBED)
-            own = x[i[:, None], (k + side)[:, None] * GROUP + np.arange(GROUP)]
-            np.add.at(ge, own.ravel(), de.reshape(-1, EMBED))
+        gw, ge = np.zeros_like(p["w"]), np.zeros_like(p["e"])
+        for i in range(0, len(start), SLAB):
+            d, k = dp[i : i + SLAB], place[i : i + SLAB].astype(np.int64)
+            for side in (0, 1):
+                x = buf[(start[i : i + SLAB, None] + (k + side) * GROUP)[:, :, None] + np.arange(GROUP)]
+                rows = p["e"][x].reshape(*k.shape, GROUP * EMBED)
+                w = p["w"][:, side * FILTERS : (side + 1) * FILTERS]
+                gw[:, side * FILTERS : (side + 1) * FILTERS] += np.matmul(rows.transpose(1, 2, 0), d.T[:, :, None])[:, :, 0].T
+                de = (d[:, :, None] * w.T).reshape(-1, EMBED)
+                for c in range(EMBED):
+                    ge[:, c] += np.bincount(x.ravel(), de[:, c], 256)
         return g | {"w": gw, "e": ge}
 
     def train(self, texts: list[bytes], labels: list[int], steps: int = STEPS, batch: int = BATCH, seed: int = 7) -> "Cnn":
@@ -150,12 +153,6 @@ class Cnn:
         return self
 
 
-def pieces(text: bytes, size: int = TRAIN_BYTES, piece: int = 512) -> bytes:
-    if len(text) <= size:
-        return text
-    return b"".join(text[i : i + piece] for i in np.linspace(0, len(text) - piece, size // piece).astype(int))
-
-
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, steps: int = STEPS) -> Cnn:
     """Train on the texts of ``docs`` that ``labels`` (doc_id, quality) marks.
 
@@ -169,8 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, steps:
         model.constant = (n.get(1, 0) + 1) / (sum(n.values()) + 2)
         return model
     ids = docs.sparkSession.createDataFrame(smallest_hashes(rows, "quality", train_rows).collect(), rows.schema)
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "quality", "text").dropDuplicates(["doc_id"])
-    found = sorted((r.doc_id, r.quality, pieces((r.text or "").encode())) for r in texts.toLocalIterator())
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    found = sorted((r.doc_id, r.quality, r.text.encode()) for r in texts.toLocalIterator())
     if len({q for _, q, _ in found}) < 2:
         model.constant = (n[1] + 1) / (n[0] + n[1] + 2)
         return model
