@@ -1,27 +1,27 @@
 """Language ID by prediction by partial matching (PPM).
 
 Training builds, per language, a variable-order tree of byte contexts (up to ``order`` bytes)
-from a bounded, documented sample of labelled texts: at most ``train_docs`` documents of each
-language with the smallest hashes of their ids, at most ``train_bytes`` of each, in pieces
-taken over the whole text. The statistics are then frozen. A byte costs -log2 of its PPM
-probability (method C with exclusion left out): in a context of n bytes seen before, with d
-distinct successors, a known successor has c / (n + d) and the escape d / (n + d), which
-moves on to the context one byte shorter, down to 1/256 for any byte. A whole text's code
-length under each language is exact; the shortest wins.
-
-Since the statistics are frozen, the cost of a byte after a context is a constant: each task
-unfolds the trees once into a table (context, byte class) -> bits of each language, and texts
-are scored by looking that table up. Bytes never seen in training share a class, which is
-exact, as no context knows them.
+from a bounded, documented sample of labelled texts: the whole texts of at most ``train_docs``
+documents of each language, those with the smallest hashes of their ids. The statistics are then
+frozen. A byte costs -log2 of its PPM probability (method C with exclusion left out): in a context
+of n bytes seen before, with d distinct successors, a known successor has c / (n + d) and the
+escape d / (n + d), which moves on to the context one byte shorter, down to 1/256 for any byte. A
+whole text's code length under each language is exact; the shortest wins.
+
+Since the statistics are frozen, what a known successor costs, and what an escape costs, are
+constants. Each task puts them into sparse tables, one row for each successor that any language
+knows in a context and one for each context, with the bits of all languages; a text is scored by
+looking its bytes up order by order, those that are not known going on to the next shorter context.
+Tables grow with the distinct strings of the sample, not with the alphabet.
 
 Defined results: null text, or text with no letter, is ``und`` with score 0; equal code
-lengths go to the smaller language name; with nothing to learn from, all are ``und``.
+lengths go to the smaller language name; with nothing to learn from, all are ``und``. Repeated rows
+are each answered; of rows that share an id and a language the smallest text is learned from. An
+empty table gives an empty table. Input columns named like an output column are replaced.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .common import add_columns, prepare, smallest_hashes, table, utf8_of
 
-ORDER, TRAIN_DOCS, TRAIN_BYTES, PIECE = 3, 400, 4096, 512
+ORDER, TRAIN_DOCS = 3, 400
 
 
 def sample_of(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
@@ -39,35 +39,47 @@ def sample_of(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     docs = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     ids = smallest_hashes(docs.select("doc_id", "lang"), "lang", train_docs)
     ids = docs.sparkSession.createDataFrame(ids.collect(), ids.schema)
-    return docs.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "text", "lang").dropDuplicates(["doc_id", "lang"])
+    return docs.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
 
-def pieces(text: bytes, size: int = TRAIN_BYTES, piece: int = PIECE) -> list[bytes]:
-    """All of a short text; of a long one pieces spread evenly from its start to its end."""
-    if len(text) <= size:
-        return [text]
-    at = np.linspace(0, len(text) - piece, size // piece).astype(int)
-    return [text[i : i + piece] for i in at]
+def packed(x: np.ndarray, n: int) -> np.ndarray:
+    """Every run of ``n`` bytes, at most eight, as a number."""
+    out = np.zeros(max(0, len(x) - n + 1), np.uint64)
+    for i in range(n):
+        out = out << np.uint64(8) | x[i : i + len(out)].astype(np.uint64)
+    return out
 
 
 class Ppm:
-    """Frozen counts of all languages: contexts by order, as (context bytes, byte) -> count."""
+    """Frozen counts of all languages: ``counts[lang][k]`` has the runs of k + 1 bytes, a context
+    and its successor, as sorted numbers, and how often they occur."""
+
+    AT_ONCE = 4 << 20
 
     def __init__(self, texts: dict[str, list[bytes]], order: int = ORDER):
-        self.langs = sorted(texts)
-        self.order = order
-        self.counts = {lang: [Counter() for _ in range(order + 1)] for lang in self.langs}
-        for lang in self.langs:
-            for text in texts[lang]:
-                for k in range(order + 1):
-                    self.counts[lang][k].update(text[i : i + k + 1] for i in range(len(text) - k))
+        if order > 7:
+            raise ValueError("a context has at most 7 bytes")
+        self.langs, self.order = sorted(texts), order
+        self.counts = {lang: [self.count(texts[lang], k + 1) for k in range(order + 1)] for lang in self.langs}
+
+    def count(self, texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+        for i, text in enumerate(texts):
+            held.append(packed(np.frombuffer(text, np.uint8), n))
+            size += len(held[-1])
+            if size >= self.AT_ONCE or i == len(texts) - 1:
+                new, times = np.unique(np.concatenate(held), return_counts=True)
+                both, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
+                counts = np.bincount(at, np.concatenate([counts, times]), len(both)).astype(np.int64)
+                keys, held, size = both, [], 0
+        return keys, counts
 
     def bits(self, lang: str, context: bytes, byte: int) -> float:
         """The cost of a byte after a context, straight from the definition."""
         p = 1.0
         for k in range(min(self.order, len(context)), -1, -1):
-            c = context[len(context) - k :]
-            own = {g[-1]: n for g, n in self.counts[lang][k].items() if g[:-1] == c}
+            c = int.from_bytes(context[len(context) - k :])
+            own = {int(g) & 255: int(n) for g, n in zip(*self.counts[lang][k]) if int(g) >> 8 == c}
             if own:
                 n, d = sum(own.values()), len(own)
                 if byte in own:
@@ -79,70 +91,103 @@ class Ppm:
         return Tables(self)
 
 
+class Lookup:
+    """Places of numbers in a sorted array, by an open hash table."""
+
+    def __init__(self, keys: np.ndarray):
+        self.shift = np.uint64(64 - max(4, int(len(keys) * 3).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.keys, self.place = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+        rest, at = np.arange(len(keys)), self.slots(keys)
+        while len(rest):
+            free = self.place[at] < 0
+            self.place[at[free]] = rest[free]  # of several the last stays
+            own = self.place[at] == rest
+            self.keys[at[own]] = keys[rest[own]]
+            rest, at = rest[~own], (at[~own] + 1) & (size - 1)
+
+    def slots(self, x: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((x * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.intp)
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """The place of each number, -1 for those that are not there."""
+        at = self.slots(x)
+        out = self.place[at]
+        rest = np.flatnonzero((out >= 0) & (self.keys[at] != x))
+        at = at[rest]
+        while len(rest):
+            at = (at + 1) & (len(self.place) - 1)
+            out[rest] = found = self.place[at]
+            again = (found >= 0) & (self.keys[at] != x[rest])
+            rest, at = rest[again], at[again]
+        return out
+
+
 class Tables:
-    """The trees as arrays: ``node`` finds the longest known context of the last ``order``
-    byte classes, ``cost[node, class]`` has the bits of each language."""
+    """The trees as sparse tables: per order, the bits of each language for known successors and
+    for the escape from known contexts. A language that does not know a successor which another one
+    knows has the cost of its own way down there, so one row always settles a byte for all."""
 
     def __init__(self, m: Ppm):
         self.langs, self.order = m.langs, m.order
-        seen = sorted({g[0] for lang in m.langs for g in m.counts[lang][0]})
-        self.classes = np.zeros(256, np.int32)  # 0: never seen, also what stands before the text
-        for i, b in enumerate(seen):
-            self.classes[b] = i + 1
-        self.a = a = len(seen) + 1
-        contexts = [b""] + sorted({g[:-1] for lang in m.langs for k in range(1, m.order + 1) for g in m.counts[lang][k]}, key=lambda c: (len(c), c))
-        number = {c: i for i, c in enumerate(contexts)}
-        cost = np.empty((len(contexts), a, len(m.langs)), np.float32)
-        col = self.classes
-        for j, lang in enumerate(m.langs):
-            own: dict[bytes, list[tuple[int, int]]] = {}
-            for k in range(m.order + 1):
-                for g, n in m.counts[lang][k].items():
-                    own.setdefault(g[:-1], []).append((col[g[-1]], n))
-            for i, c in enumerate(contexts):  # shorter contexts first
-                base = cost[number[c[1:]], :, j] if c else np.full(a, 8.0, np.float32)
-                if got := own.get(c):
-                    at = np.array([x for x, _ in got])
-                    n = np.array([x for _, x in got], np.float64)
-                    total, d = n.sum(), len(got)
-                    cost[i, :, j] = base - np.log2(d / (total + d))
-                    cost[i, at, j] = -np.log2(n / (total + d))
-                else:
-                    cost[i, :, j] = base
-        self.cost = cost.reshape(len(contexts) * a, len(m.langs))
-        # the longest known suffix of every run of `order` classes
-        node = np.zeros(1, np.int32)
-        by_order = [[] for _ in range(m.order + 1)]
-        for c, i in number.items():
-            by_order[len(c)].append((c, i))
-        for k in range(1, m.order + 1):
-            node = np.tile(node, a)  # a class more in front: the same suffix, unless that context is known
-            for c, i in by_order[k]:
-                code = 0
-                for b in c:
-                    code = code * a + int(col[b])
-                node[code] = i
-        self.node = node
+        n, self.successors, self.costs, self.contexts, self.escapes = len(m.langs), [], [], [], []
+        for k in range(m.order + 1):
+            keys = np.unique(np.concatenate([m.counts[lang][k][0] for lang in m.langs] or [np.zeros(0, np.uint64)]))
+            contexts = np.unique(keys >> np.uint64(8))
+            escape, cost = np.zeros((len(contexts), n)), np.empty((len(keys), n))
+            shorter = self.lengths_of(keys & np.uint64((1 << 8 * k) - 1), k - 1) if k else np.full((len(keys), n), 8.0)
+            where = np.searchsorted(contexts, keys >> np.uint64(8))
+            for j, lang in enumerate(m.langs):
+                own, times = m.counts[lang][k]
+                at = np.searchsorted(contexts, own >> np.uint64(8))
+                total, d = np.bincount(at, times, len(contexts)), np.bincount(at, minlength=len(contexts))
+                known = d > 0
+                escape[known, j] = -np.log2(d[known] / (total[known] + d[known]))
+                cost[:, j] = shorter[:, j] + escape[where, j]
+                cost[np.searchsorted(keys, own), j] = -np.log2(times / (total[at] + d[at]))
+            self.successors.append(Lookup(keys))
+            self.costs.append(cost.astype(np.float32))
+            self.contexts.append(Lookup(contexts))
+            self.escapes.append(escape.astype(np.float32))
+
+    def lengths_of(self, runs: np.ndarray, k: int) -> np.ndarray:
+        """The bits of the last byte of each run of ``k`` + 1 bytes, for each language."""
+        out, rest = np.zeros((len(runs), len(self.langs))), np.arange(len(runs))
+        for j in range(k, -1, -1):
+            if not len(rest):
+                return out
+            runs = runs & np.uint64((1 << 8 * (j + 1)) - 1)
+            at = self.successors[j].find(runs)
+            known = at >= 0
+            out[rest[known]] += self.costs[j][at[known]]
+            runs, rest = runs[~known], rest[~known]
+            if len(rest):
+                at = self.contexts[j].find(runs >> np.uint64(8))
+                out[rest[at >= 0]] += self.escapes[j][at[at >= 0]]
+        out[rest] += 8.0
+        return out
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Code lengths in bits, one row per text and one column per language."""
-        out = np.zeros((len(texts), len(self.langs)))
-        step = 1 << 20
-        for i, text in enumerate(texts):
-            x = self.classes[np.frombuffer(text, np.uint8)]
-            for lo in range(0, len(x), step):
-                part = x[max(0, lo - self.order) : lo + step]
-                skip = min(lo, self.order)
-                code = np.zeros(len(part) - skip, np.int32)
-                for k in range(self.order, 0, -1):
-                    code *= self.a
-                    d = skip - k
-                    if d >= 0:
-                        code += part[d : d + len(code)]
-                    elif len(code) > -d:
-                        code[-d:] += part[: len(code) + d]
-                at = self.node[code] * self.a + part[skip:]
-                out[i] += np.take(self.cost, at, axis=0).sum(axis=0, dtype=np.float64)
+        out, step = np.zeros((len(texts), len(self.langs))), 1 << 18
+        all_ = np.frombuffer(b"".join(texts), np.uint8)
+        ends = np.cumsum([len(t) for t in texts])
+        first = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        for lo in range(0, len(all_), step):
+            hi = min(lo + step, len(all_))
+            place = np.arange(lo, hi)
+            text = np.searchsorted(ends, place, "right")
+            have = np.minimum(place - first[text], self.order)  # context bytes inside the text
+            x = np.concatenate([np.zeros(max(0, self.order - lo), np.uint8), all_[max(0, lo - self.order) : hi]])
+            runs, bits = packed(x, self.order + 1), np.empty((hi - lo, len(self.langs)))
+            full = have == self.order
+            bits[full] = self.lengths_of(runs[full], self.order)
+            for k in range(self.order):
+                if len(own := np.flatnonzero(have == k)):
+                    bits[own] = self.lengths_of(runs[own], k)
+            cut = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+            out[text[cut]] += np.add.reduceat(bits, cut, axis=0)
         return out
 
 
@@ -172,7 +217,7 @@ def identify(docs: DataFrame, labelled: DataFrame, order: int = ORDER, train_doc
     prepare(spark)
     texts: dict[str, list[bytes]] = {}
     for r in sample_of(labelled, train_docs).toLocalIterator():
-        texts.setdefault(r.lang, []).extend(pieces(r.text.encode()))
+        texts.setdefault(r.lang, []).append(r.text.encode())
     sent = spark.sparkContext.broadcast(Ppm(texts, order))
     fields = T.StructType().add("lang_pred", "string").add("score", "double")
 
