@@ -10,8 +10,8 @@ a band, shingles are dealt by hash over K = 16 * 4^f blocks (2^14 at least) and
 class's sketch. A shingle of the symmetric difference spoils one block, so the number of
 blocks that differ (the Hamming distance of the sketches) is at most d: of any d + 1 non-empty
 blocks one is equal in both (pigeonhole). Each class sends its d + 1 rarest blocks; rarity is
-one order for all, from a fixed-size table of counts of all shingles of the corpus, so passages
-that many documents share come last. It cannot lose a pair: the blocks that two classes share
+one order for all, from a table of counts of all shingles of the corpus (of as many cells as
+``cells_for`` its bytes, 2^23 at most), so passages that many documents share come last. It cannot lose a pair: the blocks that two classes share
 are at least max(blocks) - d, and prefixes of length d + 1 of one order meet. Prefixes of
 length d + ``SHARED`` even meet in ``SHARED`` blocks (or in all that must be shared, where
 that is less), which rules out most chance hits for a few more blocks. A class with fewer
@@ -19,18 +19,25 @@ than d + 1 non-empty blocks would void this; if there is any, the pass is repeat
 blocks. Blocks are equi-joined by a shuffle of packed arrays.
 
 Candidates. A block shared by at most ``SMALL`` classes counts for its pairs (a constant bound);
-one shared by more only ties its classes into a cluster, by a star. Clusters are dealt into
-squares of at most ``SQUARE`` x ``SQUARE`` classes; each class is sent once per row of
-squares, and a square returns links that span what it found, never all pairs. Blocks that
-occur very often in one task are reduced to a star before the shuffle.
+one shared by more only ties its classes into a cluster, by a star. Blocks that occur very often
+in one task are reduced to a star before the shuffle.
 
 Verification. A parity sketch of m bits (each shingle flips one) goes first: its Hamming
 distance is a lower bound of the symmetric difference too, and what exceeds d is dropped.
 What is left is compared set by set, exactly up to 64-bit hashes.
 
+Clusters. The ties themselves are verified as pairs first, which joins most of a group of near
+copies at the cost of its size. What may be missing are links between different components of a
+cluster. Its classes are dealt into blocks of at most ``SQUARE`` classes and ``SQUARE_BYTES`` of sets, by
+size and, where a component is large, by component; two blocks form a square unless their sizes
+cannot link or both lie in one component. Squares get sketches alone, and return pairs that
+would join the components that they hold, never all pairs; those pairs are verified. Only squares of
+which some pair fails get the sets too and are settled by them.
+
 Defined results: null or empty text has no shingles, links with nothing, and is its own
 component; a null doc_id takes no part and has a null component_id; repeated rows of an id
-are answered each.
+are answered each; an empty table gives an empty table; other columns, whatever their names, are
+not looked at.
 """
 
 from __future__ import annotations
@@ -49,8 +56,8 @@ from .components import components
 from .shingles import common, forget, mix, shingle_set
 
 SHINGLE, PERCENT = 5, 75
-SMALL, SQUARE = 8, 256
-COUNTERS, CHUNK = 1 << 20, 1 << 14
+SMALL, SQUARE, SQUARE_BYTES = 8, 256, 8 << 20
+CELLS, MOST_CELLS, CHUNK = 1 << 20, 1 << 23, 1 << 14
 FLUSH, PER_BUCKET, OFTEN = 1_000_000, 1_500_000, 256
 SPREAD, LEAST_BLOCKS, SIZE_STEPS = 16, 1 << 14, 6
 SHARED = 6
@@ -77,11 +84,16 @@ def band(n: int) -> int:
 # --- pass 1: classes and counts ---------------------------------------------------------
 
 
-def survey(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+def cells_for(size: int) -> int:
+    """Cells of the table of counts for a corpus of a size in bytes: about one for 512 bytes."""
+    return min(MOST_CELLS, max(CELLS, 1 << (size // 512).bit_length()))
+
+
+def survey(docs: DataFrame, k: int, cells: int = CELLS) -> tuple[DataFrame, DataFrame]:
     """Each row's set size and fingerprint, and partial counts of the corpus's shingles."""
 
     def run(batches):
-        counts = np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(cells, np.uint32)
         for b in batches:
             rows = []
             for text in utf8_of(b):
@@ -94,7 +106,7 @@ def survey(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
             cols = list(zip(*rows)) or [()] * 3
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")).cast(pa.int64()), *(pa.array(c, pa.int64()) for c in cols), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         forget()
-        used = [(i, zlib.compress(c.astype(np.uint32).tobytes(), 1)) for i in range(COUNTERS // CHUNK) if (c := counts[i * CHUNK : (i + 1) * CHUNK]).any()]
+        used = [(i, zlib.compress(c.tobytes(), 1)) for i in range(cells // CHUNK) if (c := counts[i * CHUNK : (i + 1) * CHUNK]).any()]
         n = len(used)
         yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64())] * 4 + [pa.array([i for i, _ in used], pa.int32()), pa.array([c for _, c in used], pa.binary())], names=names)
 
@@ -107,17 +119,17 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _cell(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(44)).astype(np.int64)
+def _cell(s: np.ndarray, cells: int) -> np.ndarray:
+    return (s >> np.uint64(65 - cells.bit_length())).astype(np.int64)
 
 
 def _count(counts: np.ndarray, s: np.ndarray) -> None:
-    at, n = np.unique(_cell(s), return_counts=True)  # sorted already
-    counts[at] += n
+    at, n = np.unique(_cell(s, len(counts)), return_counts=True)  # sorted already
+    counts[at] += n.astype(np.uint32)
 
 
-def counted(partial: DataFrame) -> np.ndarray:
-    """The summed counts: one table of fixed size, whatever the corpus."""
+def counted(partial: DataFrame, cells: int = CELLS) -> np.ndarray:
+    """The summed counts: one table of bounded size, whatever the corpus."""
 
     def run(batches):
         total: dict[int, np.ndarray] = {}
@@ -127,7 +139,7 @@ def counted(partial: DataFrame) -> np.ndarray:
                 total[i] = total[i] + c if i in total else c
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for c in total.values()], pa.binary())], names=["chunk", "counts"])
 
-    out = np.zeros(COUNTERS, np.int64)
+    out = np.zeros(cells, np.int64)
     for r in partial.repartition(16, "chunk").mapInArrow(run, "chunk int, counts binary").collect():
         out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(r.counts), np.int64)
     return np.minimum(out, 2**31 - 1).astype(np.int32)
@@ -140,7 +152,7 @@ def blocks_of(s: np.ndarray, counts: np.ndarray, spread: int) -> list[tuple[np.n
     """The d + ``SHARED`` rarest blocks of a set in each band that it takes part in, as 64-bit
     tokens, and how many of them a linked set must share; below 1 if a band had too few."""
     n, out = len(s), []
-    rare = counts[_cell(s)]
+    rare = counts[_cell(s, len(counts))]
     largest = n * 100 // PERCENT
     for f in [band(n)] + [band(n) + 1] * (band(largest) > band(n)):
         d = int(most_apart(n, min(largest, 4 ** (f + 1) - 1)))
@@ -392,53 +404,92 @@ def verified_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(verify, "u long, v long")
 
 
-def squares(ties: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links that span what is linked inside each cluster, square by square."""
-    member = components(ties)
-    size = materialize(member.groupBy("label").agg(F.ceil(F.count("*") / F.lit(SQUARE)).cast("int").alias("blocks")), "clusters")
-    placed = member.join(size, "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.select(F.col("node").alias("fp"), "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = placed.select("fp", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    full = placed.join(sets, "fp")
-
-    def compare(t: pa.Table) -> pa.Table:
-        own, n = t["own"].to_numpy(), t["n"].to_numpy()
-        i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        fp, sketch, hashes = t["fp"].to_pylist(), t["sketch"].to_pylist(), t["hashes"].to_pylist()
-        order = np.argsort(n, kind="stable")
-        root = list(range(len(fp)))
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        out, bits = [], np.array([len(x) for x in sketch])
-        stacks = {m: np.stack([np.frombuffer(sketch[x], np.uint8) for x in range(len(fp)) if bits[x] == m]) for m in np.unique(bits)}
+def placed_in_blocks(clusters: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
+    """(fp, comp, label, g, own, block) of each class of a cluster with several components: ``g`` its
+    size class, so that only neighbours can link; ``own`` its component if that fills blocks alone."""
+    sizes = sets.groupBy("fp").agg(F.max("n").alias("n"))
+    m = clusters.join(comp.withColumnRenamed("label", "comp"), F.col("fp") == F.col("node"), "left").join(sizes, "fp")
+    g = F.least(F.floor(F.floor(F.log("n") * 20) / SIZE_STEPS), F.lit(255)).cast("int")
+    m = materialize(m.select("fp", "label", F.coalesce("comp", "fp").alias("comp"), g.alias("g"), (F.col("n") * 8).alias("bytes")), "members")
+    several = materialize(m.groupBy("label").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("label"), "several")
+    m = m.join(several, "label", "left_semi")
+    many = lambda n, size: F.ceil(F.greatest(n / F.lit(SQUARE), size / F.lit(SQUARE_BYTES))).cast("int")
+    per = m.groupBy("label", "g", "comp").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"))
+    per = materialize(per.withColumn("large", F.col("n") * 2 >= SQUARE), "per")
+    rest = per.where("not large").groupBy("label", "g").agg(many(F.sum("n"), F.sum("size")).alias("blocks"))
+    alone = per.where("large").select("label", "g", F.col("comp").alias("own"), many(F.col("n"), F.col("size")).alias("blocks"))
+    counts = materialize(rest.withColumn("own", F.lit(None).cast("long")).unionByName(alone), "blocks")
+    m = m.join(per.select("label", "g", "comp", "large"), ["label", "g", "comp"]).withColumn("own", F.when(F.col("large"), F.col("comp")))
+    c = counts.select(F.col("label").alias("__l"), F.col("g").alias("__g"), F.col("own").alias("__o"), "blocks")
+    m = m.join(c, (F.col("label") == F.col("__l")) & (F.col("g") == F.col("__g")) & F.col("own").eqNullSafe(F.col("__o")))
+    b = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    return materialize(m.select("fp", "comp", "label", "g", "own", F.xxhash64("label", "g", F.coalesce("own", F.lit(0)), F.col("own").isNull(), b).alias("block")), "placed")
+
+
+def squares(ties: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that join what ``links`` leaves apart inside the clusters of ``ties``."""
+    placed = placed_in_blocks(components(ties).withColumnRenamed("node", "fp"), components(links), sets)
+    blocks = materialize(placed.select("label", "g", "own", "block").distinct(), "distinct")
+    one, two = (blocks.select(*(F.col(c).alias(x + c) for c in blocks.columns)) for x in "ab")
+    near = (F.col("bg") == F.col("ag") + 1) | ((F.col("bg") == F.col("ag")) & (F.col("bblock") >= F.col("ablock")))
+    apart_ = F.col("aown").isNull() | ~F.col("aown").eqNullSafe(F.col("bown"))
+    square = one.join(two, F.col("alabel") == F.col("blabel")).where(near & apart_).select(F.xxhash64("ablock", "bblock").alias("square"), "ablock", "bblock")
+    square = materialize(square, "squares")
+    sides = square.select("square", F.col("ablock").alias("block"), F.lit(0).alias("side")).unionByName(square.where("ablock <> bblock").select("square", F.col("bblock").alias("block"), F.lit(1).alias("side")))
+    rows = sides.join(placed.select("fp", "comp", "block"), "block").select("square", "side", "fp", "comp")
+
+    def compare(t: pa.Table, exact: bool) -> pa.Table:
+        fp, n, side, comp = (t[c].to_numpy() for c in ("fp", "n", "side", "comp"))
+        sketch, both = t["sketch"].to_pylist(), len(np.unique(side)) > 1
+        bits = np.array([len(x) for x in sketch])
+        stacks = {m: np.stack([np.frombuffer(sketch[x], np.uint8) for x in np.flatnonzero(bits == m)]) for m in np.unique(bits)}
         where = {m: np.flatnonzero(bits == m) for m in stacks}
-        for x in order.tolist():
+        found = []  # pairs of different components that the sketches allow, and how much they leave
+        for x in np.argsort(n, kind="stable").tolist():
             mine = np.frombuffer(sketch[x], np.uint8)
             for m, at in where.items():
                 if m < bits[x]:
                     continue  # larger sets have sketches as long or longer
-                ok = fits(n[x], n[at]) & ((n[at] > n[x]) | ((n[at] == n[x]) & (at > x)))
-                if i != j:
-                    ok &= own[at] != own[x]
+                ok = fits(n[x], n[at]) & ((n[at] > n[x]) | ((n[at] == n[x]) & (at > x))) & (comp[at] != comp[x])
+                if both:
+                    ok &= side[at] != side[x]
                 ok = np.flatnonzero(ok)
-                if not len(ok):
-                    continue
-                d = np.bitwise_count(fold(stacks[m][ok], len(mine)) ^ mine).sum(axis=1, dtype=np.int64)
-                for y in at[ok[d <= most_apart(n[x], n[at[ok]])]].tolist():
-                    a, b = find(x), find(y)
-                    if a != b:
-                        p, q = np.frombuffer(hashes[x], np.uint64), np.frombuffer(hashes[y], np.uint64)
-                        if linked(common(p, q), len(p), len(q)):
-                            root[a] = b
-                            out.append((fp[x], fp[y]))
-        return pa.table({"u": pa.array([r[0] for r in out], pa.int64()), "v": pa.array([r[1] for r in out], pa.int64())})
+                if len(ok):
+                    d = np.bitwise_count(fold(stacks[m][ok], len(mine)) ^ mine).sum(axis=1, dtype=np.int64)
+                    left = most_apart(n[x], n[at[ok]]) - d
+                    y = at[ok[left >= 0]]
+                    found.append(np.stack([np.full(len(y), x), y, left[left >= 0]]))
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+        pairs = pairs[:2, np.argsort(-pairs[2], kind="stable")]
+        root = {c: c for c in comp.tolist()}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
 
-    return full.groupBy("label", "i", "j").applyInArrow(compare, "u long, v long")
+        out = []
+        hashes = t["hashes"] if exact else None
+        for x, y in pairs.T.tolist():
+            a, b = find(int(comp[x])), find(int(comp[y]))
+            if a != b:
+                if exact:
+                    p, q = (np.frombuffer(hashes[i].as_py(), np.uint64) for i in (x, y))
+                    if not linked(common(p, q), len(p), len(q)):
+                        continue
+                root[a] = b
+                out.append((fp[x], fp[y]))
+        cols = [pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)]
+        return pa.table({"square": pa.array([t["square"][0].as_py()] * len(out), pa.int64()), "u": cols[0], "v": cols[1]})
+
+    schema = "square long, u long, v long"
+    maybe = rows.join(sets.select("fp", "n", "sketch"), "fp").groupBy("square").applyInArrow(lambda t: compare(t, False), schema)
+    maybe = materialize(maybe, "maybe")
+    good = materialize(verified_pairs(maybe.select("u", "v").distinct(), sets), "good")
+    open_ = materialize(maybe.join(good, ["u", "v"], "left_anti").select("square").distinct(), "open")
+    left = rows.join(few(open_), "square", "left_semi").join(sets.select("fp", "n", "sketch", "hashes"), "fp")
+    return good.unionByName(left.groupBy("square").applyInArrow(lambda t: compare(t, True), schema).select("u", "v"))
 
 
 # --- the operator -------------------------------------------------------------------------
@@ -447,9 +498,10 @@ def squares(ties: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
     prepare(docs.sparkSession)
-    rows, partial = survey(docs, k)
+    cells = cells_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    rows, partial = survey(docs, k, cells)
     classes = materialize(rows.where("n > 0 and doc_id is not null").groupBy("fp", "fp2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    counts = counted(partial)
+    counts = counted(partial, cells)
     total = (classes.agg(F.sum("n")).first()[0] or 0) // 2
     named = docs.where("doc_id is not null")
     spread = SPREAD
@@ -461,7 +513,10 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     pairs, ties = found.where("kind = 0").select("u", "v"), found.where("kind = 1").select("u", "v")
     wanted = found.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
     sets = sets_of(named, classes, wanted, k)
-    links = materialize(verified_pairs(pairs, sets).unionByName(squares(ties, sets)), "links")
+    # a class may have been sent by several tasks, so a pair or a tie may come twice
+    links = materialize(verified_pairs(pairs.unionByName(ties).distinct(), sets), "links")
+    if not ties.isEmpty():
+        links = materialize(links.unionByName(squares(ties, links, sets)), "joined")
     label = components(links)
     known = classes.join(label, classes.fp == label.node, "left").select("fp", "fp2", "n", "rep", F.coalesce("label", "fp").alias("label"))
     known = materialize(known, "known")

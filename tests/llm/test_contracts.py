@@ -95,23 +95,49 @@ def test_nearest_small(spark):
     assert forest.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
-def test_recall(spark, monkeypatch):
-    monkeypatch.setattr(forest, "SHARD", 4000)
-    monkeypatch.setattr(forest, "BLOCK_BYTES", 150 * 4 * 32)
-    r = np.random.default_rng(1)
-    x = r.normal(size=(6000, 32)).astype(np.float32) * r.uniform(0.5, 2, size=(6000, 1)).astype(np.float32)
+def recall_of(spark, monkeypatch, x, every):
+    """Mean recall over the queries, and the share of the vectors scored for one."""
+    pairs, scored = [], forest.scored
+    monkeypatch.setattr(forest, "scored", lambda p, *rest: pairs.append(p.count()) or scored(p, *rest))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     found = {}
-    for q, _, i, s in rows(forest.nearest(df, df.where("vec_id % 20 = 0"))):
+    for q, _, i, s in rows(forest.nearest(df, df.where(f"vec_id % {every} = 0"))):
         found.setdefault(q, {})[i] = s
     recall = []
     for q, got in found.items():
         s = x.astype(np.float64) @ x[q].astype(np.float64)
         s[q] = -np.inf
-        best = np.argsort(-s)[:20]
-        recall.append(len(set(best) & set(got)) / 20)
+        recall.append(sum(v >= np.sort(s)[-20] - 1e-12 for v in got.values()) / 20)
         assert len(got) == 20 and all(abs(s[i] - v) < 1e-9 for i, v in got.items())
-    assert len(found) == 300 and np.mean(recall) >= 0.9
+    assert len(found) == -(-len(x) // every)
+    return np.mean(recall), pairs[0] / len(found) / len(x)
+
+
+def unit(n, d=64, seed=1):
+    x = np.random.default_rng(seed).normal(size=(n, d)).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("n, every, share", [(500, 20, 0.5), (2000, 20, 0.2), (16384, 160, 0.06)])
+def test_recall(spark, monkeypatch, n, every, share):
+    recall, scored = recall_of(spark, monkeypatch, unit(n), every)
+    print(f"n {n}: recall {recall:.3f}, scored {scored:.3f}")
+    assert recall >= 0.93 and scored <= share
+
+
+@pytest.mark.parametrize("n, chunk", [(3000, 100), (600, 4)])  # nodes of one and of two symbols
+def test_recall_over_nodes(spark, monkeypatch, n, chunk):
+    monkeypatch.setattr(forest, "CHUNK", chunk)
+    assert recall_of(spark, monkeypatch, unit(n), 60)[0] >= 0.93
+
+
+def test_recall_of_unequal_lengths_and_groups(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    x = unit(4000, 32) * r.uniform(0.5, 2, size=(4000, 1)).astype(np.float32)
+    x[1000:2000] = x[7]  # copies
+    x[2000:3000] = x[8] + r.normal(size=(1000, 32)).astype(np.float32) * 0.2
+    monkeypatch.setattr(forest, "CHUNK", 1500)  # some nodes are cut into chunks
+    assert recall_of(spark, monkeypatch, x, 40)[0] >= 0.9
 
 
 # 3 -----------------------------------------------------------------------------------------
@@ -355,9 +381,9 @@ def test_sketches_bound_the_symmetric_difference():
 
 def test_too_few_blocks_are_noticed():
     s = np.arange(16, dtype=np.uint64) << np.uint64(40)  # all in one block
-    (token, need), *_ = parity_join.blocks_of(s, np.zeros(parity_join.COUNTERS, np.int32), 16)
+    (token, need), *_ = parity_join.blocks_of(s, np.zeros(parity_join.CELLS, np.int32), 16)
     assert len(token) == 1 and need < 1
-    assert all(n >= 1 for _, n in parity_join.blocks_of(s, np.zeros(parity_join.COUNTERS, np.int32), 1 << 44))
+    assert all(n >= 1 for _, n in parity_join.blocks_of(s, np.zeros(parity_join.CELLS, np.int32), 1 << 44))
 
 
 def test_components(spark):
