@@ -4,15 +4,16 @@ Base spans come from three patterns over the whole text. Then every encoded stre
 layer (URL escapes, ``\\uXXXX`` and ``\\xXX`` escapes, base64 in one run or over several lines, and the members of
 gzip/zlib/bzip2/xz anywhere in a decoded layer) is unwrapped into a new layer, which is scanned and unwrapped in turn, until nothing new appears. A layer
 with the same bytes from the same place is not entered again, so cycles end; decoded layers
-shrink, and the sum of what one encoded stretch of the text may unwrap is bounded by
-``max_unwrapped`` bytes for compressed layers only, since those alone can grow (beyond it a
-compressed stretch is reported with kind ``bomb`` rather than dropped). A finding inside a
+shrink, except compressed ones. What one encoded stretch unwraps beyond ``WINDOW`` bytes is scanned
+in overlapping windows, so memory stays bounded; beyond ``max_unwrapped`` bytes in all, a
+stretch is reported with kind ``bomb`` rather than dropped. A finding inside a
 layer is mapped back to code points of the original text: byte by byte through URL and
 Unicode escapes, and to the whole encoded stretch through base64 and compression; through base64
 over several lines, to the lines that hold it. Base64 is read from each of its first four
 characters on, as others may be glued to its front, and what it holds need not be text.
 
-Defined results: null text is empty; a span found both directly and in a layer is given once.
+Defined results: null text is empty; a span found both directly and in a layer is given once;
+repeated rows are each answered; an empty table gives an empty table.
 Input columns named like an output column are replaced.
 """
 
@@ -45,8 +46,9 @@ WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _HEX = bytes(120 if 48 <= b <= 57 or 97 <= b <= 102 else 32 for b in range(256))
 _B64 = bytes(120 if chr(b).isalnum() and b < 128 or b in b"+/-_=" else 32 for b in range(256))
 URL = re.compile(rb"%[0-9A-Fa-f]{2}")
-UNI = re.compile(rb"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
-UNIT = re.compile(rb"\\[ux]([0-9A-Fa-f]+)")
+UNI = re.compile(rb"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
+#: The value of each hexadecimal digit, 16 for other bytes.
+DIGIT = np.array([int(chr(b), 16) if chr(b) in "0123456789abcdefABCDEF" else 16 for b in range(256)], np.uint8)
 B64 = re.compile(rb"[A-Za-z0-9+/_-]+={0,2}")
 PLAIN = bytes.maketrans(b"-_", b"+/")
 #: Line breaks, written as they are or escaped, with indentation; lines joined by them.
@@ -56,7 +58,7 @@ CONTROL = bytes(b for b in range(32) if b not in b"\t\n\r")
 #: gzip, bzip2, xz, and the headers of zlib.
 MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|" + b"|".join(re.escape(bytes([a, b])) for a in range(8, 128, 16) for b in range(256) if (a << 8 | b) % 31 == 0 and not b & 32))
 RUN = 16  # the shortest assignment found, of 12 bytes, has 16 characters in base64
-MAX_UNWRAPPED = 64 << 20
+MAX_UNWRAPPED, WINDOW, OVERLAP = 1 << 30, 16 << 20, 1 << 20
 PIECE = 1 << 14
 BROKEN = (zlib.error, OSError, lzma.LZMAError, EOFError)
 
@@ -98,18 +100,43 @@ class Layer:
             return a, b
         return (self.lo, self.hi) if isinstance(self.lo, int) else (int(self.lo[a:b].min()), int(self.hi[a:b].max()))
 
-    def spliced(self, parts: list[tuple[int, int, bytes]]) -> "Layer":
-        """This layer with stretches replaced; what replaces one comes from the whole of it."""
-        n = len(self.data)
-        lo = np.arange(n) if self.lo is None else np.broadcast_to(self.lo, n)
-        hi = lo + 1 if self.hi is None else np.broadcast_to(self.hi, n)
-        data, los, his, at = [], [], [], 0
-        for a, b, new in parts:
-            data += [self.data[at:a], new]
-            los += [lo[at:a], np.full(len(new), lo[a:b].min())]
-            his += [hi[at:a], np.full(len(new), hi[a:b].max())]
-            at = b
-        return Layer(b"".join([*data, self.data[at:]]), np.concatenate([*los, lo[at:]]), np.concatenate([*his, hi[at:]]))
+    def spliced(self, start: np.ndarray, length: np.ndarray, code: np.ndarray, run: np.ndarray, as_bytes: bool) -> "Layer":
+        """This layer with a byte or a character, the ``code``, in place of each stretch that begins at
+        ``start`` (a negative one: nothing). What replaces a stretch comes from the whole of its
+        ``run``, which is a number that neighbours share."""
+        data = np.frombuffer(self.data, np.uint8)
+        n = len(data)
+        start, length, run = start.astype(np.int32), length.astype(np.int8), run.astype(np.int32)
+        wide = ((1 if as_bytes else 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)) * (code >= 0)).astype(np.int8)
+        size = np.ones(n, np.int8)
+        for i in range(int(length.max())):
+            size[start[length > i] + i] = 0
+        size[start] = wide
+        at = np.cumsum(size, dtype=np.int32)
+        out = np.empty(int(at[-1]), np.uint8)
+        at -= size
+        kept = size > 0
+        kept[start] = False
+        out[at[kept]] = data[kept]
+        for i in range(int(wide.max())):
+            own = wide > i
+            c, w = code[own], wide[own].astype(np.int32)
+            lead = np.select([w < 2, w == 2, w == 3], [c, 0xC0 | c >> 6, 0xE0 | c >> 12], 0xF0 | c >> 18)
+            out[at[start[own]] + i] = (lead if i == 0 else 0x80 | c >> 6 * (w - 1 - i) & 63).astype(np.uint8)
+        del at, kept
+        begin = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])).astype(np.int32)
+        last = np.append(begin[1:], len(start)) - 1
+        a, b, each = start[begin], start[last] + length[last], np.diff(np.append(begin, len(start)))
+        if self.lo is None:
+            lo = np.arange(n, dtype=np.int32)
+            hi = lo + 1
+        else:
+            lo, hi = (np.array(np.broadcast_to(x, n), np.int32) for x in (self.lo, self.hi))
+            cuts = np.stack([a, b], 1).ravel()
+            cuts = cuts[:-1] if cuts[-1] == n else cuts
+            a, b = np.minimum.reduceat(lo, cuts)[::2], np.maximum.reduceat(hi, cuts)[::2]
+        lo[start], hi[start] = np.repeat(a, each), np.repeat(b, each)
+        return Layer(out.tobytes(), np.repeat(lo, size), np.repeat(hi, size))
 
     def whole(self, a: int, b: int, data: bytes) -> "Layer":
         return Layer(data, *self.origin(a, b))
@@ -159,6 +186,35 @@ def inflate(data: bytes, most: int, at: int = 0) -> tuple[bytes, int, bool] | No
     return False if n > most else (b"".join(out), end, cut) if n else None
 
 
+def windows(data: bytes, at: int, most: int):
+    """What the compressed members from ``at`` on hold, in overlapping windows; None in the end if that
+    is more than ``most``."""
+    view, end, held, fresh, n = memoryview(data), at, [], 0, 0
+    while (d := decompressor(view[end:])) is not None:
+        try:
+            for i in range(end, len(data), 1 << 10):
+                held.append(d.decompress(view[i : i + (1 << 10)]))
+                n, fresh = n + len(held[-1]), fresh + len(held[-1])
+                if n > most:
+                    yield None
+                    return
+                if fresh >= WINDOW:
+                    whole = b"".join(held)
+                    yield whole
+                    held, fresh = [whole[-OVERLAP:]], 0
+                if d.eof:
+                    break
+        except BROKEN:
+            break
+        if not d.eof:
+            break
+        end = min(len(data), i + (1 << 10)) - len(d.unused_data)
+        while end < len(data) and not data[end]:
+            end += 1
+    if fresh:
+        yield b"".join(held)
+
+
 def readable(data: bytes) -> bool:
     """Whether decoded bytes look like text: UTF-8 with few control characters."""
     try:
@@ -176,25 +232,25 @@ def unwrap(layer: Layer, most):
         for at in packed(data):
             if at < done:  # what a whole member holds is not looked into twice
                 continue
-            got = inflate(data, most(at), at)
+            got = inflate(data, min(WINDOW, most(at)), at)
             if got is False:
-                yield at, len(data), None
+                if any(x is None for x in windows(data, at, most(at))):
+                    yield at, len(data), None
+                else:
+                    yield from (layer.whole(at, len(data), x) for x in windows(data, at, most(at)) if telling(x))
             elif got is not None:
                 new, done, cut = got
                 if telling(new):
                     yield layer.whole(at, len(data) if cut else done, new)
-    if b"%" in data and (found := list(URL.finditer(data))):
-        yield layer.spliced([(m.start(), m.end(), bytes([int(m.group()[1:], 16)])) for m in found])
-    if (b"\\u" in data or b"\\x" in data) and (found := list(UNI.finditer(data))):
-        parts = []
-        for m in found:
-            units = [(u.start(), u.end(), int(u[1], 16)) for u in UNIT.finditer(data, m.start(), m.end())]
-            if all(x < 128 for _, _, x in units):  # one escape for one byte
-                parts += [(a, b, bytes([x])) for a, b, x in units]
-            else:
-                text = "".join(chr(x) for _, _, x in units).encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
-                parts.append((m.start(), m.end(), text.encode()))
-        yield layer.spliced(parts)
+    if b"%" in data and URL.search(data):
+        x = np.frombuffer(data, np.uint8)
+        start = np.flatnonzero(x[:-2] == 37)
+        one, two = DIGIT[x[start + 1]], DIGIT[x[start + 2]]
+        own = (one < 16) & (two < 16)
+        start, code = start[own], (one[own] * 16 + two[own]).astype(np.int32)
+        yield layer.spliced(start, np.full(len(start), 3, np.int8), code, np.arange(len(start), dtype=np.int32), True)
+    if (b"\\u" in data or b"\\x" in data) and UNI.search(data):
+        yield layer.spliced(*escapes(np.frombuffer(data, np.uint8)), False)
     for a, b in runs(data, _B64, RUN):
         for m in B64.finditer(data, a, b):
             for raw, _ in decoded(m.group().rstrip(b"=")):
@@ -210,6 +266,31 @@ def unwrap(layer: Layer, most):
                 yield Layer(raw, lo[at], hi[at + 1])
 
 
+def escapes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Unicode escapes: where they begin, how long they are, their characters (surrogate pairs put
+    together, lone ones replaced), and the runs that count as one: those with other than ASCII."""
+    n = len(x)
+    start = np.flatnonzero(x == 92)
+    digit = lambda i: np.where(start + i < n, DIGIT[x[np.minimum(start + i, n - 1)]], 16).astype(np.int32)
+    kind = x[np.minimum(start + 1, n - 1)]
+    d = [digit(i) for i in range(2, 6)]
+    short = (kind == 120) & (d[0] < 16) & (d[1] < 16)
+    long = (kind == 117) & np.all([v < 16 for v in d], axis=0)
+    code = np.where(long, d[0] << 12 | d[1] << 8 | d[2] << 4 | d[3], d[0] << 4 | d[1])
+    own = short | long
+    start, length, code = start[own], np.where(long, 6, 4)[own], code[own]
+    new = np.concatenate([[True], start[1:] != start[:-1] + length[:-1]])  # the first escape of a run
+    run = np.cumsum(new) - 1
+    ascii_ = np.maximum.reduceat(code, np.flatnonzero(new)) < 128
+    high, low = (code & 0xFC00) == 0xD800, (code & 0xFC00) == 0xDC00
+    pair = np.append(high[:-1] & low[1:] & ~new[1:], False)
+    second = np.append(False, pair[:-1])
+    both = 0x10000 + ((code & 0x3FF) << 10) + np.append(code[1:] & 0x3FF, 0)
+    code = np.where(pair, both, np.where((high | low) & ~pair, 0xFFFD, code))
+    code = np.where(second, -1, code)
+    return start, length, code, np.where(ascii_[run], -1 - np.arange(len(run)), run)
+
+
 def wrapped(data: bytes):
     """Base64 over several lines, as (start, end) of each line."""
     if not (b"\n" in data or b"\r" in data or b"\\n" in data):
