@@ -8,14 +8,15 @@ under its rarest. A document's shingles probe that index; the position of the sh
 where the window would begin, the length and position bounds drop what cannot fit, and the
 rest is compared word by word.
 
-The benchmark is read in blocks of at most ``block_bytes`` of text, whatever its size, and
-only one block is broadcast; documents are never shuffled. Counts are collected for one
-block's shingles at a time.
+The benchmark is read in blocks of about ``block_bytes`` of text, whatever its size: one block at a
+time is on the driver and broadcast, and what it marks is written before the next one is read.
+Documents are never shuffled. Counts are collected for one block's shingles at a time.
 
 Defined results: a null or empty text has no words, is never hit; items with a null id, null
 text or no words have no windows; items that share an id are one item; identical windows of
-several items count for each. Repeated document rows are each answered. Input columns named
-like an output column are replaced.
+several items count for each. Repeated document rows are each answered. An empty table of
+documents gives an empty one, an empty benchmark marks nothing. Input columns named like an output
+column are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, prepare, table, utf8_of
+from .common import add_columns, discard, materialize, prepare, table, utf8_of
 
 WINDOW, SHINGLE, BLOCK_BYTES = 10, 5, 4 << 20
 
@@ -143,13 +144,14 @@ class Block:
 
 
 def blocks_of(benchmark: DataFrame, window: int, shingle: int, block_bytes: int):
-    """The benchmark as blocks of bounded size, dealt by a hash of the item's id."""
+    """The benchmark as blocks of bounded size, dealt by a hash of the item's id; with each, whether it
+    is the last. A block is made when it is asked for."""
     b = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), F.col("text"))
     total = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     for i in range(n):
         part = b if n == 1 else b.where(F.pmod(F.xxhash64("item"), F.lit(n)) == i)
-        yield Block([(r.item, r.text.encode()) for r in part.toLocalIterator()], window, shingle)
+        yield Block([(r.item, r.text.encode()) for r in part.toLocalIterator()], window, shingle), i == n - 1
 
 
 def document_counts(docs: DataFrame, block: Block) -> dict[int, int]:
@@ -170,6 +172,7 @@ def document_counts(docs: DataFrame, block: Block) -> dict[int, int]:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at])], names=["i", "n"])
 
     rows = docs.select("text").mapInArrow(count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
+    sent.unpersist()
     return {int(block.keys[r.i]): r.n for r in rows}
 
 
@@ -179,11 +182,10 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     prepare(spark)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "n_hit", "item_ids", "contaminated")]
     source, out = docs, docs
-    blocks = list(blocks_of(benchmark, window, shingle, block_bytes))
     inner = T.StructType().add("__hit", "binary").add("__items", T.ArrayType(T.StringType()))
     final = T.StructType().add("n_words", "long").add("n_hit", "long").add("item_ids", T.ArrayType(T.StringType())).add("contaminated", "boolean")
-    for k, block in enumerate(blocks):
-        first, last = k == 0, k == len(blocks) - 1
+    for k, (block, last) in enumerate(blocks_of(benchmark, window, shingle, block_bytes)):
+        first = k == 0
         sent = spark.sparkContext.broadcast(block.by_rarity(document_counts(source, block)))
 
         def make(sent=sent, first=first, last=last):
@@ -212,7 +214,12 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
             return f
 
         needs = ("text",) if first else ("text", "__hit", "__items")
-        out = add_columns(out, make, final if last else inner, keep if last else [*dict.fromkeys([*keep, "text"])], needs)
+        before, out = out, add_columns(out, make, final if last else inner, keep if last else [*dict.fromkeys([*keep, "text"])], needs)
+        if not last:
+            out = materialize(out, "marked")
+            sent.unpersist()
+            if not first:
+                discard(before)
     return out
 
 
