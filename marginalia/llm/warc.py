@@ -2,15 +2,17 @@
 
 Records are written as text by Spark's own file writer (a record is a string that ends in the
 line separator CR LF), gzip-compressed per file, so commits, retries and any file system that
-Spark reaches work as for any table. They are read back as binary files and parsed by
-Content-Length in a stream. Deduplication shuffles digests, not payloads, to find the record
+Spark reaches work as for any table. Files hold about ``FILE_BYTES`` of payload: records are counted
+by the mean payload, those of more than four times the mean in files of their own by the largest.
+They are read back as binary files and parsed by Content-Length in a stream. Deduplication shuffles digests, not payloads, to find the record
 that stays (the largest page_id); pages then meet the digests that repeat in one equi-join,
 which adaptive execution may broadcast or split. Revisit records carry fresh headers and no
 payload; reading joins them to their original responses.
 
 Defined results: null html is an empty payload; a null url leaves the header out; rows that
 repeat the largest page_id of a payload are all responses; a null page_id is smaller than any
-other and comes back as null; a revisit whose response is missing has null payload_bytes.
+other and comes back as null; a revisit whose response is missing has null payload_bytes; an empty
+table gives an empty archive and no rows; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, prepare, scratch_dir, table
 
-MIN_BYTES, RECORDS_PER_FILE = 0, 20_000
+MIN_BYTES, FILE_BYTES = 0, 32 << 20
 #: Fixed values of the formats.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -78,9 +80,14 @@ def record(date: Column) -> Column:
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> None:
     """A deduplicated archive of ``pages`` (page_id, url, html) in the folder ``path``."""
-    date = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    out = with_types(pages, min_bytes).select(record(date).alias("value"))
-    out.write.option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path, compression="gzip")
+    date, size = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.octet_length("payload")
+    out = with_types(pages, min_bytes)
+    n = F.octet_length("html")
+    mean, largest = (int(x or 0) + 1024 for x in pages.agg(F.avg(n), F.max(n)).first())  # with room for a header
+    parts = [(size <= 4 * mean, mean)] + [(size > 4 * mean, largest)] * (largest > 4 * mean)
+    for own, each in parts:
+        rows = out.where(own).select(record(date).alias("value"))
+        rows.write.mode("append").option("lineSep", "\r\n").option("maxRecordsPerFile", max(1, FILE_BYTES // each)).text(path, compression="gzip")
 
 
 def inflated(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
