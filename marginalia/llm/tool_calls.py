@@ -11,18 +11,23 @@ conversation that the message's calls build on.
   rounds as the logarithm of the longest chain; calls on a cycle, or behind one, have none and
   come last. (level, turn, place) then sorts calls after what they build on, and a result goes
   with its call, whatever turn it arrived in. No conversation is gathered in one task.
-* Arguments are checked against the tool's schema (a subset of JSON Schema: type, required,
-  properties with type, enum, minimum, maximum, minLength, maxLength, and
-  additionalProperties), compiled into one expression.
+* Arguments are checked against the tool's schema (the part of JSON Schema that :data:`KEYWORDS`
+  names, nested as deep as it likes), compiled into one expression; a schema with any other keyword is
+  refused.
 * A call and its result are written as canonical JSON: keys sorted, no white space.
 
 Defined results: null or empty ``tool_calls`` make no call; a call without an id is never
 answered; a result whose id no call has is an orphan row; repeated calls and results are
-answered each; arguments that are not a JSON object, or a tool without a schema, are invalid.
+answered each; arguments that are not a JSON object, or a tool without a schema, are invalid; an
+empty table gives an empty table; other columns, whatever their names, are not looked at. A message
+builds on one call at most.
 """
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,35 +52,79 @@ TOOLS = {
 _TYPES = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DOUBLE", "DECIMAL", "FLOAT"), "boolean": ("BOOLEAN",), "object": ("OBJECT",), "array": ("ARRAY",), "null": ("VOID",)}
 
 
-def problem(args: Column, schema: dict) -> Column:
-    """The first rule of a schema that a variant breaks, or null."""
-    rules: list[tuple[Column, str]] = [(args.isNull() | ~F.schema_of_variant(args).startswith("OBJECT"), "not an object")]
-    names = F.map_keys(F.from_json(F.to_json(args), "map<string,string>"))
+#: What a schema may say; the second line says nothing about what is valid.
+KEYWORDS = {"type", "enum", "required", "properties", "additionalProperties", "items", "minimum", "maximum", "minLength", "maxLength", "minItems", "maxItems"}
+NOTES = {"title", "description", "default", "examples", "$schema"}
+
+
+def canonical(value) -> str:
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def is_type(value: Column, name: str) -> Column:
+    """Whether a variant has a JSON type; 1.0 is an integer too."""
+    kind = F.schema_of_variant(value)
+    if name == "integer":
+        n = F.try_variant_get(value, "$", "double")
+        return F.coalesce(is_type(value, "number") & (n == F.floor(n)), F.lit(False))
+    return reduce(lambda x, y: x | y, [kind.startswith(t) for t in _TYPES[name]])
+
+
+def equals(value: Column, want) -> Column:
+    """Whether a variant is a JSON value: numbers by value, others by their canonical text."""
+    if isinstance(want, (int, float)) and not isinstance(want, bool):
+        return is_type(value, "number") & (F.try_variant_get(value, "$", "double") == float(want))
+    return ~is_type(value, "number") & (F.to_json(value) == canonical(want))
+
+
+def rules(value: Column, schema: dict, path: str) -> list[tuple[Column, str]]:
+    """(broken, what to say) for each rule of a schema on a variant that is there, in order."""
+    if unknown := set(schema) - KEYWORDS - NOTES:
+        raise ValueError(f"keywords that are not supported: {sorted(unknown)}")
+    said = (lambda what: f"{path}: {what}") if path else (lambda what: what)
+    out: list[tuple[Column, str]] = []
+    if "type" in schema:
+        kinds = [schema["type"]] if isinstance(schema["type"], str) else schema["type"]
+        if any(k not in _TYPES for k in kinds):
+            raise ValueError(f"types that are not known: {kinds}")
+        out.append((~reduce(lambda x, y: x | y, [is_type(value, k) for k in kinds]), said("type") if path else "not an object"))
+    if "enum" in schema:
+        out.append((~reduce(lambda x, y: x | y, [F.coalesce(equals(value, w), F.lit(False)) for w in schema["enum"]], F.lit(False)), said("enum")))
+    own = F.when(is_type(value, "object"), F.from_json(F.to_json(value), "map<string,variant>"))
+    names = F.map_keys(own)
     for name in schema.get("required", []):
-        rules.append((~F.coalesce(F.array_contains(names, name), F.lit(False)), f"{name}: missing"))
+        out.append((~F.array_contains(names, name), f"{path}.{name}: missing" if path else f"{name}: missing"))
     if schema.get("additionalProperties") is False:
-        rules.append((F.size(F.array_except(names, F.array(*map(F.lit, schema.get("properties", {}))))) > 0, "unknown property"))
+        known = F.array(*map(F.lit, schema.get("properties", {}))).cast("array<string>")
+        out.append((F.size(F.array_except(names, known)) > 0, said("unknown property")))
+    elif not isinstance(schema.get("additionalProperties", True), bool):
+        raise ValueError("additionalProperties must be true or false")
     for name, want in schema.get("properties", {}).items():
-        path = f"$['{name}']"
-        value = F.try_variant_get(args, path, "variant")
-        text, number = F.try_variant_get(args, path, "string"), F.try_variant_get(args, path, "double")
-        if "type" in want:
-            kinds = [F.schema_of_variant(value).startswith(t) for t in _TYPES[want["type"]]]
-            ok = kinds[0]
-            for k in kinds[1:]:
-                ok = ok | k
-            rules.append((value.isNotNull() & ~ok, f"{name}: type"))
-        if "enum" in want:
-            rules.append((value.isNotNull() & ~text.isin([str(x) for x in want["enum"]]), f"{name}: enum"))
-        for key, bad in (("minimum", lambda x: number < x), ("maximum", lambda x: number > x), ("minLength", lambda x: F.char_length(text) < x), ("maxLength", lambda x: F.char_length(text) > x)):
-            if key in want:
-                rules.append((F.coalesce(bad(want[key]), F.lit(False)), f"{name}: {key}"))
-    out = F.lit(None).cast("string")
-    for bad, said in reversed(rules):
-        out = F.when(bad, said).otherwise(out)
+        # a property that is not there breaks no rule of its own
+        child = F.try_element_at(own, F.lit(name))
+        out += [(child.isNotNull() & F.coalesce(bad, F.lit(False)), what) for bad, what in rules(child, want, f"{path}.{name}" if path else name)]
+    text, number = (F.when(is_type(value, k), F.try_variant_get(value, "$", t)) for k, t in (("string", "string"), ("number", "double")))
+    items = F.when(is_type(value, "array"), F.from_json(F.to_json(value), "array<variant>"))
+    bounds = {"minimum": lambda x: number < x, "maximum": lambda x: number > x, "minLength": lambda x: F.char_length(text) < x, "maxLength": lambda x: F.char_length(text) > x,
+              "minItems": lambda x: F.size(items) < x, "maxItems": lambda x: F.size(items) > x}
+    out += [(bad(schema[key]), said(key)) for key, bad in bounds.items() if key in schema]
+    if "items" in schema:
+        def some(what: str) -> Column:
+            own = lambda x: [F.coalesce(bad, F.lit(False)) for bad, said in rules(x, schema["items"], f"{path}[]") if said == what]
+            return F.exists(items, lambda x: reduce(lambda a, b: a | b, own(x)))
+
+        out += [(some(what), what) for what in dict.fromkeys(what for _, what in rules(F.lit(None), schema["items"], f"{path}[]"))]
     return out
 
 
+def problem(args: Column, schema: dict) -> Column:
+    """The first rule of a schema that a variant breaks, or null."""
+    out = F.lit(None).cast("string")
+    for bad, said in reversed(rules(args, {"type": "object"} | schema, "")):
+        out = F.when(F.coalesce(bad, F.lit(False)), said).otherwise(out)
+    return F.when(args.isNull(), "not an object").otherwise(out)
+
+
 def calls_of(messages: DataFrame) -> DataFrame:
     return messages.select("conv_id", "turn", "parent_id", F.posexplode("tool_calls").alias("place", "__call")).select(
         "conv_id", "turn", "parent_id", "place", F.col("__call.id").alias("call_id"), F.col("__call.name").alias("name"), F.col("__call.arguments").alias("arguments"))
@@ -89,18 +138,16 @@ def levels(calls: DataFrame) -> DataFrame:
     known = first.select(F.col("conv_id").alias("__c"), F.col("call_id").alias("__i"))
     up = first.join(known, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("up") == F.col("__i")), "left")
     state = materialize(up.select("conv_id", "call_id", F.col("__i").alias("up"), F.when(F.col("__i").isNull(), 0).otherwise(1).cast("long").alias("level")), "levels")
-    reach, rows = 1, None
-    while True:
-        open_ = state.where("up is not null")
-        if open_.isEmpty():
-            return state.select("conv_id", "call_id", "level")
-        rows = state.count() if rows is None else rows
-        if reach > rows:  # longer than any chain: a cycle
-            return state.select("conv_id", "call_id", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
-        ahead = state.select(F.col("conv_id").alias("__c"), F.col("call_id").alias("__i"), F.col("up").alias("__up"), F.col("level").alias("__level"))
-        state = state.join(ahead, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("up") == F.col("__i")), "left")
+    most = state.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0  # no chain is longer
+    done, open_, reach = state.where("up is null"), state.where("up is not null"), 1
+    # only what is still open goes round; what is done is looked up
+    while reach <= most and not open_.isEmpty():
+        ahead = done.unionByName(open_).select(F.col("conv_id").alias("__c"), F.col("call_id").alias("__i"), F.col("up").alias("__up"), F.col("level").alias("__level"))
+        state = open_.join(ahead, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("up") == F.col("__i")), "left")
         state = materialize(state.select("conv_id", "call_id", F.col("__up").alias("up"), (F.col("level") + F.coalesce("__level", F.lit(0))).alias("level")), "levels")
-        reach *= 2
+        done, open_, reach = done.unionByName(state.where("up is null")), state.where("up is not null"), 2 * reach
+    cycles = open_.withColumn("level", F.lit(None).cast("long"))
+    return done.unionByName(cycles).select("conv_id", "call_id", "level")
 
 
 def link_tool_calls(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
