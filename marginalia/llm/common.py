@@ -60,12 +60,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base}/marginalia/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
+#: Paths of the tables that this process has written, in order.
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: the lineage ends there,
     so a lost executor costs a re-read and not a recomputation."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -83,6 +88,20 @@ def discard(*tables: DataFrame) -> None:
             _delete(spark, os.path.dirname(os.path.dirname(files[0])))
 
 
+def written() -> int:
+    """A mark for :func:`discard_since`."""
+    return len(_WRITTEN)
+
+
+def discard_since(spark: SparkSession, mark: int, keep: DataFrame | None = None) -> None:
+    """Delete the tables written since a mark, but for one that is still read."""
+    stay = {os.path.dirname(f) for f in keep.inputFiles()} if keep is not None else set()
+    for path in _WRITTEN[mark:]:
+        if not any(x.endswith(path.split(":", 1)[-1].lstrip("/")) for x in stay):
+            _delete(spark, path)
+            _WRITTEN.remove(path)
+
+
 #: Ids that may be broadcast: 8 MB.
 FEW = 1_000_000
 

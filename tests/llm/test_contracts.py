@@ -5,7 +5,9 @@ import base64
 import bz2
 import gzip
 import hashlib
+import json
 import lzma
+import os
 import random
 import re
 import urllib.parse
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from marginalia.llm import components, decontaminate, forest, line_dedup, packing, parity_join, ppm_langid, quality_cnn, secrets, tool_calls, warc
 
 DOC = "doc_id long, text string"
+DATA = "/root/testdata/sf0.01"
 
 
 def rows(df, *cols):
@@ -234,6 +237,48 @@ def test_tool_calls(spark):
     assert tool_calls.link_tool_calls(m.limit(0), tools).count() == 0
 
 
+def valid(x, schema):
+    """A plain validator; ``None``: not there."""
+    number = isinstance(x, (int, float)) and not isinstance(x, bool)
+    types = {"string": isinstance(x, str), "integer": number and x == int(x), "number": number, "boolean": isinstance(x, bool), "object": isinstance(x, dict), "array": isinstance(x, list), "null": x is None}
+    kinds = schema.get("type", list(types))
+    if not any(types[k] for k in ([kinds] if isinstance(kinds, str) else kinds)):
+        return False
+    alike = lambda a, b: type(a) is type(b) and a == b or (number and isinstance(b, (int, float)) and not isinstance(b, bool) and a == b)
+    if "enum" in schema and not any(alike(x, w) for w in schema["enum"]):
+        return False
+    if isinstance(x, dict):
+        own = schema.get("properties", {})
+        if set(schema.get("required", [])) - set(x) or (schema.get("additionalProperties") is False and set(x) - set(own)):
+            return False
+        if not all(valid(x[k], s) for k, s in own.items() if k in x):
+            return False
+    if isinstance(x, list) and not (schema.get("minItems", 0) <= len(x) <= schema.get("maxItems", 99) and all(valid(y, schema.get("items", {})) for y in x)):
+        return False
+    if isinstance(x, str) and not schema.get("minLength", 0) <= len(x) <= schema.get("maxLength", 99):
+        return False
+    return not number or schema.get("minimum", x) <= x <= schema.get("maximum", x)
+
+
+def test_arguments_against_a_plain_validator(spark):
+    r = random.Random(4)
+    schema = {
+        "type": "object", "required": ["a"], "description": "says nothing",
+        "properties": {
+            "a": {"type": "integer", "minimum": 0, "maximum": 5}, "b": {"enum": ["x", 1, True, None, {"k": [1, 2]}]}, "it's \"q\"": {"type": ["string", "null"], "minLength": 2, "maxLength": 3},
+            "o": {"type": "object", "required": ["z"], "properties": {"z": {"type": "array", "minItems": 1, "maxItems": 3, "items": {"type": "number", "maximum": 5}}}, "additionalProperties": False}}}
+    some = {
+        "a": [0, 1, 5, 6, -1, 1.0, 1.5, "1", True, None, 2, 3], "b": ["x", "y", 1, 1.0, "1", True, "true", False, None, {"k": [1, 2]}, {"k": [2, 1]}], "it's \"q\"": ["q", "qq", "qqqq", None, 5],
+        "o": [{}, {"z": [1]}, {"z": [1, 9]}, {"z": [1, "s"]}, {"z": [1, 2, 3, 4]}, {"z": []}, {"z": [1], "y": 1}, 5, [1]]}
+    rows_ = [{k: r.choice(v) for k, v in some.items() if r.random() < (0.95 if k == "a" else 0.4)} for _ in range(400)] + [[1], 5, None, "x"]
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(rows_)], "i int, x string")
+    got = {x.i: x.p for x in df.select("i", tool_calls.problem(F.try_parse_json("x"), schema).alias("p")).collect()}
+    want = [valid(x, schema) for x in rows_]
+    assert [got[i] is None for i in range(len(rows_))] == want and 20 < sum(want) < 380
+    with pytest.raises(ValueError, match="oneOf"):
+        tool_calls.problem(F.lit(None), {"properties": {"a": {"oneOf": []}}})
+
+
 def test_long_chains_take_few_rounds(spark):
     n = 40
     chain = [(7, i, None, [(f"c{i}", "f", "{}")], None, f"c{i - 1}" if i else None) for i in range(n)]
@@ -276,6 +321,25 @@ def test_quality_with_one_class_or_none(spark):
     assert quality_cnn.score_quality(d.limit(0), model).count() == 0
 
 
+def test_scores_are_those_of_plain_loops():
+    m, r = quality_cnn.Cnn(3), random.Random(2)
+    p, half, group, n = m.p, quality_cnn.HALF, quality_cnn.GROUP, quality_cnn.FILTERS
+    for text in (b"", b"short", bytes(r.randrange(256) for _ in range(1000)), b"z" * (half * 3)):
+        count = max(1, -(-len(text) // half))
+        padded = text + b"\0" * (count * half + group - len(text))
+        pooled = []
+        for h in range(count):
+            best = np.full(n, -np.inf)
+            for at in range(h * half, (h + 1) * half, group):  # eight bytes, in steps of four
+                first, second = (np.concatenate([p["e"][b] for b in padded[x : x + group]]) for x in (at, at + group))
+                best = np.maximum(best, first @ p["w"][:, :n] + second @ p["w"][:, n:])
+            pooled.append(np.maximum(best + p["b"], 0))
+        chunk = [np.maximum(a, b) for a, b in zip(pooled, pooled[1:])] or pooled
+        hidden = np.array([np.maximum(c @ p["v"] + p["d"], 0) for c in chunk])
+        z = np.concatenate([hidden.mean(0), hidden.max(0)]) @ p["u"] + p["c"][0]
+        assert m.scores([text])[0] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+
+
 def test_gradients():
     model, texts, y = quality_cnn.Cnn(), [b"some text", b"other " * 60, b""], np.array([1, 0, 1], np.float32)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
@@ -597,6 +661,82 @@ def test_the_bound_on_unwrapping_is_for_each_stretch():
     assert secrets.KINDS.index("bomb") in [k for _, k, _ in secrets.find(nest, 20_000)[1]]
 
 
+ESCAPE = re.compile(rb"%([0-9A-Fa-f]{2})"), re.compile(rb"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
+
+
+def one_by_one(data):
+    """Each decoded layer of escapes as (bytes, first and last original byte of each)."""
+    runs = [], []
+    runs[0].extend((m.start(), m.end(), bytes([int(m[1], 16)])) for m in ESCAPE[0].finditer(data))
+    for m in ESCAPE[1].finditer(data):
+        units, i = [], m.start()
+        while i < m.end():
+            n = 6 if data[i + 1 : i + 2] == b"u" else 4
+            units.append((i, i + n, int(data[i + 2 : i + n], 16)))
+            i += n
+        if all(x < 128 for _, _, x in units):
+            runs[1].extend((a, b, bytes([x])) for a, b, x in units)
+        else:
+            text = "".join(chr(x) for _, _, x in units).encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+            runs[1].append((m.start(), m.end(), text.encode()))
+    for found in runs:
+        out, at = [], 0
+        for a, b, new in found:
+            out += [(data[i], i, i + 1) for i in range(at, a)] + [(x, a, b) for x in new]
+            at = b
+        if found:
+            yield out + [(data[i], i, i + 1) for i in range(at, len(data))]
+
+
+def test_escapes_are_those_of_the_definition():
+    r = random.Random(3)
+    bits = [b"%41", b"%e9", b"%", b"%4", b"\\u0041", b"\\u00e9", b"\\x41", b"\\xe9", b"\\ud83d", b"\\ude00", b"\\u", b"\\x4", b"a", b"41", "é".encode(), b"\\", b"\\u20ac", b"%4%41"]
+    for _ in range(3000):
+        data = b"".join(r.choice(bits) for _ in range(r.randint(1, 12)))
+        got = [x for x in secrets.unwrap(secrets.Layer(data), lambda at: 1) if isinstance(x, secrets.Layer) and not isinstance(x.lo, int)]
+        assert [list(zip(x.data, x.lo.tolist(), x.hi.tolist())) for x in got] == list(one_by_one(data))
+
+
+def test_many_escapes_take_bounded_memory():
+    import tracemalloc
+
+    text = b"%41" * 2_000_000 + b"%70assword=hunter2hunter"
+    tracemalloc.start()
+    found = secrets.find(text)[1]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(6_000_000, 0, len(text))] and peak < 50 * len(text)
+
+
+def test_large_compressed_stretches_are_scanned_in_windows(monkeypatch):
+    monkeypatch.setattr(secrets, "WINDOW", 1 << 16)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 10)
+    s = b"token: q1w2e3r4t5y6"
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+        for at in (10, 65_530, 200_000, 399_000):
+            body = (b"z " * 200_000)[:at] + s + (b" z" * 200_000)[at:]
+            for data in (pack(body), pack(body[:at]) + pack(body[at:]) if pack is not zlib.compress else pack(body)):
+                t = base64.b64encode(data)
+                assert secrets.find(b"a " + t)[1] == [(2, 0, 2 + len(t))], (pack, at)
+        t = base64.b64encode(pack(b"z " * 300_000))
+        assert [k for _, k, _ in secrets.find(t, 500_000)[1]] == [secrets.KINDS.index("bomb")]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_base_counts_are_duckdbs(spark):
+    import duckdb
+
+    word = "(password|passwd|secret|token|api_?key)[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+    sql = f"""SELECT doc_id, len(list_filter(regexp_extract_all(t, '(?i){word}', 2), lambda x: length(x) >= 6)) AS n_assign,
+      len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access,
+      len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS n_hex
+      FROM (SELECT doc_id, coalesce(text, '') AS t FROM '{DATA}/documents.parquet')"""
+    got = secrets.op10_secret_scan(spark, DATA).select("doc_id", "n_assign", "n_access", "n_hex").collect()
+    want = duckdb.connect().execute(sql).fetchall()
+    same(got, want)
+    assert sum(sum(r[1:]) for r in want) > 0
+
+
 # all ---------------------------------------------------------------------------------------
 
 

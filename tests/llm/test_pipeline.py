@@ -10,7 +10,7 @@ import corpus_pipeline
 from marginalia.llm import packing, quality_cnn
 from marginalia.llm.catalogue import LLM_QUERIES, LLM_SQL
 
-DATA = "/root/testdata/sf0.001"
+DATA, WIDER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -46,6 +46,49 @@ def test_stages(spark, tmp_path, monkeypatch):
     assert seen["packing"].agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= packing.CAPACITY
 
 
+def folder(spark, path, docs, labels=(), items=()):
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], SCHEMA).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_the_pipeline_over_nothing(spark, tmp_path):
+    assert corpus_pipeline.run(spark, folder(spark, tmp_path, [])).count() == 0
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 0, 0), (2, 0, 0)]])
+def test_all_stay_where_nothing_is_learned(spark, tmp_path, labels):
+    docs = [(1, "one text of several plain words"), (2, None), (3, "another text that differs from it in all"), (None, "x")]
+    got = corpus_pipeline.run(spark, folder(spark, tmp_path, docs, labels))
+    assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "2", "3", "None"]
+
+
+def test_repeated_and_null_ids(spark, tmp_path):
+    a, b, c = ("all of these words make text number " + x + " " + " ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    docs = [(1, a), (1, a), (1, b), (2, b), (None, a), (None, c), (None, c), (5, None), (5, None), (6, c + " more")]
+    d = folder(spark, tmp_path, docs)
+    got = corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{d}/documents.parquet"), d)
+    assert sorted((str(r.doc_id), r.text or "") for r in got.collect()) == sorted([("1", a), ("1", b), ("5", ""), ("5", ""), ("6", c + " more")])
+
+
+def test_stages_leave_no_tables_of_their_own(spark, tmp_path):
+    from marginalia.llm import common
+
+    mark = common.written()
+    got = corpus_pipeline.run(spark, folder(spark, tmp_path, [(1, "some words to pack here")]))
+    assert got.count() == 1
+    assert [p.rsplit("/", 1)[1] for p in common._WRITTEN[mark:]] == ["decontaminate", "pieces"]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_quality_on_held_out_documents(spark):
+    labels = spark.read.parquet(f"{WIDER}/labels.parquet").select("doc_id", "quality").where("quality is not null")
+    got = LLM_QUERIES["op5_quality_cnn"](spark, WIDER).where("held_out").join(labels, "doc_id")
+    n, right = got.count(), got.where("predicted = quality").count()
+    assert n > 50 and right >= 0.9 * n
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(LLM_SQL))
 def test_query(spark, name):
