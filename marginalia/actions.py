@@ -10,6 +10,7 @@ import os
 import shlex
 import subprocess
 import time
+import warnings
 import webbrowser
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -71,6 +72,7 @@ class Vault:
     open_uri: Callable[[str], object] = webbrowser.open
     edit: Callable[[str], None] = open_in_editor
     pick: Callable[[list[str]], int] | None = None
+    warn: Callable[[str], object] = warnings.warn
     delay: float = 0.2
     _notes: dict[bool, DataFrame] = field(default_factory=dict, repr=False)
 
@@ -140,6 +142,8 @@ class Vault:
         text = self.contents(note)[1]
         if mentions:
             text += "".join(r.section for r in links.mentions(links.backlinks(self.notes(), note)).collect())
+            for r in links.too_large(self.notes(content=False)).toLocalIterator():
+                self.warn(f"{r.path} is too large to be searched for links ({r.size} bytes)")
         return text
 
     def set_contents(self, note: str, content: str) -> None:
@@ -184,24 +188,22 @@ class Vault:
         one = self.spark.createDataFrame([(text,)], "content string")
         c = F.col("content")
         if show:
-            r = one.select(fm.parse(c).alias("p")).select(F.to_json("p.values").alias("v"), "p.error").first()
+            r = one.select(fm.printed(c).alias("p")).select("p.*").first()
             if r.error:
                 raise NoteError(r.error)
-            import json
-
-            return fm.dump(json.loads(r.v)) if r.v else ""
+            return r.text
         if edit:
             if not key or not value:
-                raise NoteError(f"--{'value' if key else 'key'} is required for edit operation")
+                raise NoteError(f"an edit needs --{'value' if key else 'key'}")
             r = one.select(fm.set_key(c, key, value).alias("r")).select("r.*").first()
             said = f"Updated frontmatter key '{key}' in {note}"
         elif delete:
             if not key:
-                raise NoteError("--key is required for delete operation")
+                raise NoteError("a deletion needs --key")
             r = one.select(fm.delete_key(c, key).alias("r")).select("r.*").first()
             said = f"Deleted frontmatter key '{key}' from {note}"
         else:
-            raise NoteError("no operation specified: use --print, --edit, or --delete")
+            raise NoteError("nothing to do: give --print, --edit or --delete")
         if r.error:
             raise NoteError(r.error)
         self.set_contents(note, r.content)

@@ -8,16 +8,17 @@ Keys are sorted and comments lost when a header is written.
 from __future__ import annotations
 
 import json
+import math
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import trim_ws, value_json
+from .text import let, trim_ws, value_json
 
 DELIMITER = "---"
-NO_HEADER, BAD_YAML = "note does not contain frontmatter", "frontmatter contains invalid YAML"
+NO_HEADER, BAD_YAML = "the note has no header", "the header is not valid YAML"
 _CLOSE = r"\n---[^\S\n]*(?:\n|\z)"
 
 
@@ -37,12 +38,13 @@ def is_closed(c: Column) -> Column:
 def header(c: Column) -> Column:
     """The YAML text; null without a closed header."""
     first = F.char_length(F.substring_index(c, "\n", 1))
-    return F.when(is_closed(c), F.substring(c, first + F.lit(2), _close(c) - first - 1))
+    return F.when(has_header(c), let(_close(c), lambda at: F.when(at > 0, F.substring(c, first + F.lit(2), at - first - 1))))
 
 
 def body(c: Column) -> Column:
     """What follows a closed header, else everything."""
-    return F.when(is_closed(c), F.substring(c, _close(c) + F.char_length(F.regexp_substr(c, F.lit(_CLOSE))), F.lit(2**31 - 1))).otherwise(c)
+    rest = lambda end: F.when(end.isNotNull(), F.substring(c, _close(c) + F.char_length(end), F.lit(2**31 - 1)))
+    return F.coalesce(F.when(has_header(c), let(F.regexp_substr(c, F.lit(_CLOSE)), rest)), c)
 
 
 def _yaml():
@@ -53,20 +55,44 @@ def _yaml():
     return yaml
 
 
+#: What a header may raise: YAML itself, dates that do not exist, mappings as keys, endless nesting.
+_BROKEN = (ValueError, TypeError, RecursionError, OverflowError)
+
+
+def plain(value):
+    """A YAML value as JSON can hold it: keys are strings, what has no type of its own is text."""
+    if isinstance(value, dict):
+        return {k if isinstance(k, str) else json.dumps(plain(k)).strip('"'): plain(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple, set)):
+        return [plain(v) for v in value]
+    if isinstance(value, float) and not math.isfinite(value):
+        return ".nan" if math.isnan(value) else ".inf" if value > 0 else "-.inf"
+    return value if value is None or isinstance(value, (str, bool, int, float)) else str(value)
+
+
 def load(text: str) -> dict | None:
     """A header's mapping, None if it is empty; ValueError if it is not a mapping."""
     yaml = _yaml()
     try:
         got = yaml.safe_load(text)
-    except yaml.YAMLError as e:
+        if got is not None and not isinstance(got, dict):
+            raise ValueError
+        json.dumps(plain(got))  # what is endless shows here
+        return got
+    except (yaml.YAMLError, *_BROKEN) as e:
         raise ValueError(BAD_YAML) from e
-    if got is not None and not isinstance(got, dict):
-        raise ValueError(BAD_YAML)
-    return got
 
 
 def dump(values: dict) -> str:
-    return _yaml().safe_dump(values, sort_keys=True, allow_unicode=True, default_flow_style=False) if values else ""
+    """Sorted YAML; keys that are no strings are written as such, since only strings sort with strings."""
+    if not values:
+        return ""
+    if not all(isinstance(k, str) for k in values):
+        values = {k if isinstance(k, str) else str(k): v for k, v in values.items()}
+    try:
+        return _yaml().safe_dump(values, sort_keys=True, allow_unicode=True, default_flow_style=False)
+    except _BROKEN:
+        return _yaml().safe_dump(plain(values), sort_keys=True, allow_unicode=True, default_flow_style=False)
 
 
 @F.pandas_udf(T.StructType().add("json", T.StringType()).add("error", T.StringType()))
@@ -75,7 +101,7 @@ def _parsed(text: pd.Series) -> pd.DataFrame:
     for t in text:
         try:
             got = load(t) if t is not None else None
-            out.append((None if got is None else json.dumps(got, default=str, ensure_ascii=False), None))
+            out.append((None if got is None else json.dumps(plain(got), ensure_ascii=False, allow_nan=False), None))
         except ValueError as e:
             out.append((None, str(e)))
     return pd.DataFrame(out, columns=["json", "error"], dtype=object)
@@ -102,10 +128,26 @@ def _edited(text: pd.Series, key: pd.Series, value: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["header", "error"], dtype=object)
 
 
+@F.pandas_udf(T.StructType().add("text", T.StringType()).add("error", T.StringType()))
+def _printed(text: pd.Series) -> pd.DataFrame:
+    out = []
+    for t in text:
+        try:
+            out.append((dump((load(t) if t is not None else None) or {}), None))
+        except ValueError as e:
+            out.append((None, str(e)))
+    return pd.DataFrame(out, columns=["text", "error"], dtype=object)
+
+
+def printed(c: Column) -> Column:
+    """struct(text, error): the header as it is shown, sorted; empty without one."""
+    return _printed(header(c))
+
+
 def parse(c: Column) -> Column:
     """struct(values variant, body, error): values are null without a header or with an empty one."""
     got = _parsed(header(c))
-    return F.struct(F.parse_json(got["json"]).alias("values"), F.when(got["error"].isNull(), body(c)).alias("body"), got["error"].alias("error"))
+    return F.struct(F.try_parse_json(got["json"]).alias("values"), F.when(got["error"].isNull(), body(c)).alias("body"), got["error"].alias("error"))
 
 
 def keys(c: Column) -> Column:

@@ -52,7 +52,7 @@ class PathError(ValueError):
     """A path that would leave the vault."""
 
     def __init__(self) -> None:
-        super().__init__("path traversal detected: path must remain within vault directory")
+        super().__init__("the path leads out of the vault")
 
 
 def validate_path(base: str, relative: str) -> str:

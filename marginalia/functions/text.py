@@ -6,9 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The characters that Unicode counts as white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim_ws(c: Column) -> Column:
     """Strip all Unicode white space from both ends (``trim`` strips spaces only)."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+", ""), r"(?U)\s+\z", "")
+    return F.btrim(c, F.lit(WHITE))
+
+
+def let(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` computed once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def lines(c: Column) -> Column:

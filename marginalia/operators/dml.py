@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_rewritable, with_md
 from .links import base_name, replace_all, replacements, rewritten
 
+#: A path with a number before its suffix, as :func:`upserted` makes them.
+NUMBERED = r"(?s)^(.*) ([1-9][0-9]{0,8})\.md\z"
+
 
 def with_content(notes: DataFrame, path: str, content: str) -> DataFrame:
     """Overwrite one note; never creates."""
@@ -39,13 +42,26 @@ def move_plan(notes: DataFrame, old: str, new: str) -> DataFrame:
 
 def upserted(notes: DataFrame, changes: DataFrame, append: bool = False, overwrite: bool = False) -> DataFrame:
     """``notes`` (path, content) after ``changes`` (path, content): new paths are added; for an
-    existing one the content is appended or replaced, or else the change gets a path of its own."""
-    c = changes.select("path", F.col("content").alias("__new"))
+    existing one the content is appended or replaced, or else the change gets a path of its own, the
+    first of "x 1.md", "x 2.md" ... that neither a note nor a change has.
+
+    Of several changes of one path, in the order of their contents (nulls first): all are appended, or
+    the last one replaces, or the first one takes the path if it is free and each other one gets its own.
+    """
     n = notes.select("path", "content", F.lit(True).alias("__old"))
-    if not (append or overwrite):
-        taken = n.select("path", "__old")
-        free = F.when(F.col("__old"), F.concat(F.regexp_replace("path", r"\.md\z", ""), F.lit(" 1.md"))).otherwise(F.col("path"))
-        return n.select("path", "content").unionByName(c.join(taken, "path", "left").select(free.alias("path"), F.col("__new").alias("content")))
-    both = F.concat("content", "__new") if append else F.col("__new")
-    content = F.when(F.col("__old") & F.col("__new").isNotNull(), both).otherwise(F.coalesce("__new", "content"))
-    return n.join(c, "path", "full_outer").select("path", content.alias("content"))
+    if append or overwrite:
+        new = F.array_join(F.array_sort(F.collect_list("content")), "") if append else F.max("content")
+        c = changes.groupBy("path").agg(new.alias("__new"))
+        both = F.concat("content", "__new") if append else F.col("__new")
+        content = F.when(F.col("__old") & F.col("__new").isNotNull(), both).otherwise(F.coalesce("__new", "content"))
+        return n.join(c, "path", "full_outer").select("path", content.alias("content"))
+    known = n.select("path").distinct().withColumn("__taken", F.lit(1))
+    at = Window.partitionBy("path").orderBy("content")
+    c = changes.select("path", "content").join(known, "path", "left").withColumn("__j", F.row_number().over(at) - 1 + F.coalesce("__taken", F.lit(0)))
+    stem, number = F.regexp_extract("path", NUMBERED, 1), F.regexp_extract("path", NUMBERED, 2)
+    numbered = notes.select("path").unionByName(changes.select("path")).where(F.col("path").rlike(NUMBERED))
+    used = numbered.select(F.concat(stem, F.lit(".md")).alias("path"), number.cast("int").alias("k")).groupBy("path").agg(F.collect_set("k").alias("__used"))
+    moved_ = c.where("__j > 0").join(used, "path", "left").withColumn("__used", F.coalesce("__used", F.array().cast("array<int>")))
+    free = F.get(F.array_except(F.sequence(F.lit(1), F.size("__used") + F.col("__j")), F.col("__used")), F.col("__j") - 1)
+    moved_ = moved_.select(F.concat(F.regexp_replace("path", r"\.md\z", ""), F.lit(" "), free.cast("string"), F.lit(".md")).alias("path"), "content")
+    return notes.select("path", "content").unionByName(c.where("__j = 0").select("path", "content")).unionByName(moved_)

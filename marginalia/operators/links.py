@@ -68,12 +68,17 @@ def backlinks(notes: DataFrame, note: str) -> DataFrame:
     return newest_first(out)
 
 
+def too_large(notes: DataFrame) -> DataFrame:
+    """The notes (path, size) that are left out of backlinks because of their size."""
+    return notes.where(is_note(F.col("path")) & (F.col("size") > BACKLINK_CAP)).select("path", "size")
+
+
 def newest_first(matches: DataFrame) -> DataFrame:
     """By modification time, newest first; ties in walk order, then by line."""
     return matches.orderBy(F.desc("mtime_ns"), walk_key(F.col("file_path")), "line_number")
 
 
-#: A wikilink's target; what a Markdown link points at.
+#: A wikilink's target; what a Markdown link points at (of nested brackets, the innermost ``](``).
 WIKI, MARKDOWN = r"\[\[([^\]|#\[]+)(?:\]\]|\||#)", r"\]\((?:\./)?([^)]*)\)"
 
 
@@ -125,10 +130,18 @@ def replace_all(content: Column, pairs: dict[str, str]) -> Column:
     return content
 
 
-def rewritten(notes: DataFrame, old: str, new: str) -> DataFrame:
+def rewritten(notes: DataFrame, old: str, new: str, strict: bool = False) -> DataFrame:
     """The notes whose content changes when links to ``old`` become links to ``new``, with
-    the new content. Case-sensitive; hidden notes are left alone, notes in hidden folders not."""
+    the new content. Case-sensitive; hidden notes are left alone, notes in hidden folders not.
+
+    Links by base name change for all notes of that name; ``strict`` (an extension) leaves those
+    links alone where another note has the same base name, and changes links by path only."""
     pairs = replacements(old, new)
+    if strict:
+        own = [with_md(x.replace("\\", "/")) for x in (old, new)]  # the note may have moved already
+        same = notes.where(is_note(F.col("path")) & (basename(F.col("path")) == with_md(base_name(old))) & ~F.col("path").isin(own))
+        if not same.isEmpty():
+            pairs = {a: b for a, b in pairs.items() if a not in wiki(base_name(old))}
     own = notes.where(is_rewritable(F.col("path")) & F.contains("content", F.lit(base_name(old))))
     out = own.withColumn("__new", replace_all(F.col("content"), pairs)).where(~F.col("__new").eqNullSafe(F.col("content")))
     return out.withColumn("content", F.col("__new")).drop("__new")

@@ -23,9 +23,10 @@ def resolve(notes: DataFrame, name: str) -> DataFrame:
     file = with_md(name)
     c = notes.where((F.col("path") == file) | (basename(F.col("path")) == file)).select("path", walk_key(F.col("path")).alias("k"))
     c = c.withColumn("dir", F.slice("k", F.lit(1), F.size("k") - 1))
-    m = c.select(F.col("k").alias("mk"), F.col("dir").alias("mdir"))
-    above = (F.size("mdir") < F.size("dir")) & (F.slice("dir", F.lit(1), F.size("mdir")) == F.col("mdir")) & (F.col("mk") < F.col("k"))
-    left = c.join(m, above, "left_anti")
+    first = c.groupBy("dir").agg(F.min("k").alias("mk"))
+    above = c.where(F.size("dir") > 0).select("path", "k", F.explode(F.transform(F.sequence(F.lit(0), F.size("dir") - 1), lambda n: F.slice("dir", F.lit(1), n))).alias("dir"))
+    hidden = above.join(first, "dir").where(F.col("mk") < F.col("k")).select("path").distinct()
+    left = c.join(hidden, "path", "left_anti")
     return left.agg(F.max_by("path", "k").alias("path")).where(F.col("path").isNotNull())
 
 

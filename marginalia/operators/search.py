@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import basename, is_note, walk_key
-from ..functions.text import contains_ci, lines, trim_ws
+from ..functions.text import contains_ci, let, lines, trim_ws
 from ..model import SEARCH_CAP
 
 LONG, AROUND, DOTS = 80, 20, "..."
@@ -48,11 +48,6 @@ def snippet(line: Column, query: str, as_bytes: bool = False) -> Column:
     return let(trim_ws(line), shortened)
 
 
-def let(value: Column, f) -> Column:
-    """``f(value)`` with ``value`` computed once, however often ``f`` names it."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
 def search_lines(notes: DataFrame, query: str) -> DataFrame:
     """Every line with the query: the input's columns but content, line_number, line."""
     keep = [c for c in notes.columns if c != "content"]
@@ -92,7 +87,8 @@ def display(matches: DataFrame) -> DataFrame:
 def fuzzy_search(notes: DataFrame, query: str, k: int = 10) -> DataFrame:
     """The ``k`` paths that hold the query's characters in order, case-folded, best first:
     the fewest edits from the base name, then the shortest path, then walk order."""
-    pattern = "(?s).*" + ".*".join(rf"\Q{ch}\E" for ch in query.lower()) + ".*"
+    # each character is looked for once, from where the one before it stood: no way back
+    pattern = r"\A" + "".join(rf"[^\x{{{ord(ch):x}}}]*+\x{{{ord(ch):x}}}" for ch in query.lower())
     hit = notes.where(is_note(F.col("path"))).where(F.regexp_like(F.lower("path"), F.lit(pattern)))
     score = F.levenshtein(F.lower(basename(F.col("path"))), F.lit(query.lower()))
     return hit.select("path", score.alias("score")).orderBy("score", F.char_length("path"), walk_key(F.col("path"))).limit(k)

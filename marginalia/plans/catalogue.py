@@ -6,14 +6,15 @@ Link and header queries run over the notes view that :mod:`marginalia.model` der
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import frontmatter as fm
 from ..functions import paths, text
-from ..model import NOTES_SQL, notes_from_documents
+from ..model import NOTES_SQL, SEARCH_CAP, notes_from_documents
 from ..operators import dml, links, resolve, search
 from ..session import on_workers
+from ..sources import registry
 
 TERM, TARGET_ID, NEW = "the", 10, "archive/renamed"
 
@@ -315,6 +316,68 @@ def q_page_href_links(spark, sf_dir):
     return p.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("pos", "href")).select("page_id", (F.col("pos") + 1).cast("long").alias("pos"), "href")
 
 
+def _sized(spark, sf_dir):
+    """Notes of sizes below, at and above the bound of search and backlinks."""
+    return notes(spark, sf_dir).withColumn("size", (F.lit(SEARCH_CAP - 1) + F.col("mtime_ns") % 3).cast("long"))
+
+
+def q_search_size_cap(spark, sf_dir):
+    """At the bound and above, only the path is searched."""
+    return search.search_notes(_sized(spark, sf_dir), "src").select("file_path", F.col("line_number").cast("long").alias("line_number"), F.md5("match_line").alias("match_md5"))
+
+
+SEARCH_CAPPED = f"""{_WITH}, hit AS (
+  SELECT path, line_number, trim(line) AS m FROM ({_LINES}) WHERE mtime_ns % 3 = 0 AND contains(lower(line), 'src'))
+SELECT path AS file_path, CAST(line_number AS BIGINT) AS line_number,
+  md5(CASE WHEN strlen(m) <= 80 THEN m ELSE (SELECT CASE WHEN s > 0 THEN '...' ELSE '' END || substr(m, s + 1, e - s - CASE WHEN s > 0 AND e < strlen(m) THEN 3 ELSE 0 END) || CASE WHEN e < strlen(m) THEN '...' ELSE '' END
+    FROM (SELECT greatest(p - 20, 0) AS s, least(p + 23, strlen(m)) AS e FROM (SELECT strlen(split_part(lower(m), 'src', 1)) AS p))) END) AS match_md5 FROM hit
+UNION ALL SELECT path, 0, md5('(filename match: ' || string_split(path, '/')[-1] || ')') FROM notes WHERE path NOT IN (SELECT path FROM hit) AND contains(lower(path), 'src')
+"""
+
+
+def q_backlinks_size_cap(spark, sf_dir):
+    """Above the bound no links are looked for."""
+    found = links.all_backlinks(_sized(spark, sf_dir))
+    return found.select("target_path", "file_path", F.col("line_number").cast("long").alias("line_number"))
+
+
+def q_backlinks_too_large(spark, sf_dir):
+    return links.too_large(_sized(spark, sf_dir))
+
+
+def q_backlinks_ranked(spark, sf_dir):
+    """Each note's three newest backlinks, in order."""
+    found = links.ranked_backlinks(notes(spark, sf_dir), 3)
+    return found.select("target_path", F.col("rank").cast("long").alias("rank"), "file_path", F.col("line_number").cast("long").alias("line_number"))
+
+
+def q_list_notes_in_folders(spark, sf_dir):
+    """The walk order, as each note's place among those of its first folder."""
+    w = Window.partitionBy("folder").orderBy(paths.walk_key(F.col("path")))
+    own = resolve.list_notes(notes(spark, sf_dir)).withColumn("folder", F.substring_index("path", "/", 1))
+    return own.select("path", F.row_number().over(w).cast("long").alias("place"))
+
+
+def q_frontmatter_print(spark, sf_dir):
+    return notes(spark, sf_dir).select("path", fm.printed(F.col("content")).alias("r")).select("path", F.col("r.text").alias("header"))
+
+
+def _registry(spark, sf_dir):
+    """A registry of vaults, one for each nation."""
+    on_workers(spark)
+    own = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("string").alias("k"), F.struct(F.concat(F.lit("/vaults/"), "n_name").alias("path")).alias("v"))
+    one = own.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("vaults"))).alias("text"))
+    return registry.registry(spark, one.first().text)
+
+
+def q_vault_registry(spark, sf_dir):
+    return _registry(spark, sf_dir)
+
+
+def q_vault_lookup(spark, sf_dir):
+    return registry.find_vault(_registry(spark, sf_dir), "7")
+
+
 QUERIES = {name.removeprefix("q_"): f for name, f in list(globals().items()) if name.startswith("q_")}
 
 SQL = {
@@ -351,5 +414,15 @@ SQL = {
     "validate_paths": VALIDATE,
     "uri_construct": f"{_WITH} SELECT path, 'notes://open?vault=' || string_split(path, '/')[1] || '%20a+b&c&file=' || replace(path, '/', '%2F') AS uri FROM notes",
     "fuzzy_topk": FUZZY,
+    "search_size_cap": SEARCH_CAPPED,
+    "backlinks_size_cap": f"{_WITH}, {_EDGES} SELECT target_path, file_path, CAST(line_number AS BIGINT) AS line_number FROM pairs WHERE file_path IN (SELECT path FROM notes WHERE mtime_ns % 3 < 2)",
+    "backlinks_too_large": f"{_WITH} SELECT path, CAST({SEARCH_CAP} + 1 AS BIGINT) AS size FROM notes WHERE mtime_ns % 3 = 2",
+    "backlinks_ranked": f"""{_WITH}, {_EDGES}, r AS (
+  SELECT target_path, file_path, line_number, row_number() OVER (PARTITION BY target_path ORDER BY mtime_ns DESC, string_split(file_path, '/'), line_number) AS rank FROM pairs JOIN notes ON path = file_path)
+SELECT target_path, rank, file_path, CAST(line_number AS BIGINT) AS line_number FROM r WHERE rank <= 3""",
+    "list_notes_in_folders": f"{_WITH} SELECT path, row_number() OVER (PARTITION BY string_split(path, '/')[1] ORDER BY string_split(path, '/')) AS place FROM notes",
+    "frontmatter_print": f"{_WITH} SELECT path, 'lang: ' || {_LANG} || chr(10) || 'title: ' || {_TITLE} || chr(10) AS header FROM notes",
+    "vault_registry": "SELECT CAST(n_nationkey AS VARCHAR) AS id, '/vaults/' || n_name AS path FROM nation",
+    "vault_lookup": "SELECT min('/vaults/' || n_name) AS path FROM nation WHERE n_name LIKE '%7' HAVING count(*) > 0",
     "page_href_links": """SELECT page_id, CAST(generate_subscripts(a, 1) AS BIGINT) AS pos, unnest(a) AS href FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS a FROM pages)""",
 }

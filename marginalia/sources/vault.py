@@ -3,13 +3,19 @@
 Spark's file sources skip names that begin with ``.`` or ``_``; this source lists everything.
 ``spark.read.format("vault").option("path", root)`` gives :data:`marginalia.model.NOTE`; with
 ``content=false`` files are listed and not read. A bound on ``size`` is checked before a file
-is opened. Files are dealt into partitions of about ``batchBytes``; for folders on a
+is opened. The driver lists folders only until there are ``FOLDERS`` to deal out; the rest is listed
+by the tasks. Files are dealt into partitions of about ``batchBytes``; for folders on a
 distributed file system without hidden notes, :func:`read_binary` scans in parallel.
+
+A file that cannot be read (a link to nothing, no permission, gone since it was listed) is a row
+without content, and of size and time 0 if it cannot even be looked at.
 """
 
 from __future__ import annotations
 
 import os
+from collections import deque
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +25,15 @@ from ..model import NOTE, NOTE_INFO
 from ..session import on_workers
 
 
+FOLDERS = 256
+
+
 class Files(InputPartition):
-    def __init__(self, paths: list[str]):
+    """Files, and folders with all that is under them."""
+
+    def __init__(self, paths: list[str], folders: list[str] = ()):
         super().__init__(0)
-        self.paths = paths
+        self.paths, self.folders = paths, list(folders)
 
 
 class VaultReader(DataSourceReader):
@@ -47,37 +58,62 @@ class VaultReader(DataSourceReader):
         return self.low <= size and (self.high is None or size <= self.high)
 
     def partitions(self):
-        found, size = [[]], 0
-        for path, n in walk(self.root):
-            if size + n > self.batch and found[-1]:
-                found.append([])
-                size = 0
-            found[-1].append(path)
-            size += n
-        return [Files(p) for p in found]
+        found, size, queue = [[]], 0, deque([""])
+        while queue and len(queue) < FOLDERS:
+            folders, files = entries(self.root, queue.popleft())
+            queue += folders
+            for path, n in files:
+                if size + n > self.batch and found[-1]:
+                    found.append([])
+                    size = 0
+                found[-1].append(path)
+                size += n
+        return [Files(p) for p in found] + [Files([], [f]) for f in queue]
 
     def read(self, partition):
-        for rel in partition.paths:
+        under = (path for f in partition.folders for path, _ in walk(self.root, f))
+        for rel in chain(partition.paths, under):
             path = os.path.join(self.root, rel)
-            st = os.stat(path)
-            if self.fits(st.st_size):
-                row = (rel.replace(os.sep, "/"), st.st_size, st.st_mtime_ns, st.st_mode & 0o7777)
-                if self.content:
-                    with open(path, "rb") as f:
-                        row += (f.read(),)
-                yield row
+            size, time, mode = looked_at(path)
+            if self.fits(size):
+                row = (rel.replace(os.sep, "/"), size, time, mode)
+                yield row + (content_of(path),) if self.content else row
 
 
-def walk(root: str, under: str = ""):
-    """Relative paths and sizes of all files, depth first, lexically; links are not followed."""
+def looked_at(path: str) -> tuple[int, int, int]:
+    """Size, modification time and mode; those of the link itself where it leads nowhere."""
+    for look in (os.stat, os.lstat):
+        try:
+            st = look(path)
+            return st.st_size if look is os.stat else 0, st.st_mtime_ns, st.st_mode & 0o7777
+        except OSError:
+            continue
+    return 0, 0, 0
+
+
+def content_of(path: str) -> bytes | None:
+    try:
+        with open(path, "rb") as f:
+            return f.read()
+    except OSError:
+        return None
+
+
+def entries(root: str, under: str) -> tuple[list[str], list[tuple[str, int]]]:
+    """The folders in a folder, and its files with their sizes; links to folders are neither."""
     with os.scandir(os.path.join(root, under)) as it:
-        entries = sorted(it, key=lambda e: e.name)
-    for e in entries:
-        rel = os.path.join(under, e.name)
-        if e.is_dir(follow_symlinks=False):
-            yield from walk(root, rel)
-        elif not os.path.isdir(e.path):
-            yield rel, e.stat().st_size if os.path.exists(e.path) else 0
+        own = sorted(it, key=lambda e: e.name)
+    rel = lambda e: os.path.join(under, e.name)
+    folders = [rel(e) for e in own if e.is_dir(follow_symlinks=False)]
+    return folders, [(rel(e), looked_at(e.path)[0]) for e in own if not e.is_dir(follow_symlinks=False) and not os.path.isdir(e.path)]
+
+
+def walk(root: str, under: str = ""):
+    """Relative paths and sizes of all files under a folder."""
+    folders, files = entries(root, under)
+    yield from files
+    for f in folders:
+        yield from walk(root, f)
 
 
 class VaultSource(DataSource):

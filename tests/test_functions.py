@@ -34,8 +34,8 @@ def test_lines_keep_the_last_empty_one(spark):
     assert column(spark, ["a\nb\n", "", "a\r\nb"], text.lines) == [["a", "b", ""], [""], ["a\r", "b"]]
 
 
-ESCAPED = [r"Hello\nWorld\tTabbed\rReturn\"Quote\'SingleQuote\\Backslash", r"\\n", "\\", r"a\b", "", "é\\n漢"]
-PLAIN = ["Hello\nWorld\tTabbed\rReturn\"Quote'SingleQuote\\Backslash", "\\n", "\\", r"a\b", "", "é\n漢"]
+ESCAPED = [r"one\ntwo\tthree\rfour \"five\" \'six\' \\seven", r"\\n", "\\", r"a\b", "", "é\\n漢"]
+PLAIN = ["one\ntwo\tthree\rfour \"five\" 'six' \\seven", "\\n", "\\", r"a\b", "", "é\n漢"]
 
 
 def test_unescape(spark):
@@ -107,7 +107,7 @@ def test_editor(monkeypatch):
     assert editor_command("f") == ["vim", "f"]
 
 
-NOTES = ["---\ntitle: Test\ntags:\n  - a\n  - b\n---\nBody", "---\n---\nBody", "Just body", "---\nx: [unclosed\n---\nBody", "", "---\r\na: 1\r\n---\r\nB", "---\nnever closed", "---\n- list\n---\n"]
+NOTES = ["---\nkind: recipe\nparts:\n  - a\n  - b\n---\nStir.", "---\n---\nStir.", "No header here", "---\nx: {open\n---\nStir.", "", "---\r\na: 1\r\n---\r\nB", "---\nnever closed", "---\n- list\n---\n"]
 
 
 def test_header(spark):
@@ -116,22 +116,40 @@ def test_header(spark):
     import json
 
     got = [json.loads(x) for x in got]
-    assert [g.get("v") for g in got] == ['{"tags":["a","b"],"title":"Test"}', None, None, None, None, '{"a":1}', None, None]
-    assert [g.get("b") for g in got] == ["Body", "Body", "Just body", None, "", "B", "---\nnever closed", None]
+    assert [g.get("v") for g in got] == ['{"kind":"recipe","parts":["a","b"]}', None, None, None, None, '{"a":1}', None, None]
+    assert [g.get("b") for g in got] == ["Stir.", "Stir.", "No header here", None, "", "B", "---\nnever closed", None]
     assert [g.get("e") for g in got] == [None, None, None, fm.BAD_YAML, None, None, None, fm.BAD_YAML]
-    assert column(spark, NOTES, fm.keys)[:3] == [["tags", "title"], [], []]
+    assert column(spark, NOTES, fm.keys)[:3] == [["kind", "parts"], [], []]
 
 
 @pytest.mark.parametrize("value, want", [("true", True), ("false", False), ("[one, two, three]", ["one", "two", "three"]), ("[]", []), ("12", "12"), ("x: y", "x: y")])
 def test_set_key(spark, value, want):
-    for note in ("---\ntitle: Old\n---\nBody", "Just body", "---\n---\nBody"):
+    for note in ("---\nkind: soup\n---\nPlain body", "A plain body", "---\n---\n\nbody"):
         (r,) = column(spark, [note], lambda c: fm.set_key(c, "k", value))
         head = r.content.split("---\n")[1]
         assert fm.load(head)["k"] == want and r.error is None and r.content.endswith("ody")
 
 
 def test_delete_key(spark):
-    notes = ["---\ntitle: T\nauthor: J\n---\nBody", "---\nauthor: J\n---\n\nBody", "Just body", "---\ntitle: T\n---\nBody", "---\n---\nB", "---\nx: [\n---\nB"]
-    got = column(spark, notes, lambda c: fm.delete_key(c, "author"))
-    assert [r.content for r in got] == ["---\ntitle: T\n---\nBody", "Body", None, "---\ntitle: T\n---\nBody", None, None]
+    notes = ["---\nkind: k\ncook: me\n---\nStir.", "---\ncook: me\n---\n\nStir.", "No header here", "---\nkind: k\n---\nStir.", "---\n---\nB", "---\nx: {\n---\nB"]
+    got = column(spark, notes, lambda c: fm.delete_key(c, "cook"))
+    assert [r.content for r in got] == ["---\nkind: k\n---\nStir.", "Stir.", None, "---\nkind: k\n---\nStir.", None, None]
     assert [r.error for r in got] == [None, None, fm.NO_HEADER, None, fm.NO_HEADER, fm.BAD_YAML]
+
+
+ODD = ["2024-01-01: x\n2: y\ntrue: z", "a: .nan\nb: [.inf, -.inf]", "d: 2024-13-45", "? [1, 2]\n: x", "a: &a [*a]", "when: 2024-05-06\nn: 1", "!!python/object:os.system x", "a: !!binary aGk="]
+
+
+def test_odd_headers_break_nothing(spark):
+    notes = [f"---\n{x}\n---\nrest" for x in ODD]
+    got = column(spark, notes, lambda c: F.struct(F.to_json(fm.parse(c)["values"]).alias("v"), fm.parse(c)["error"].alias("e"), fm.keys(c).alias("k")))
+    assert [r.e for r in got] == [None, None, fm.BAD_YAML, fm.BAD_YAML, fm.BAD_YAML, None, fm.BAD_YAML, None]
+    assert got[0].k == ["2", "2024-01-01", "true"] and got[1].v == '{"a":".nan","b":[".inf","-.inf"]}' and got[5].v == '{"n":1,"when":"2024-05-06"}'
+    edited = column(spark, notes, lambda c: fm.set_key(c, "new", "1"))
+    assert [r.error for r in edited] == [r.e for r in got] and edited[5].content == "---\nn: 1\nnew: '1'\nwhen: 2024-05-06\n---\nrest"
+    shown = column(spark, notes, fm.printed)
+    assert shown[5].text == "n: 1\nwhen: 2024-05-06\n" and shown[2].error == fm.BAD_YAML
+
+
+def test_long_inner_white_space(spark):
+    assert column(spark, ["x" + " " * 200_000 + "y "], text.trim_ws) == ["x" + " " * 200_000 + "y"]

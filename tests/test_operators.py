@@ -199,3 +199,29 @@ def test_read_note(spark, bad):
     t = table(spark, {"02/Cook ies.md": "c", "note2.md": "d"})
     assert [r.content for r in resolve.read_note(t, "Cook ies").collect()] == ["c"] == [r.content for r in resolve.read_note(t, "02/Cook ies.md").collect()]
     assert resolve.read_note(t, bad).collect() == []
+
+
+def test_new_notes_get_the_next_free_number(spark):
+    notes = table(spark, {"x.md": "0", "x 1.md": "1", "x 3.md": "3", "y 1.md": "", "d/x.md": "d"}).select("path", "content")
+    changes = spark.createDataFrame([("x.md", "b"), ("x.md", "a"), ("x.md", "c"), ("new.md", "q"), ("new.md", "p"), ("x 1.md", "z"), ("y.md", "y"), ("x 4.md", "w")], "path string, content string")
+    got = dml.upserted(notes, changes).collect()
+    paths = [r.path for r in got]
+    assert len(set(paths)) == len(paths) == 13
+    own = {r.path: r.content for r in got}
+    assert [own[p] for p in ("x 2.md", "x 5.md", "x 6.md")] == ["a", "b", "c"] and own["x 4.md"] == "w" and own["x 1 1.md"] == "z"
+    assert own["new.md"] == "p" and own["new 1.md"] == "q" and own["y.md"] == "y" and own["x.md"] == "0"
+
+
+def test_repeated_changes_of_one_path(spark):
+    notes = table(spark, {"x.md": "0"}).select("path", "content")
+    changes = spark.createDataFrame([("x.md", "b"), ("x.md", "a"), ("n.md", "2"), ("n.md", "1")], "path string, content string")
+    assert sorted(map(tuple, dml.upserted(notes, changes, append=True).collect())) == [("n.md", "12"), ("x.md", "0ab")]
+    assert sorted(map(tuple, dml.upserted(notes, changes, overwrite=True).collect())) == [("n.md", "2"), ("x.md", "b")]
+
+
+def test_strict_rewriting_leaves_shared_names(spark):
+    files = {"a/old.md": "", "n.md": "[[old]] [[a/old]] [x](a/old.md)"}
+    change = lambda f, strict: {r.path: r.content for r in links.rewritten(table(spark, f), "a/old", "a/new", strict).collect()}
+    assert change(files, True) == {"n.md": "[[new]] [[a/new]] [x](a/new.md)"}
+    assert change(files | {"b/old.md": ""}, True) == {"n.md": "[[old]] [[a/new]] [x](a/new.md)"}
+    assert change(files | {"b/old.md": ""}, False) == {"n.md": "[[new]] [[a/new]] [x](a/new.md)"}

@@ -15,7 +15,7 @@ def duck():
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "nation"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     return c
 

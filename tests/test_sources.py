@@ -6,6 +6,8 @@ import pytest
 from marginalia.actions import NoteError, Vault
 from marginalia.cli import main
 from marginalia.functions.paths import PathError
+from marginalia.model import text_notes
+from marginalia.operators import links, resolve, search
 from marginalia.sources import registry, vault as source
 from marginalia.sources.registry import ConfigError
 from marginalia.streaming.search import note_stream, stream_search
@@ -23,6 +25,31 @@ def test_vault_source(spark, vault):
     assert sorted(r.path for r in source.read_vault(spark, root).where("size > 1").collect()) == ["sub/deep/n.md"]
 
 
+def test_what_cannot_be_read_has_no_content(spark, vault):
+    root = vault({"a.md": "needle", "b.md": "x"})
+    os.symlink(f"{root}/nowhere.md", f"{root}/needle.md")
+    os.symlink(root, f"{root}/loop")
+    rows = {r.path: r.content for r in source.read_vault(spark, root).collect()}
+    assert rows == {"a.md": b"needle", "b.md": b"x", "needle.md": None}
+    notes = text_notes(source.read_vault(spark, root))
+    assert [(r.file_path, r.line_number) for r in search.search_notes(notes, "needle").collect()] == [("a.md", 1), ("needle.md", 0)]
+    assert [r.path for r in resolve.list_notes(notes).collect()] == ["a.md", "b.md", "needle.md"]
+    assert links.backlinks(notes, "x").collect() == [] and links.rewritten(notes, "x", "y").collect() == []
+    reader = source.VaultReader({"path": root})
+    parts = reader.partitions()
+    os.remove(f"{root}/b.md")  # gone since it was listed
+    assert [r[0::4] for p in parts for r in reader.read(p)] == [("a.md", b"needle"), ("b.md", None), ("needle.md", None)]
+
+
+def test_folders_are_listed_by_tasks(spark, vault, monkeypatch):
+    files = {f"{a}/{b}/{c}.md": f"{a}{b}{c}" for a in "xyz" for b in "pq" for c in "mn"} | {"top.md": "t", "x/in.md": "i"}
+    root = vault(files)
+    monkeypatch.setattr(source, "FOLDERS", 4)
+    reader = source.VaultReader({"path": root})
+    parts = reader.partitions()
+    assert len(parts) > 2 and sorted(r[0] for p in parts for r in reader.read(p)) == sorted(files)
+
+
 def test_filters_on_size_reach_the_source():
     from pyspark.sql.datasource import GreaterThan, LessThan
 
@@ -56,11 +83,11 @@ def test_preferences(tmp_path):
 
 def test_registry(spark, tmp_path):
     file = tmp_path / "vaults.json"
-    text = json.dumps({"vaults": {"1": {"path": "/path/to/vault1"}, "2": {"path": "/z/my-vault1"}, "3": {"path": "/p/v3"}}})
+    text = json.dumps({"vaults": {"1": {"path": "/home/me/notes/vault1"}, "2": {"path": "/srv/my-vault1"}, "3": {"path": "/mnt/v3"}}})
     file.write_text(text)
-    assert registry.vault_path("vault1", str(file)) == "/path/to/vault1" and registry.vault_path("v3", str(file)) == "/p/v3"
+    assert registry.vault_path("vault1", str(file)) == "/home/me/notes/vault1" and registry.vault_path("v3", str(file)) == "/mnt/v3"
     rows = registry.registry(spark, text)
-    assert registry.find_vault(rows, "vault1").first().path == "/path/to/vault1" and registry.find_vault(rows, "").count() == 0
+    assert registry.find_vault(rows, "vault1").first().path == "/home/me/notes/vault1" and registry.find_vault(rows, "").count() == 0
     for name in ("none", ""):
         with pytest.raises(ConfigError, match="not found"):
             registry.vault_path(name, str(file))
@@ -146,10 +173,18 @@ def test_frontmatter(engine):
     for args in ({}, {"edit": True}, {"edit": True, "key": "k"}, {"delete": True}):
         with pytest.raises(NoteError):
             engine.frontmatter("b", **args)
-    with pytest.raises(NoteError, match="does not contain"):
+    with pytest.raises(NoteError, match="no header"):
         engine.frontmatter("a", delete=True, key="k")
 
 
+def test_large_notes_are_named(engine, monkeypatch):
+    monkeypatch.setattr(links, "BACKLINK_CAP", 19)
+    said = []
+    engine.warn = said.append
+    engine.print("b", mentions=True)
+    assert sorted(x.split(" is")[0] for x in said) == ["a.md", "c.md", "sub/b.md"]
+
+
 def test_command_line(engine, capsys):
     assert main(["print", "b"], engine) == 0 and "title: B" in capsys.readouterr().out
     assert main(["sc", "nothing"], engine) == 0 and "No notes found" in capsys.readouterr().out
