@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import discard, materialize, prepare, table
 
 K, TREES, SYMBOLS, SORTED, FAN = 20, 16, 18, 9, 128
-CHUNK, FLUSH = 1 << 18, 1 << 14
+CHUNK, FLUSH, SENT = 1 << 18, 1 << 14, 32 << 20
 #: How many sibling symbols a step takes in; the last symbols first. ``FAN`` is the whole parent.
 WIDTHS = np.array([128, 96, 64, 48, 32, 24, 16, 12, 8, 6, 4, 3, 2])
 STEPS = len(WIDTHS)
@@ -110,21 +110,30 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def classes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One row (rep, d, embedding) per distinct vector, and (rep, vec_id) for every id."""
+    """One row (rep, d, raw) per distinct vector, ``raw`` its components as 64-bit numbers or, where
+    they come so, as 32-bit ones; and (rep, vec_id) for every id."""
     one = usable(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     one = materialize(one.select("vec_id", "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit("v"), F.col("embedding")).alias("h2")), "vectors")
     classes = one.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.min_by("embedding", "vec_id").alias("embedding"))
-    classes = materialize(classes.select("h1", "h2", "rep", F.size("embedding").alias("d"), "embedding"), "classes")
+
+    def pack(batches):
+        for b in batches:
+            e = b.column(3)
+            flat, at = e.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(e.value_lengths().to_numpy(zero_copy_only=False)))
+            raw = [flat[i:j].tobytes() for i, j in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.diff(at), pa.int32()), pa.array(raw, pa.binary())], names=["h1", "h2", "rep", "d", "raw"])
+
+    classes = materialize(classes.mapInArrow(pack, "h1 long, h2 long, rep long, d int, raw binary"), "classes")
     ids = one.select("h1", "h2", "vec_id").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select("rep", "vec_id")
     ids = materialize(ids, "ids")
     discard(one)
-    return classes.select("rep", "d", "embedding"), ids
+    return classes.select("rep", "d", "raw"), ids
 
 
-def matrix(b: pa.RecordBatch, name: str) -> np.ndarray:
-    """A column of equally long lists."""
-    c = b.column(b.schema.get_field_index(name))
-    return c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
+def matrix(b: pa.RecordBatch, name: str, d: int) -> np.ndarray:
+    """A column of packed vectors of one length, in double precision."""
+    raw = b"".join(b.column(b.schema.get_field_index(name)).to_pylist())
+    return np.frombuffer(raw, np.float32 if len(raw) == 4 * d * len(b) else np.float64).reshape(len(b), d).astype(np.float64)
 
 
 def column(b: pa.RecordBatch, name: str) -> np.ndarray:
@@ -159,7 +168,7 @@ def plant(classes: DataFrame, longest: dict[int, float], depth: dict[int, int])
 
     def flush(held):
         for d, b in by_length(pa.Table.from_batches(held).combine_chunks().to_batches()[0]) if sum(map(len, held)) else ():
-            ids, x = column(b, "rep"), lifted(matrix(b, "embedding"), longest[d])
+            ids, x = column(b, "rep"), lifted(matrix(b, "raw", d), longest[d])
             for t in range(TREES):
                 s = symbols(x, t)
                 node, keys, tails = nodes_of(s, depth[d]), word(s[:, :SORTED]), word(s[:, SORTED:])
@@ -299,8 +308,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     prepare(vectors.sparkSession)
     classes, ids = classes_of(vectors)
     q_classes, q_ids = classes_of(queries)
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    stats = classes.groupBy("d").agg(F.count("*").alias("n"), F.max(norm).alias("longest")).collect()
+
+    def lengths(batches):
+        for whole in batches:
+            for d, b in by_length(whole):
+                x = matrix(b, "raw", d)
+                yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([len(x)], pa.int64()), pa.array([np.sqrt((x**2).sum(1).max())])], names=["d", "n", "longest"])
+
+    stats = classes.mapInArrow(lengths, "d int, n long, longest double").groupBy("d").agg(F.sum("n").alias("n"), F.max("longest").alias("longest")).collect()
     size, longest = {r.d: r.n for r in stats}, {r.d: r.longest for r in stats}
     depth = {d: next((i for i in range(2) if n <= CHUNK * FAN**i), 2) for d, n in size.items()}
     forest = plant(classes, longest, depth)
@@ -321,13 +336,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
 
 def routed(asked: DataFrame, depth: dict[int, int]) -> DataFrame:
-    """Queries (rep, d, embedding, step) packed for each node that they touch."""
+    """Queries (rep, d, raw, step) packed for each node that they touch."""
 
     def run(batches):
         for whole in batches:
             for d, b in by_length(whole):
-                reps, x, step = column(b, "rep"), matrix(b, "embedding").astype(np.float64), column(b, "step").astype(np.int64)
-                q = lifted(x)
+                reps, step = column(b, "rep"), column(b, "step").astype(np.int64)
+                q = lifted(matrix(b, "raw", d))
                 for t in range(TREES):
                     who, where = routes(q, step, t, depth[d])
                     order = np.argsort(where, kind="stable")
@@ -338,7 +353,7 @@ def routed(asked: DataFrame, depth: dict[int, int]) -> DataFrame:
                     types = (pa.int32(), pa.int32(), pa.int64(), *(pa.binary(),) * 3)
                     yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols + raw, types)], names=[*NODE, "reps", "steps", "q"])
 
-    return asked.select("rep", "d", "embedding", "step").mapInArrow(run, "d int, tree int, node long, reps binary, steps binary, q binary")
+    return asked.select("rep", "d", "raw", "step").mapInArrow(run, "d int, tree int, node long, reps binary, steps binary, q binary")
 
 
 def unpacked(b: pa.RecordBatch):
@@ -362,10 +377,10 @@ def settle(asked: DataFrame, forest: DataFrame, size: dict, depth: dict) -> Data
     def outer(batches):
         for whole in batches:
             for d, b in by_length(whole):
-                step = outer_step(lifted(matrix(b, "embedding")), sent.value[d], depth[d], wanted(size[d]))
+                step = outer_step(lifted(matrix(b, "raw", d)), sent.value[d], depth[d], wanted(size[d]))
                 yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("rep")), pa.array(step, pa.int32())], names=["rep", "step"])
 
-    first = materialize(asked.select("rep", "d", "embedding").mapInArrow(outer, "rep long, step int"), "steps")
+    first = materialize(asked.select("rep", "d", "raw").mapInArrow(outer, "rep long, step int"), "steps")
     deep = asked.join(first.where("step < 0"), "rep")
 
     def count(batches):
@@ -405,16 +420,19 @@ def named(asked: DataFrame, forest: DataFrame, size: dict, depth: dict, k: int)
 
 def scored(pairs: DataFrame, classes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """(q, rep, score): exact inner products of each query's ``k`` + 1 best vectors."""
-    both = pairs.join(classes.select("rep", "embedding"), "rep").join(asked.select(F.col("rep").alias("q"), F.col("d"), F.col("embedding").alias("q_embedding")), "q")
+    q = asked.select(F.col("rep").alias("q"), F.col("d"), F.col("raw").alias("q_raw"))
+    if (q.agg(F.sum(F.col("d") * 8)).first()[0] or 0) <= SENT:
+        q = F.broadcast(q)  # else vectors are shuffled along with the pairs
+    both = pairs.join(classes.select("rep", "raw"), "rep").join(q, "q")
 
     def run(batches):
         for whole in batches:
-            for _, b in by_length(whole):
-                score = np.einsum("ij,ij->i", matrix(b, "embedding").astype(np.float64), matrix(b, "q_embedding").astype(np.float64))
+            for d, b in by_length(whole):
+                score = np.einsum("ij,ij->i", matrix(b, "raw", d), matrix(b, "q_raw", d))
                 yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("q")), b.column(b.schema.get_field_index("rep")), pa.array(score)], names=["q", "rep", "score"])
 
     w = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
-    found = both.select("q", "rep", "d", "embedding", "q_embedding").mapInArrow(run, "q long, rep long, score double")
+    found = both.select("q", "rep", "d", "raw", "q_raw").mapInArrow(run, "q long, rep long, score double")
     return found.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k + 1).drop("__n")
 
 
