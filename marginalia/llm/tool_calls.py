@@ -1,16 +1,19 @@
 """Chat formatting: tool-call linking. Native: DataFrame functions only.
 
-Messages are rows (conv_id, turn, tool_calls, tool_call_id, parent_id, text). ``tool_calls``
+Messages are rows (conv_id, turn, tool_calls, tool_call_id, parent_ids, text). ``tool_calls``
 are structs (id, name, arguments: JSON text); a message with ``tool_call_id`` carries the
-result of the call with that id in its conversation; ``parent_id`` names a call of the same
+result of the call with that id in its conversation; ``parent_ids`` names the calls of the same
 conversation that the message's calls build on.
 
 * Linking is a hash join of calls and results by (conv_id, id). Of calls that share an id the
   first (by turn, then place) is the one that results belong to.
-* Order: a call's level is its number of ancestors, found by pointer doubling, in as many
-  rounds as the logarithm of the longest chain; calls on a cycle, or behind one, have none and
-  come last. (level, turn, place) then sorts calls after what they build on, and a result goes
-  with its call, whatever turn it arrived in. No conversation is gathered in one task.
+* Order: a call's level is the length of the longest chain of calls that it builds on. Calls with
+  one parent find the nearest call above them that has several, or the start of their chain, by
+  pointer doubling, in as many rounds as the logarithm of the longest chain; what is left, the calls
+  with several parents, is peeled from the top, in as many rounds as such calls are nested. Calls on
+  a cycle, or behind one, have no level and come last. (level, turn, place) then sorts calls after
+  what they build on (:func:`in_order`), and a result goes with its call, whatever turn it arrived
+  in. No conversation is gathered in one task.
 * Arguments are checked against the tool's schema (the part of JSON Schema that :data:`KEYWORDS`
   names, nested as deep as it likes), compiled into one expression; a schema with any other keyword is
   refused.
@@ -18,9 +21,10 @@ conversation that the message's calls build on.
 
 Defined results: null or empty ``tool_calls`` make no call; a call without an id is never
 answered; a result whose id no call has is an orphan row; repeated calls and results are
-answered each; arguments that are not a JSON object, or a tool without a schema, are invalid; an
-empty table gives an empty table; other columns, whatever their names, are not looked at. A message
-builds on one call at most.
+answered each; arguments that are not a JSON object, or a tool without a schema, are invalid;
+parents that are null, repeated or no call of the conversation count for nothing; of calls that share
+an id the first one's parents count; an empty table gives an empty table; other columns, whatever
+their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import discard, materialize, table
 
 #: The tools of the query over ``conversations``.
 TOOLS = {
@@ -126,28 +130,75 @@ def problem(args: Column, schema: dict) -> Column:
 
 
 def calls_of(messages: DataFrame) -> DataFrame:
-    return messages.select("conv_id", "turn", "parent_id", F.posexplode("tool_calls").alias("place", "__call")).select(
-        "conv_id", "turn", "parent_id", "place", F.col("__call.id").alias("call_id"), F.col("__call.name").alias("name"), F.col("__call.arguments").alias("arguments"))
+    return messages.select("conv_id", "turn", "parent_ids", F.posexplode("tool_calls").alias("place", "__call")).select(
+        "conv_id", "turn", "parent_ids", "place", F.col("__call.id").alias("call_id"), F.col("__call.name").alias("name"), F.col("__call.arguments").alias("arguments"))
+
+
+def looked_up(rows: DataFrame, at: str, found: DataFrame, how: str = "left") -> DataFrame:
+    """``rows`` with what ``found`` (conv_id, call_id, ...) says of the call whose id stands in ``at``."""
+    found = found.withColumnsRenamed({"conv_id": "__c", "call_id": "__i"})
+    out = rows.join(found, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col(at) == F.col("__i")), how)
+    return out.drop("__c", "__i")
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id) to level, by pointer doubling over parents that exist."""
+    """(conv_id, call_id) to level: pointer doubling along single parents, then peeling."""
     ids = calls.where(F.col("call_id").isNotNull())
-    first = ids.groupBy("conv_id", "call_id").agg(F.min_by("parent_id", F.struct("turn", "place")).alias("up"))
+    first = ids.groupBy("conv_id", "call_id").agg(F.min_by("parent_ids", F.struct("turn", "place")).alias("ups"))
     first = materialize(first, "parents")
-    known = first.select(F.col("conv_id").alias("__c"), F.col("call_id").alias("__i"))
-    up = first.join(known, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("up") == F.col("__i")), "left")
-    state = materialize(up.select("conv_id", "call_id", F.col("__i").alias("up"), F.when(F.col("__i").isNull(), 0).otherwise(1).cast("long").alias("level")), "levels")
+    edges = first.select("conv_id", "call_id", F.explode(F.array_distinct("ups")).alias("up"))
+    edges = materialize(looked_up(edges, "up", first.select("conv_id", "call_id"), "left_semi"), "edges")
+    n = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("__n"), F.min("up").alias("up"))
+    own = n.select(F.col("conv_id").alias("__c"), F.col("call_id").alias("__i"), "__n", "up")
+    state = first.drop("ups").join(own, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("call_id") == F.col("__i")), "left")
+    # level counts the steps to ``up``, or, where that is null, to ``anchor``, or, where that is null too, to the start
+    one = F.col("__n") == 1
+    state = state.select(
+        "conv_id", "call_id", F.when(one, F.col("up")).alias("up"), F.when(F.col("__n") > 1, F.col("call_id")).alias("anchor"), F.when(one, 1).otherwise(0).cast("long").alias("level"))
+    state = materialize(state, "levels")
     most = state.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0  # no chain is longer
     done, open_, reach = state.where("up is null"), state.where("up is not null"), 1
     # only what is still open goes round; what is done is looked up
     while reach <= most and not open_.isEmpty():
-        ahead = done.unionByName(open_).select(F.col("conv_id").alias("__c"), F.col("call_id").alias("__i"), F.col("up").alias("__up"), F.col("level").alias("__level"))
-        state = open_.join(ahead, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("up") == F.col("__i")), "left")
-        state = materialize(state.select("conv_id", "call_id", F.col("__up").alias("up"), (F.col("level") + F.coalesce("__level", F.lit(0))).alias("level")), "levels")
+        ahead = done.unionByName(open_).withColumnsRenamed({"up": "__up", "anchor": "__anchor", "level": "__level"})
+        state = looked_up(open_, "up", ahead)
+        state = materialize(state.select("conv_id", "call_id", F.col("__up").alias("up"), F.col("__anchor").alias("anchor"), (F.col("level") + F.coalesce("__level", F.lit(0))).alias("level")), "levels")
         done, open_, reach = done.unionByName(state.where("up is null")), state.where("up is not null"), 2 * reach
-    cycles = open_.withColumn("level", F.lit(None).cast("long"))
-    return done.unionByName(cycles).select("conv_id", "call_id", "level")
+    cycles = open_.select("conv_id", "call_id", F.lit(None).cast("string").alias("anchor"), F.lit(None).cast("long").alias("level"))
+    near = done.drop("up").unionByName(cycles)
+    if near.where("anchor is not null").isEmpty():
+        return near.drop("anchor")
+    peeled = peel(edges, near).withColumnRenamed("level", "__level")
+    level = F.when(F.col("anchor").isNull(), F.col("level")).otherwise(F.col("level") + F.col("__level"))
+    return looked_up(near, "anchor", peeled).select("conv_id", "call_id", level.alias("level"))
+
+
+def peel(edges: DataFrame, near: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level) of the calls with several parents that are behind no cycle.
+
+    A row of ``waits`` is such a call, an anchor that it waits for (null: none) and the steps between;
+    a parent on a cycle or behind one leaves null steps, which are never made up for.
+    """
+    joins = near.where(F.col("anchor") == F.col("call_id")).select("conv_id", "call_id")
+    ups = edges.join(joins.withColumnsRenamed({"conv_id": "__c", "call_id": "__i"}), F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("call_id") == F.col("__i")), "left_semi")
+    waits = looked_up(ups, "up", near).select("conv_id", "call_id", "anchor", (F.col("level") + 1).alias("steps"))
+    waits = materialize(waits.groupBy("conv_id", "call_id", "anchor").agg(F.max("steps").alias("steps"), F.count_if(F.col("steps").isNull()).alias("lost")), "waits")
+    solved, rounds = waits.select("conv_id", "call_id", F.col("steps").alias("level")).where("false"), 0
+    while True:
+        ready = waits.groupBy("conv_id", "call_id").agg(F.max("steps").alias("level"), (F.count("anchor") + F.sum("lost")).alias("__open")).where("__open = 0").drop("__open")
+        ready = materialize(ready, "ready")
+        if ready.isEmpty():
+            return solved
+        solved, rounds = solved.unionByName(ready), rounds + 1
+        if rounds % 16 == 0:
+            solved = materialize(solved, "solved")
+        left = waits.join(ready.withColumnsRenamed({"conv_id": "__c", "call_id": "__i"}), F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("call_id") == F.col("__i")), "left_anti")
+        left = looked_up(left, "anchor", ready)
+        anchor = F.when(F.col("level").isNull(), F.col("anchor"))
+        left = left.select("conv_id", "call_id", anchor.alias("anchor"), (F.col("steps") + F.coalesce("level", F.lit(0))).alias("steps"), "lost")
+        before = waits
+        waits = materialize(left.groupBy("conv_id", "call_id", "anchor").agg(F.max("steps").alias("steps"), F.sum("lost").alias("lost")), "waits")
+        discard(before)
 
 
 def link_tool_calls(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
@@ -184,20 +235,27 @@ def link_tool_calls(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
     )
 
 
+def in_order(linked: DataFrame) -> DataFrame:
+    """The rows of :func:`link_tool_calls`, each after what it builds on; calls without a level and
+    orphans come last. A sort by ranges: a long conversation goes to several tasks."""
+    return linked.orderBy("conv_id", *(F.asc_nulls_last(c) for c in ("level", "turn", "place", "result_turn", "canonical")))
+
+
 def as_calls(conversations: DataFrame) -> DataFrame:
     """``conversations`` as tool messages: a user's or the system's turn is a call, known by
-    its conversation and turn; an assistant's turn is the result of the turn before; a call
-    builds on the call two turns before, or on the turn before where that is the system's."""
+    its conversation and turn; any other turn (an assistant's, a tool's, one without a role) is the
+    result of the turn before; a call builds on the call two turns before, or on the turn before where
+    that is the system's."""
     ident = lambda back: F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
-    call = F.col("role").isin("user", "system")
+    call = F.coalesce(F.col("role").isin("user", "system"), F.lit(False))
     args = F.to_json(F.struct(F.col("turn"), F.col("text")))
     name = F.when(F.col("role") == "user", "ask").otherwise("instruct")
     one = F.struct(ident(0).alias("id"), name.alias("name"), args.alias("arguments"))
     return conversations.select(
         "conv_id", "turn", "text",
         F.when(call, F.array(one)).alias("tool_calls"),
-        F.when(F.col("role") == "assistant", ident(1)).alias("tool_call_id"),
-        F.when(call, F.when(F.col("turn") == 1, ident(1)).otherwise(ident(2))).alias("parent_id"),
+        F.when(~call, ident(1)).alias("tool_call_id"),
+        F.when(call, F.array(F.when(F.col("turn") == 1, ident(1)).otherwise(ident(2)))).alias("parent_ids"),
     )
 
 
@@ -211,7 +269,7 @@ WITH RECURSIVE c AS (
   SELECT conv_id, turn, text, conv_id || ':' || turn AS id, CASE role WHEN 'user' THEN 'ask' ELSE 'instruct' END AS name,
          conv_id || ':' || CASE WHEN turn = 1 THEN 0 ELSE turn - 2 END AS up
   FROM conversations WHERE role IN ('user', 'system')
-), r AS (SELECT conv_id, turn AS result_turn, text AS result, conv_id || ':' || (turn - 1) AS id FROM conversations WHERE role = 'assistant'),
+), r AS (SELECT conv_id, turn AS result_turn, text AS result, conv_id || ':' || (turn - 1) AS id FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'system')),
 lev AS (
   SELECT id, 0 AS level FROM c WHERE up NOT IN (SELECT id FROM c)
   UNION ALL SELECT c.id, level + 1 FROM lev JOIN c ON c.up = lev.id

@@ -206,7 +206,7 @@ def test_plans_hold_all_and_are_tight():
 # 4 -----------------------------------------------------------------------------------------
 
 CALL = "array<struct<id: string, name: string, arguments: string>>"
-MESSAGE = f"conv_id long, turn long, text string, tool_calls {CALL}, tool_call_id string, parent_id string"
+MESSAGE = f"conv_id long, turn long, text string, tool_calls {CALL}, tool_call_id string, parent_ids array<string>"
 
 
 def test_tool_calls(spark):
@@ -214,9 +214,9 @@ def test_tool_calls(spark):
     m = spark.createDataFrame([
         (1, 0, "go", [("i1", "f", '{"b": "x",  "a": 1}'), ("i2", "f", '{"a": -1}')], None, None),
         (1, 1, "late \"r\"", None, "i2", None), (1, 2, "first", None, "i1", None), (1, 2, "second", None, "i1", None),
-        (1, 3, None, [("i3", "g", '{"a": 1}'), ("i1", "f", '{"z": 1, "a": 2}')], None, "i2"), (1, 4, "r", None, "nobody", None),
-        (1, 5, None, [("i4", "f", "not json"), (None, "f", None), ("i5", "f", '{"a": "1"}')], None, "i3"), (2, 0, "r", None, "i1", None),
-        (3, 0, None, [("p", "f", '{"a":1,"b":"q"}')], None, "q"), (3, 1, None, [("q", "f", '{"a":1,"c":[1.50,null]}')], None, "p"), (3, 2, None, [("s", "f", "[1]")], None, "q"),
+        (1, 3, None, [("i3", "g", '{"a": 1}'), ("i1", "f", '{"z": 1, "a": 2}')], None, ["i2"]), (1, 4, "r", None, "nobody", None),
+        (1, 5, None, [("i4", "f", "not json"), (None, "f", None), ("i5", "f", '{"a": "1"}')], None, ["i3"]), (2, 0, "r", None, "i1", None),
+        (3, 0, None, [("p", "f", '{"a":1,"b":"q"}')], None, ["q"]), (3, 1, None, [("q", "f", '{"a":1,"c":[1.50,null]}')], None, ["p"]), (3, 2, None, [("s", "f", "[1]")], None, ["q"]),
         (None, 0, None, [("n", "f", '{"a":1}')], None, None), (None, 1, "res", None, "n", None), (4, 0, None, [], None, None), (4, 1, None, None, None, None)], MESSAGE)
     got = tool_calls.link_tool_calls(m, tools).select("conv_id", "level", "turn", "place", "call_id", "result_turn", "status", "problem", "canonical").collect()
     same(got, [
@@ -281,11 +281,60 @@ def test_arguments_against_a_plain_validator(spark):
 
 def test_long_chains_take_few_rounds(spark):
     n = 40
-    chain = [(7, i, None, [(f"c{i}", "f", "{}")], None, f"c{i - 1}" if i else None) for i in range(n)]
+    chain = [(7, i, None, [(f"c{i}", "f", "{}")], None, [f"c{i - 1}"] if i else None) for i in range(n)]
     got = tool_calls.link_tool_calls(spark.createDataFrame(chain, MESSAGE), {})
     assert {r.turn: r.level for r in got.collect()} == {i: i for i in range(n)}
 
 
+def longest_chains(ups):
+    """A plain definition: levels grow until nothing changes; what still waits has none."""
+    level = {}
+    while ready := {x: 1 + max((level[u] for u in own), default=-1) for x, own in ups.items() if x not in level and all(u in level for u in own)}:
+        level |= ready
+    return {x: level.get(x) for x in ups}
+
+
+@pytest.mark.parametrize("several", [0.1, 0.5, 0.9])
+def test_levels_of_calls_with_several_parents(spark, several):
+    r, rows_, want = random.Random(several), [], {}
+    for conv in (1, 2, 3, None):
+        n, ups = 60, {}
+        for i in range(n):
+            most = r.randint(2, 4) if r.random() < several else r.random() < 0.9
+            # now and then a parent that comes later, the call itself, or one that is not there
+            ups[f"c{i}"] = [f"c{r.randrange(n) if r.random() < (0.02 if conv == 2 else 0) else r.randint(max(0, i - 6), i - 1)}" for _ in range(int(most))] if i else []
+        if conv == 3:
+            ups["c50"] = ["c50", "c2"]
+        places = list(ups)
+        r.shuffle(places)  # turns need not follow the order
+        rows_ += [(conv, t, None, [(x, "f", "{}")], None, r.choice([[*ups[x], None, "gone"], ups[x] * 2 or None])) for t, x in enumerate(places)]
+        want |= {(conv, x): v for x, v in longest_chains(ups).items()}
+    m = spark.createDataFrame(rows_, MESSAGE)
+    out = tool_calls.link_tool_calls(m, {})
+    assert {(x.conv_id, x.call_id): x.level for x in out.collect()} == want
+    assert any(v is None for v in want.values()) and max(v or 0 for v in want.values()) > 8
+    up = {(x[0], x[3][0][0]): [u for u in x[5] or () if u not in (None, "gone")] for x in rows_}
+    seen = set()
+    for x in tool_calls.in_order(out).collect():
+        key = (x.conv_id, x.call_id)
+        assert x.level is None or all((x.conv_id, u) in seen for u in up[key])
+        seen.add(key)
+
+
+def test_nested_several_parents_at_any_depth(spark):
+    n = 40
+    nest = [(7, n - i, None, [(f"c{i}", "f", "{}")], None, [f"c{j}" for j in range(max(0, i - 2), i)]) for i in range(n)]
+    got = tool_calls.link_tool_calls(spark.createDataFrame(nest, MESSAGE), {})
+    assert {r.call_id: r.level for r in got.collect()} == {f"c{i}": i for i in range(n)}
+
+
+def test_turns_of_other_roles_are_results(spark):
+    rows_ = [(1, 0, "user", "a"), (1, 1, "tool", "b"), (1, 2, None, "c"), (1, 3, "user", "d"), (1, 4, "assistant", "e")]
+    m = tool_calls.as_calls(spark.createDataFrame(rows_, "conv_id long, turn long, role string, text string"))
+    got = tool_calls.link_tool_calls(m, tool_calls.TOOLS).select("turn", "result_turn", "status").collect()
+    same(got, [(0, 1, "answered"), (None, 2, "orphan"), (3, 4, "answered")])
+
+
 def test_tool_calls_stay_native(spark):
     plan = tool_calls.link_tool_calls(tool_calls.as_calls(spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")), tool_calls.TOOLS)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
