@@ -18,9 +18,19 @@ that is less), which rules out most chance hits for a few more blocks. A class w
 than d + 1 non-empty blocks would void this; if there is any, the pass is repeated with more
 blocks. Blocks are equi-joined by a shuffle of packed arrays.
 
+Position. Blocks of one shingle are bounded more tightly: each that two sets do not share
+spoils its own part of the symmetric difference, so those before a shared block, in both sets
+together and less the blocks shared before it, are at most d too. With d = a / 7 + b / 7 each set has
+its own part of that bound: how many such blocks come before a block, less a seventh of the set,
+is its lateness there. At each of the first ``SHARED`` blocks that a linked pair shares the two
+latenesses add up to ``LATE`` at most, so at least one is ``LATE / 2`` at most. What a common form gives to
+documents that are alike but not linked comes late in all of them, and meets nobody.
+
 Candidates. A block shared by at most ``SMALL`` classes counts for its pairs (a constant bound);
-one shared by more only ties its classes into a cluster, by a star. Blocks that occur very often
-in one task are reduced to a star before the shuffle.
+one shared by more only ties classes into a cluster, by a star around the least late of them. Blocks
+that are frequent in the corpus or in one task are reduced before the shuffle: a task ties its own
+classes, and only the centre of their star goes on; classes that are too late for it are
+dealt over as many parts of the block as its count asks for, and centres go to every part.
 
 Verification. A parity sketch of m bits (each shingle flips one) goes first: its Hamming
 distance is a lower bound of the symmetric difference too, and what exceeds d is dropped.
@@ -61,6 +71,9 @@ CELLS, MOST_CELLS, CHUNK = 1 << 20, 1 << 23, 1 << 14
 FLUSH, PER_BUCKET, OFTEN = 1_000_000, 1_500_000, 256
 SPREAD, LEAST_BLOCKS, SIZE_STEPS = 16, 1 << 14, 6
 SHARED = 6
+LATE = 2 * (SHARED - 1)
+#: A block is dealt over parts from SPLIT^2 occurrences in the corpus on: their root over SPLIT.
+SPLIT, TIES = 128, 1 << 16
 
 
 def linked(inter: int, a: int, b: int) -> bool:
@@ -148,9 +161,32 @@ def counted(partial: DataFrame, cells: int = CELLS) -> np.ndarray:
 # --- pass 2: blocks and candidates --------------------------------------------------------
 
 
-def blocks_of(s: np.ndarray, counts: np.ndarray, spread: int) -> list[tuple[np.ndarray, int]]:
+def packed_lateness(before: np.ndarray, n: int) -> np.ndarray:
+    """Lateness in a byte, rounded down, as a fraction of the size class; -128 if unknown."""
+    size = _size_class(n)
+    if size == 255:
+        return np.full(len(before), -128, np.int8)
+    return np.clip(np.floor((before - n / 7) * 512 / _EDGES[size]), -127, 127).astype(np.int8)
+
+
+def lateness(packed: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.where(packed == -128, -np.inf, packed * _EDGES[size] / 512)
+
+
+def parts_of(count: np.ndarray) -> np.ndarray:
+    return np.maximum(1, np.sqrt(count).astype(np.int64) // SPLIT)
+
+
+def part_token(token: np.ndarray, part: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """The token of a part of a block."""
+    with np.errstate(over="ignore"):
+        return np.where(parts > 1, mix(token + (part.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), token)
+
+
+def blocks_of(s: np.ndarray, counts: np.ndarray, spread: int) -> list[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
     """The d + ``SHARED`` rarest blocks of a set in each band that it takes part in, as 64-bit
-    tokens, and how many of them a linked set must share; below 1 if a band had too few."""
+    tokens, and how many of them a linked set must share, below 1 if a band had too few; the blocks'
+    packed lateness, and their parts."""
     n, out = len(s), []
     rare = counts[_cell(s, len(counts))]
     largest = n * 100 // PERCENT
@@ -162,7 +198,10 @@ def blocks_of(s: np.ndarray, counts: np.ndarray, spread: int) -> list[tuple[np.n
         first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
         token = mix(np.bitwise_xor.reduceat(s[order], first) + np.uint64(f * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
         count = np.maximum.reduceat(rare[order], first)
-        out.append((token[np.lexsort((token, count))[: d + SHARED]], min(SHARED, len(token) - d)))
+        rarest = np.lexsort((token, count))[: d + SHARED]
+        single = (np.diff(np.append(first, n)) == 1)[rarest]
+        before = np.cumsum(single) - single
+        out.append((token[rarest], min(SHARED, len(token) - d), packed_lateness(before, n), parts_of(count[rarest])))
     return out
 
 
@@ -172,50 +211,55 @@ def candidates(docs: DataFrame, counts: np.ndarray, total: int, k: int, spread:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PER_BUCKET))
     sent = spark.sparkContext.broadcast(counts)
 
-    def pack(tokens, fps, sizes, needs, ties):
-        """One row per bucket: its classes, how many tokens each has there, and the tokens."""
-        t, doc = np.concatenate(tokens), np.repeat(np.arange(len(fps)), [len(x) for x in tokens])
+    def pack(tokens, lates, parts, fps, sizes, needs):
+        """One row per bucket: its classes, how many tokens each has there, the tokens and their
+        lateness; and the ties of frequent blocks."""
+        t, late, parts = np.concatenate(tokens), np.concatenate(lates), np.concatenate(parts)
+        doc = np.repeat(np.arange(len(fps)), [len(x) for x in tokens])
         fp, size, need = np.array(fps, np.int64), np.array(sizes, np.uint8), np.array(needs, np.uint8)
-        # blocks that occur very often here: only their first class travels on, marked by size 0
-        order = np.argsort(t, kind="stable")
+        own = lateness(late, size[doc])
+        order = np.lexsort((fp[doc], own, t))
         first = np.flatnonzero(np.concatenate([[True], t[order][1:] != t[order][:-1]]))
-        length = np.diff(np.append(first, len(t)))
-        marked, drop = [], np.zeros(len(t), bool)
-        for a, n in zip(first[length > OFTEN], length[length > OFTEN]):
-            own = np.unique(fp[doc[order[a : a + n]]])
-            drop[order[a : a + n]] = True
-            if len(own) > OFTEN:
-                ties.append(np.stack([np.full(len(own) - 1, own[0]), own[1:]]))
-                marked.append((t[order[a]], own[0]))
-            else:
-                marked += [(t[order[a]], x) for x in own]
-        t, doc = t[~drop], doc[~drop]
-        if marked:
-            fp = np.concatenate([fp, np.array([x for _, x in marked], np.int64)])
-            doc = np.concatenate([doc, np.arange(len(size), len(size) + len(marked))])
-            size = np.concatenate([size, np.zeros(len(marked), np.uint8)])
-            need = np.concatenate([need, np.ones(len(marked), np.uint8)])
-            t = np.concatenate([t, np.array([x for x, _ in marked], np.uint64)])
+        length, head = np.diff(np.append(first, len(t))), order[first]
+        centre = ((parts[head] > 1) | (length > OFTEN)) & (own[head] <= LATE // 2)
+        tied = np.repeat(centre, length) & (own[order] + np.repeat(own[head], length) <= LATE)
+        ties = np.stack([np.repeat(fp[doc[head]], length)[tied], fp[doc[order]][tied]])
+        keep = np.ones(len(t), bool)
+        keep[order[tied]] = False
+        # a centre needs no block to count for it: the mark of a tie
+        head = head[centre]
+        n = parts[head]
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        head = np.repeat(head, n)
+        marks = part_token(t[head], nth, parts[head])
+        t = np.concatenate([part_token(t, fp[doc].view(np.uint64) % parts.astype(np.uint64), parts)[keep], marks])
+        late = np.concatenate([late[keep], late[head]])
+        doc, more = np.concatenate([doc[keep], np.arange(len(fp), len(fp) + len(head))]), doc[head]
+        fp, size, need = np.concatenate([fp, fp[more]]), np.concatenate([size, size[more]]), np.concatenate([need, np.zeros(len(more), np.uint8)])
         bucket = (t % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((doc, bucket))
-        t, doc, bucket = t[order] // np.uint64(buckets), doc[order], bucket[order]
+        t, late, doc, bucket = t[order] // np.uint64(buckets), late[order], doc[order], bucket[order]
         start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         rows = []
         for a, b in zip(start, np.append(start[1:], len(t))):
             own, n = np.unique(doc[a:b], return_counts=True)
             part = t[a:b]
-            rows.append((int(bucket[a]), b"".join([np.int64(len(own)).tobytes(), fp[own].tobytes(), size[own].tobytes(), need[own].tobytes(), n.astype(np.uint32).tobytes(), part.astype(np.uint32).tobytes(), (part >> np.uint64(32)).astype(np.uint8).tobytes()])))
+            rows.append((int(bucket[a]), b"".join([np.int64(len(own)).tobytes(), fp[own].tobytes(), size[own].tobytes(), need[own].tobytes(), n.astype(np.uint32).tobytes(), part.astype(np.uint32).tobytes(), (part >> np.uint64(32)).astype(np.uint8).tobytes(), late[a:b].tobytes()])))
+        ties = np.sort(ties[:, ties[0] != ties[1]], axis=0)
+        ties = ties[:, np.lexsort(ties)]
+        ties = ties[:, np.append(True, (ties[:, 1:] != ties[:, :-1]).any(0))[: ties.shape[1]]]
+        for a in range(0, ties.shape[1], TIES):
+            rows.append((-1 - int(ties[0, a]) % buckets, ties[:, a : a + TIES].tobytes()))
         return rows
 
     def emit(batches):
         counts = sent.value
-        seen, tokens, fps, sizes, needs, ties, n, poor = set(), [], [], [], [], [], 0, 0
+        seen, n, poor = set(), 0, 0
+        held = tokens, lates, parts, fps, sizes, needs = [], [], [], [], [], []
 
         def flush():
-            rows = pack(tokens, fps, sizes, needs, ties) if tokens else []
-            for x in ties:
-                rows.append((-1 - int(x[0, 0]) % buckets, x.tobytes()))
-            for a in (tokens, fps, sizes, needs, ties):
+            rows = pack(*held) if tokens else []
+            for a in held:
                 a.clear()
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "data"])
 
@@ -229,9 +273,11 @@ def candidates(docs: DataFrame, counts: np.ndarray, total: int, k: int, spread:
                     continue
                 if len(seen) < 1_000_000:  # equal sets of one task are sent once; the rest meet in their bucket
                     seen.add(fp)
-                for x, need in blocks_of(s, counts, spread):
+                for x, need, late, part in blocks_of(s, counts, spread):
                     poor += need < 1
                     tokens.append(x)
+                    lates.append(late)
+                    parts.append(part)
                     needs.append(max(1, need))
                     fps.append(fp)
                     sizes.append(_size_class(len(s)))
@@ -271,6 +317,10 @@ def _size_class(n: int) -> int:
     return min(255, 1 + int(np.log(n) * 20))
 
 
+#: About the smallest size of each size class.
+_EDGES = np.exp((np.arange(256) - 1) / 20)
+
+
 _PAIR = pa.schema([("kind", pa.int32()), ("u", pa.int64()), ("v", pa.int64()), ("c", pa.int32()), ("need", pa.int32())])
 
 
@@ -286,7 +336,7 @@ def _rows_of(kind: int, u: np.ndarray, v: np.ndarray):
 def _join(parts: list[bytes], pairs: dict):
     """The equal blocks of one bucket: small groups into ``pairs`` with the number of blocks
     they share and must share, the ties of others yielded."""
-    fps, sizes, needs, tokens = [], [], [], []
+    fps, sizes, needs, tokens, lates = [], [], [], [], []
     for data in parts:
         m = int(np.frombuffer(data, np.int64, 1)[0])
         fp = np.frombuffer(data, np.int64, m, 8)
@@ -300,7 +350,9 @@ def _join(parts: list[bytes], pairs: dict):
         sizes.append(np.repeat(size, n))
         needs.append(np.repeat(need, n))
         tokens.append(lo | hi << np.uint64(32))
-    fp, size, need, token = (np.concatenate(x) for x in (fps, sizes, needs, tokens))
+        lates.append(np.frombuffer(data, np.int8, total, at + 5 * total))
+    fp, size, need, token, late = (np.concatenate(x) for x in (fps, sizes, needs, tokens, lates))
+    late = lateness(late, size)
     order = np.argsort(token, kind="stable")
     t = token[order]
     first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
@@ -308,16 +360,17 @@ def _join(parts: list[bytes], pairs: dict):
     ties: set[tuple[int, int]] = set()
     for a, n in zip(first[length > 1].tolist(), length[length > 1].tolist()):
         own = order[a : a + n]
-        group = dict(zip(fp[own].tolist(), zip(size[own].tolist(), need[own].tolist())))  # equal sets of several tasks are one class
+        group = dict(zip(fp[own].tolist(), zip(size[own].tolist(), need[own].tolist(), late[own].tolist())))  # equal sets of several tasks are one class
         if len(group) < 2:
             continue
-        ids = sorted(group)
-        if len(ids) > SMALL or not size[own].all():  # the mark of any entry counts, also where a copy of its class has a size
-            ties.update((ids[0], x) for x in ids[1:])
+        if len(group) > SMALL or not need[own].all():  # the mark of any entry counts, also where a copy of its class has none
+            least, centre = min((x[2], c) for c, x in group.items())
+            ties.update((min(centre, c), max(centre, c)) for c, x in group.items() if x[2] + least <= LATE and c != centre)
             continue
+        ids = sorted(group)
         for i, x in enumerate(ids):
             for y in ids[i + 1 :]:
-                if abs(group[x][0] - group[y][0]) <= SIZE_STEPS:
+                if abs(group[x][0] - group[y][0]) <= SIZE_STEPS and group[x][2] + group[y][2] <= LATE:
                     least = min(group[x][1], group[y][1])
                     c = pairs.setdefault((x, y), [0, least])
                     c[0] += 1

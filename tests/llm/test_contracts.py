@@ -445,18 +445,25 @@ def test_near_duplicates(spark, seed, monkeypatch):
 
 
 def test_a_mark_of_often_makes_a_tie_in_any_order():
-    def part(classes):  # each class holds the one token 5
+    def part(classes, late=0):  # each class holds the one token 5
         fp, size, need = (np.array(x, t) for x, t in zip(zip(*classes), (np.int64, np.uint8, np.uint8)))
         n = len(fp)
-        return b"".join(x.tobytes() for x in (np.int64(n), fp, size, need, np.ones(n, np.uint32), np.full(n, 5, np.uint32), np.zeros(n, np.uint8)))
+        return b"".join(x.tobytes() for x in (np.int64(n), fp, size, need, np.ones(n, np.uint32), np.full(n, 5, np.uint32), np.zeros(n, np.uint8), np.full(n, late, np.int8)))
 
-    mark, rest = part([(1, 0, 1)]), part([(1, 70, 6), (2, 70, 6), (3, 71, 6)])
+    mark, rest = part([(1, 70, 0)]), part([(1, 70, 6), (2, 70, 6), (3, 71, 6)])
     for parts in ([mark, rest], [rest, mark]):
         pairs = {}
         found = [r for b in parity_join._join(parts, pairs) for r in b.to_pylist()]
         assert not pairs and sorted((r["kind"], r["u"], r["v"]) for r in found) == [(1, 1, 2), (1, 1, 3)]
     pairs = {}
     assert not list(parity_join._join([rest, rest], pairs)) and set(pairs) == {(1, 2), (1, 3), (2, 3)}
+    pairs = {}  # late classes meet early ones only, in small groups and in large ones
+    early, late = part([(1, 100, 6)]), part([(c, 100, 6) for c in range(2, 5)], 60)
+    assert not list(parity_join._join([early, late], pairs)) and not pairs
+    many = part([(c, 100, 6) for c in range(2, 30)], 60)
+    assert not list(parity_join._join([early, many], pairs)) and not list(parity_join._join([many], pairs)) and not pairs
+    found = [r for b in parity_join._join([part([(1, 100, 6)], -60), many], pairs) for r in b.to_pylist()]
+    assert sorted((r["kind"], r["u"], r["v"]) for r in found) == [(1, 1, c) for c in range(2, 30)]
 
 
 def test_near_duplicates_with_a_hot_block_split_unevenly(spark, monkeypatch):
@@ -475,6 +482,59 @@ def test_near_duplicates_with_a_hot_block_split_unevenly(spark, monkeypatch):
         same(rows(parity_join.near_duplicates(df)), parity_join.brute(parts[0] + parts[1]))
 
 
+def forms(r, n, words, change):
+    """Documents of one form, each with words of its own in some places."""
+    base = prose(r, words, 3000).split()
+    return [" ".join(f"e{i}x{j}" if r.random() < change else w for j, w in enumerate(base)) for i in range(n)]
+
+
+@pytest.mark.parametrize("split", [1, 2])
+def test_near_duplicates_of_forms_and_parts_of_forms(spark, monkeypatch, split):
+    """Sets that are alike about as much as a link asks for, of sizes apart, with frequent blocks in parts."""
+    monkeypatch.setattr(parity_join, "SPLIT", split)
+    monkeypatch.setattr(parity_join, "OFTEN", 5)
+    r = random.Random(11)
+    texts = [t for change in (0.0, 0.01, 0.02, 0.03, 0.04, 0.06) for t in forms(random.Random(3), 14, 120, change)]
+    texts += [" ".join(t.split()[r.randint(0, 20) : 120 - r.randint(0, 20)]) for t in texts]
+    texts += forms(r, 30, 30, 0.02)
+    r.shuffle(texts)
+    docs = list(enumerate(texts))
+    same(rows(parity_join.near_duplicates(spark.createDataFrame(docs, DOC).repartition(3))), parity_join.brute(docs))
+
+
+@pytest.mark.parametrize("spread", [16, 1])
+def test_linked_sets_meet_early(spread, monkeypatch):
+    """At each of the first blocks that a linked pair shares, lateness adds up to ``LATE`` at most."""
+    monkeypatch.setattr(parity_join, "LEAST_BLOCKS", 16)
+    r, seen = np.random.default_rng(8), 0
+    counts = r.integers(0, 5, parity_join.CELLS).astype(np.int32)
+    for _ in range(300):
+        a = np.unique(r.integers(0, 2**63, r.integers(5, 900), dtype=np.uint64))
+        gone, new = r.integers(0, len(a) // 5 + 1), r.integers(0, len(a) // 5 + 1)
+        b = np.unique(np.concatenate([r.choice(a, len(a) - gone, replace=False), r.integers(0, 2**63, new, dtype=np.uint64)]))
+        if not parity_join.linked(parity_join.common(a, b), len(a), len(b)):
+            continue
+        f = parity_join.band(max(len(a), len(b)))
+        x, y = (parity_join.blocks_of(s, counts, spread)[f - parity_join.band(len(s))] for s in (a, b))
+        if min(x[1], y[1]) < 1:
+            continue  # too few blocks: the pass is repeated
+        late = [dict(zip(z[0].tolist(), parity_join.lateness(z[2], np.full(len(z[0]), parity_join._size_class(len(s)))))) for z, s in ((x, a), (y, b))]
+        shared = [t for t in x[0].tolist() if t in late[1]][: min(x[1], y[1])]
+        assert len(shared) == min(x[1], y[1]) and all(late[0][t] + late[1][t] <= parity_join.LATE for t in shared)
+        seen += 1
+    assert seen > 50
+
+
+def test_documents_of_one_form_that_are_not_linked_do_not_meet(spark):
+    r = random.Random(4)
+    base = prose(r, 300, 3000).split()
+    blanks = set(range(5, 300, 22))  # each spoils five shingles: a similarity of about 0.63
+    docs = [(i, " ".join(f"e{i}x{j}" if j in blanks else w for j, w in enumerate(base))) for i in range(400)]
+    docs = spark.createDataFrame(docs, DOC)
+    _, partial = parity_join.survey(docs, 5)
+    assert parity_join.candidates(docs, parity_join.counted(partial), 400 * 300, 5).where("kind < 2").count() == 0
+
+
 def test_near_duplicates_of_odd_rows(spark):
     df = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f")], DOC).withColumn("n", F.lit("clash"))
     same(rows(parity_join.near_duplicates(df)), [(5, 2, 3), (5, 2, 3), (None, 2, None), (3, 2, 3)])
@@ -494,9 +554,9 @@ def test_sketches_bound_the_symmetric_difference():
 
 def test_too_few_blocks_are_noticed():
     s = np.arange(16, dtype=np.uint64) << np.uint64(40)  # all in one block
-    (token, need), *_ = parity_join.blocks_of(s, np.zeros(parity_join.CELLS, np.int32), 16)
+    (token, need, *_), *_ = parity_join.blocks_of(s, np.zeros(parity_join.CELLS, np.int32), 16)
     assert len(token) == 1 and need < 1
-    assert all(n >= 1 for _, n in parity_join.blocks_of(s, np.zeros(parity_join.CELLS, np.int32), 1 << 44))
+    assert all(n >= 1 for _, n, *_ in parity_join.blocks_of(s, np.zeros(parity_join.CELLS, np.int32), 1 << 44))
 
 
 def test_components(spark):
