@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import basename, is_note, is_rewritable, remove_md, slashes, walk_key, with_md, without_md
+from ..functions.paths import add_md, basename, is_note, is_rewritable, remove_md, slashes, walk_key, with_md, without_md
 from ..functions.text import lines, trim_ws
 from ..model import BACKLINK_CAP
 
@@ -102,11 +102,51 @@ def names(notes: DataFrame) -> DataFrame:
     return notes.where(is_note(F.col("path"))).select("path", F.inline(keys))
 
 
+#: Characters that let one link text hold another's end; names with them are matched by length.
+ODD = r"[\[\]|#()]"
+_ENDS = {"wiki": r"(?:\]\]|\||#)", "md": r"\)"}
+_LEAD = {"wiki": r"\[\[", "md": r"\]\((?:\./)?"}
+
+
+def link_keys(notes: DataFrame) -> DataFrame:
+    """What stands in the links to each note: (path, kind, key), lower-cased; the column form of :func:`shapes`."""
+    name = slashes(remove_md(F.col("path")))
+    stem, base, file = F.lower(remove_md(name)), F.lower(remove_md(basename(name))), F.lower(add_md(name))
+    keys = F.array_distinct(F.array(*[F.struct(F.lit(k).alias("kind"), t.alias("key")) for k, t in (("wiki", base), ("wiki", stem), ("md", file), ("md", stem))]))
+    return notes.where(is_note(F.col("path"))).select("path", F.inline(keys))
+
+
+def link_lines(notes: DataFrame, lengths: dict[str, Column]) -> DataFrame:
+    """Lines with links: (src_path, mtime_ns, line_number, line, kind, key), a row per text that may be a key.
+
+    A key without odd characters ends at the first odd one. One with odd characters may end at any: it is cut out by
+    its length, after every opening, for each length (in characters) that such keys have; looking ahead
+    consumes nothing, so links inside one another are all found."""
+    own = notes.where(is_note(F.col("path")) & (F.col("size") <= BACKLINK_CAP))
+    own = own.where(F.contains("content", F.lit("[[")) | F.contains("content", F.lit("](")))
+    rows = own.select(F.col("path").alias("src_path"), "mtime_ns", F.posexplode(lines(F.col("content"))).alias("__pos", "line"))
+    rows = rows.where(F.contains("line", F.lit("[[")) | F.contains("line", F.lit("](")))
+    rows = rows.withColumn("__low", F.lower("line")).select("*", *[c.alias(f"__{k}") for k, c in lengths.items()])
+
+    def texts(kind: str) -> Column:
+        inner = ODD.replace("[", "[^", 1)
+        short = F.regexp_extract_all("__low", F.lit(f"{_LEAD[kind]}({inner}*)(?={_ENDS[kind]})"), 1)
+        cut = lambda n: F.regexp_extract_all("__low", F.concat(F.lit(f"(?s)(?={_LEAD[kind]}(.{{"), n.cast("string"), F.lit(f"}}){_ENDS[kind]})")), F.lit(1))
+        long = F.filter(F.flatten(F.transform(f"__{kind}", cut)), lambda t: F.rlike(t, F.lit(ODD)))
+        return F.transform(F.array_union(short, F.coalesce(long, F.array().cast("array<string>"))), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("key")))
+
+    return rows.select("src_path", "mtime_ns", (F.col("__pos") + 1).alias("line_number"), "line", F.inline(F.concat(texts("wiki"), texts("md"))))
+
+
 def all_backlinks(notes: DataFrame) -> DataFrame:
-    """Backlinks of every note at once: links are taken out of the lines and meet the notes'
-    names in an equi-join, instead of testing each pattern on each line. For notes whose names
-    hold none of ``[ ] | # ( )``: (target_path, file_path, line_number, match_line, mtime_ns)."""
-    both = edges(notes).join(names(notes), ["kind", "target"]).where(F.col("src_path") != F.col("path"))
+    """Backlinks of every note at once, whatever its name: (target_path, file_path, line_number, match_line,
+    mtime_ns). The texts of links are cut out of the lines and meet the notes' names in an equi-join,
+    instead of testing each pattern on each line; only the lengths of odd names go to all tasks."""
+    keys = link_keys(notes)
+    odd = keys.where(F.col("key").rlike(ODD))
+    length = lambda kind: odd.where(F.col("kind") == kind).agg(F.collect_set(F.char_length("key")))
+    found = link_lines(notes, {kind: length(kind).scalar() for kind in ("wiki", "md")})
+    both = found.join(keys, ["kind", "key"]).where(remove_md(slashes(F.col("src_path"))) != remove_md(F.col("path")))
     once = both.select(F.col("path").alias("target_path"), F.col("src_path").alias("file_path"), "line_number", "line", "mtime_ns").distinct()
     return once.select("target_path", "file_path", "line_number", trim_ws(F.col("line")).alias("match_line"), "mtime_ns")
 
@@ -135,7 +175,8 @@ def rewritten(notes: DataFrame, old: str, new: str, strict: bool = False) -> Dat
     the new content. Case-sensitive; hidden notes are left alone, notes in hidden folders not.
 
     Links by base name change for all notes of that name; ``strict`` (an extension) leaves those
-    links alone where another note has the same base name, and changes links by path only."""
+    links alone where another note has the same base name, and changes links by path only; to know that, it
+    runs a job while the plan is made."""
     pairs = replacements(old, new)
     if strict:
         own = [with_md(x.replace("\\", "/")) for x in (old, new)]  # the note may have moved already

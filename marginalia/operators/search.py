@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import basename, is_note, walk_key
 from ..functions.text import contains_ci, let, lines, trim_ws
 from ..model import SEARCH_CAP
+from ..scratch import written
 
 LONG, AROUND, DOTS = 80, 20, "..."
 
@@ -77,11 +78,13 @@ def place(path: Column, line: Column) -> Column:
 
 
 def display(matches: DataFrame) -> DataFrame:
-    """Matches with ``display``: the place, padded to the longest one (in bytes), and the text."""
-    at = matches.withColumn("__place", place(F.col("file_path"), F.col("line_number")))
-    width = at.agg(F.max(F.octet_length("__place")).alias("__width"))  # one row
-    shown = F.concat(F.when(F.col("__width") > F.char_length("__place"), F.rpad("__place", F.col("__width"), F.lit(" "))).otherwise(F.col("__place")), F.lit(" | "), F.col("match_line"))
-    return at.crossJoin(F.broadcast(width)).select(*matches.columns, shown.alias("display"))
+    """Matches with ``display``: the place, padded to the longest one (in bytes), and the text. The width is known
+    only after all matches, so they are written once and not searched for twice."""
+    at = written(matches.withColumn("__place", place(F.col("file_path"), F.col("line_number"))), "matches")
+    width = at.agg(F.max(F.octet_length("__place"))).scalar()
+    shown = at.withColumn("__width", width)
+    text = F.concat(F.when(F.col("__width") > F.char_length("__place"), F.rpad("__place", F.col("__width"), F.lit(" "))).otherwise(F.col("__place")), F.lit(" | "), F.col("match_line"))
+    return shown.select(*matches.columns, text.alias("display"))
 
 
 def fuzzy_search(notes: DataFrame, query: str, k: int = 10) -> DataFrame:
@@ -92,3 +95,45 @@ def fuzzy_search(notes: DataFrame, query: str, k: int = 10) -> DataFrame:
     hit = notes.where(is_note(F.col("path"))).where(F.regexp_like(F.lower("path"), F.lit(pattern)))
     score = F.levenshtein(F.lower(basename(F.col("path"))), F.lit(query.lower()))
     return hit.select("path", score.alias("score")).orderBy("score", F.char_length("path"), walk_key(F.col("path"))).limit(k)
+
+
+#: Fixed values of the alignment score: a matched character, one at the start of a word, one that follows
+#: the one before it at once, opening a gap between two matched characters, and each character of a gap.
+MATCH, START, RUN, GAP, SKIP = 16, 8, 4, 3, 1
+
+
+def alignment_score(path: Column, query: str) -> Column:
+    """The best score of placing the query's characters, in order, on the path's, both case-folded; null if they do
+    not fit. What is skipped before the first and after the last character is free.
+
+    One fold over the path's characters: for each prefix of the query, the best score with its last character
+    matched just here (``hit``) and with it matched earlier, the gap since then paid for (``past``)."""
+    q = list(query.lower())
+    if not q:
+        return F.lit(0)
+    low = F.lit(None).cast("int")
+    empty = F.array(*[low] * len(q))
+
+    def step(acc: Column, c: Column) -> Column:
+        old = lambda name, j: F.get(acc[name], F.lit(j))
+        start = F.when(acc["last"].isNull() | ~F.rlike(acc["last"], F.lit(r"[\p{L}\p{N}]")), START).otherwise(0)
+        hit = []
+        for j, ch in enumerate(q):
+            if j == 0:
+                best = F.lit(MATCH) + start
+            else:
+                best = F.greatest(old("hit", j - 1) + RUN, old("past", j - 1)) + MATCH + start
+            hit.append(F.when(c == ch, best))
+        past = [F.greatest(old("hit", j) - GAP - SKIP, old("past", j) - SKIP) for j in range(len(q))]
+        best = F.greatest(acc["best"], hit[-1])
+        return F.struct(F.array(*hit).alias("hit"), F.array(*past).alias("past"), best.alias("best"), c.alias("last"))
+
+    none = F.struct(empty.alias("hit"), empty.alias("past"), low.alias("best"), F.lit(None).cast("string").alias("last"))
+    return F.aggregate(F.split(F.lower(path), ""), none, step, lambda a: a["best"])
+
+
+def fuzzy_ranked(notes: DataFrame, query: str, k: int = 10) -> DataFrame:
+    """The ``k`` paths on which the query is best placed: (path, score), the highest score first, then the shortest
+    path, then walk order. An empty query is on every path, with score 0."""
+    hit = notes.where(is_note(F.col("path"))).select("path", alignment_score(F.col("path"), query).alias("score")).where("score is not null")
+    return hit.orderBy(F.desc("score"), F.char_length("path"), walk_key(F.col("path"))).limit(k)

@@ -15,6 +15,7 @@ from ..model import NOTES_SQL, SEARCH_CAP, notes_from_documents
 from ..operators import dml, links, resolve, search
 from ..session import on_workers
 from ..sources import registry
+from . import linking
 
 TERM, TARGET_ID, NEW = "the", 10, "archive/renamed"
 
@@ -378,9 +379,9 @@ def q_vault_lookup(spark, sf_dir):
     return registry.find_vault(_registry(spark, sf_dir), "7")
 
 
-QUERIES = {name.removeprefix("q_"): f for name, f in list(globals().items()) if name.startswith("q_")}
+QUERIES = {name.removeprefix("q_"): f for name, f in list(globals().items()) if name.startswith("q_")} | linking.QUERIES
 
-SQL = {
+SQL = linking.SQL | {
     "search_content": SEARCH_CONTENT,
     "search_snippet": SEARCH_SNIPPET,
     "search_filename_fallback": SEARCH_FALLBACK,
