@@ -13,20 +13,23 @@ import time
 import warnings
 import webbrowser
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import frontmatter as fm
-from .functions.paths import validate_path, with_md
+from .functions.paths import is_note, is_rewritable, validate_path, with_md
 from .functions.text import ESCAPES
-from .model import text_notes
+from .model import BACKLINK_CAP, SEARCH_CAP, text_notes
 from .operators import links, resolve, search
-from .sources import registry, sink, vault
+from .operators import moves as many
+from .scratch import written
+from .sources import listing, registry, sink
+from .sources.vault import content_of
 
-NOT_FOUND = "cannot find note in vault"
+NOT_FOUND, UNREADABLE = "cannot find note in vault", "cannot read note in vault"
 GUI_EDITORS = ("code", "subl", "atom", "mate")
 
 
@@ -74,7 +77,6 @@ class Vault:
     pick: Callable[[list[str]], int] | None = None
     warn: Callable[[str], object] = warnings.warn
     delay: float = 0.2
-    _notes: dict[bool, DataFrame] = field(default_factory=dict, repr=False)
 
     def resolve_name(self) -> str:
         self.name = registry.default_name(self.name, self.preferences)
@@ -83,9 +85,14 @@ class Vault:
     def path(self) -> str:
         return registry.vault_path(self.resolve_name(), self.registry_file)
 
-    def notes(self, content: bool = True) -> DataFrame:
-        df = vault.read_vault(self.spark, self.path(), content)
-        return text_notes(df) if content else df
+    def files(self) -> DataFrame:
+        """What is in the vault now, without contents."""
+        return listing.list_vault(self.spark, self.path())
+
+    def notes(self, files: DataFrame | None = None, largest: int | None = None) -> DataFrame:
+        """The vault's notes in text; those of more than ``largest`` bytes are listed and not read."""
+        own = (self.files() if files is None else files).where(is_note(F.col("path")))
+        return text_notes(listing.with_content(own, self.path(), largest))
 
     def _uri(self, action: str, **params: str) -> str:
         return build_uri(f"{self.uri_base}{action}", params)
@@ -113,14 +120,14 @@ class Vault:
 
     def search(self, editor: bool = False) -> str:
         """Pick a note out of all and open it."""
-        paths = [r.path for r in resolve.list_notes(self.notes(content=False)).collect()]
+        paths = [r.path for r in resolve.list_notes(self.files()).collect()]
         note = paths[self._picked(paths)]
         self._open(note, editor)
         return note
 
     def search_content(self, query: str, editor: bool = False) -> str | None:
         """Open the note with the query; of several the one picked; None without a match."""
-        found = search.search_notes(self.notes(), query)
+        found = written(search.search_notes(self.notes(largest=SEARCH_CAP - 1), query), "found")
         few = found.limit(2).collect()
         if not few:
             return None
@@ -132,25 +139,34 @@ class Vault:
         self._open(note, editor)
         return note
 
-    def contents(self, note: str) -> tuple[str, str]:
-        rows = resolve.read_note(self.notes(), note).select("path", "content").collect()
-        if not rows:
+    def raw(self, note: str, files: DataFrame | None = None) -> tuple[str, bytes]:
+        """The path that a name stands for, and the bytes there. A note that cannot be read is an error."""
+        found = resolve.resolve(self.files() if files is None else files, note).first()
+        if found is None:
             raise NoteError(NOT_FOUND)
-        return rows[0].path, rows[0].content
+        content = content_of(os.path.join(self.path(), found.path))
+        if content is None:
+            raise NoteError(f"{UNREADABLE}: {found.path}")
+        return found.path, content
+
+    def contents(self, note: str) -> tuple[str, str]:
+        path, content = self.raw(note)
+        return path, content.decode("utf-8", "replace")
 
     def print(self, note: str, mentions: bool = False) -> str:
-        text = self.contents(note)[1]
+        files = self.files()
+        text = self.raw(note, files)[1].decode("utf-8", "replace")
         if mentions:
-            text += "".join(r.section for r in links.mentions(links.backlinks(self.notes(), note)).collect())
-            for r in links.too_large(self.notes(content=False)).toLocalIterator():
+            text += "".join(r.section for r in links.mentions(links.backlinks(self.notes(files, BACKLINK_CAP), note)).collect())
+            for r in links.too_large(files).toLocalIterator():
                 self.warn(f"{r.path} is too large to be searched for links ({r.size} bytes)")
         return text
 
-    def set_contents(self, note: str, content: str) -> None:
+    def set_contents(self, note: str, content: str | bytes) -> None:
         """Overwrites the note that the name stands for; never creates one."""
-        path = self.contents(note)[0]
+        path = self.raw(note)[0]
         mode = os.stat(os.path.join(self.path(), path)).st_mode & 0o7777
-        sink.put(self.path(), path, content.encode(), mode)
+        sink.put(self.path(), path, content.encode() if isinstance(content, str) else content, mode)
 
     def create(self, note: str, content: str = "", append: bool = False, overwrite: bool = False, show: bool = False, editor: bool = False) -> None:
         if append and overwrite:
@@ -163,19 +179,52 @@ class Vault:
             self._open(note, True)
 
     def move(self, old: str, new: str, show: bool = False, editor: bool = False) -> int:
-        """Rename a note and rewrite the links to it; the number of notes rewritten. The two
-        steps are not atomic."""
+        """Rename a note and rewrite the links to it, all or nothing; the number of notes rewritten. Nothing
+        is changed if a note cannot be read, since its links could not be followed."""
         root = self.path()
         a, b = (with_md(validate_path(root, x)) for x in (old, new))
-        try:
-            os.rename(a, b)
-        except OSError as e:
-            raise NoteError(NOT_FOUND) from e
-        n = sink.write_back(links.rewritten(self.notes(), old, new), root)
+        if not os.path.lexists(a) or os.path.isdir(a) or not os.path.isdir(os.path.dirname(b)):
+            raise NoteError(NOT_FOUND)
+        old_path, new_path = (os.path.relpath(x, root).replace(os.sep, "/") for x in (a, b))
+        here = F.col("path") == old_path
+        changed = links.rewritten(self.notes(), old, new, unreadable=True)
+        changed = changed.select(F.when(here, new_path).otherwise(F.col("path")).alias("path"), "content", "mode", F.when(here, F.col("path")).alias("moved_from"))
+        changed = written(changed.where((F.col("path") != new_path) | F.col("moved_from").isNotNull()), "changed")
+        if lost := changed.where("content is null").first():
+            raise NoteError(f"{UNREADABLE}: {lost.moved_from or lost.path}")
+        n = changed.count()
+        if changed.where("moved_from is not null").isEmpty():
+            one = self.spark.createDataFrame([(new_path, None, None, old_path)], changed.schema)
+            sink.write_back(changed.unionByName(one), root)
+        else:
+            sink.write_back(changed, root)
         if show:
             self._open(new, editor)
         return n
 
+    def move_all(self, moves: DataFrame) -> int:
+        """Many moves (old, new) at once, chains and swaps included, as one transaction; the number of notes whose
+        links change. An error if two notes would have one path, or a note cannot be read."""
+        root, files = self.path(), self.files().where(is_note(F.col("path")))
+        for r in moves.toLocalIterator():
+            for x in (r.old, r.new):
+                validate_path(root, x)
+        if clash := many.clashes(files, moves).first():
+            raise NoteError(f"{clash.n} notes would be {clash.path}")
+        notes = listing.with_content(files, root)
+        if lost := notes.where(is_rewritable(F.col("path")) & F.col("content").isNull()).first():
+            raise NoteError(f"{UNREADABLE}: {lost.path}")
+        paths = many.new_paths(files.select("path", F.col("path").alias("moved_from")), moves)
+        changed = many.rewritten_all(notes, moves).select(F.col("path").alias("moved_from"), "content")
+        out = paths.join(changed.withColumn("__new", F.lit(True)), "moved_from", "left").where(F.col("__new") | (F.col("path") != F.col("moved_from")))
+        out = written(out.select("path", "content", F.lit(None).cast("int").alias("mode"), "moved_from", F.coalesce("__new", F.lit(False)).alias("new")), "changed")
+        sink.write_back(out.drop("new"), root)
+        return out.where("new").count()
+
+    def recover(self) -> dict[str, int]:
+        """Finish or take back what a crash left half done; to be called when nothing else writes."""
+        return sink.recover(self.path(), self.spark)
+
     def delete(self, note: str) -> None:
         try:
             os.remove(with_md(validate_path(self.path(), note)))
@@ -184,8 +233,7 @@ class Vault:
 
     def frontmatter(self, note: str, show: bool = False, edit: bool = False, delete: bool = False, key: str = "", value: str = "") -> str:
         """Show, else edit, else delete, whichever is asked for first in this order."""
-        text = self.contents(note)[1]
-        one = self.spark.createDataFrame([(text,)], "content string")
+        one = self.spark.createDataFrame([(bytearray(self.raw(note)[1]),)], "content binary")
         c = F.col("content")
         if show:
             r = one.select(fm.printed(c).alias("p")).select("p.*").first()
@@ -195,18 +243,18 @@ class Vault:
         if edit:
             if not key or not value:
                 raise NoteError(f"an edit needs --{'value' if key else 'key'}")
-            r = one.select(fm.set_key(c, key, value).alias("r")).select("r.*").first()
+            r = one.select(fm.set_key_bytes(c, key, value).alias("r")).select("r.*").first()
             said = f"Updated frontmatter key '{key}' in {note}"
         elif delete:
             if not key:
                 raise NoteError("a deletion needs --key")
-            r = one.select(fm.delete_key(c, key).alias("r")).select("r.*").first()
+            r = one.select(fm.delete_key_bytes(c, key).alias("r")).select("r.*").first()
             said = f"Deleted frontmatter key '{key}' from {note}"
         else:
             raise NoteError("nothing to do: give --print, --edit or --delete")
         if r.error:
             raise NoteError(r.error)
-        self.set_contents(note, r.content)
+        self.set_contents(note, bytes(r.content))
         return said
 
     def set_default(self, name: str) -> str:

@@ -56,6 +56,7 @@ def main(argv: list[str] | None = None, vault=None) -> int:
     a = parser().parse_args(argv)
     from .actions import NoteError, Vault
     from .functions.paths import PathError
+    from .sources.listing import VaultAccessError
     from .sources.registry import ConfigError
 
     if vault is None:
@@ -91,7 +92,7 @@ def main(argv: list[str] | None = None, vault=None) -> int:
                     print(vault.path(), end="")
                 else:
                     print(f"Default vault name: {vault.resolve_name()}\nDefault vault path: {vault.path()}")
-    except (NoteError, PathError, ConfigError) as e:
+    except (NoteError, PathError, ConfigError, VaultAccessError) as e:
         print(e, file=sys.stderr)
         return 1
     return 0

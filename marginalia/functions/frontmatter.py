@@ -1,7 +1,7 @@
 """YAML headers of notes: detect, parse, set, delete.
 
-Header and body are cut apart with string functions; only the header text goes to Python
-(Arrow batches) for YAML, which Spark cannot parse, and the body never leaves the JVM.
+Header and body are cut apart byte by byte; only the header text goes to Python (Arrow
+batches) for YAML, which Spark cannot parse, and the body never leaves the JVM and is never decoded.
 Keys are sorted and comments lost when a header is written.
 """
 
@@ -27,24 +27,40 @@ def has_header(c: Column) -> Column:
     return trim_ws(F.substring_index(c, "\n", 1)) == DELIMITER
 
 
-def _close(c: Column) -> Column:
-    return F.regexp_instr(c, F.lit(_CLOSE))
+def parts(b: Column) -> Column:
+    """struct(open, header, body) of a content in bytes: cut at the delimiters, byte by byte.
+
+    As Latin-1 every byte is one character, so places found there are places in the bytes, whatever
+    they stand for. The header is null unless it is opened and closed; the body is then all there is."""
+
+    def lines(s: Column) -> Column:
+        return F.struct(s.alias("s"), F.instr(s, F.lit("\n")).alias("nl"))
+
+    def ends(p: Column) -> Column:
+        first = F.when(p["nl"] > 0, F.substring(b, F.lit(1), p["nl"] - 1)).otherwise(b)
+        opened = trim_ws(first.cast("string")) == DELIMITER
+        at, n = F.regexp_instr(p["s"], F.lit(_CLOSE)), F.octet_length(F.regexp_substr(p["s"], F.lit(_CLOSE)))
+        return F.struct(p["nl"].alias("nl"), opened.alias("open"), F.when(opened, at).alias("at"), F.when(opened, n).alias("n"))
+
+    def cut(e: Column) -> Column:
+        head, rest = F.substring(b, e["nl"] + 1, e["at"] - e["nl"]), F.substring(b, e["at"] + e["n"], F.lit(2**31 - 1))
+        return F.struct(e["open"].alias("open"), F.when(e["at"] > 0, head).alias("header"), F.when(e["at"] > 0, rest).otherwise(b).alias("body"))
+
+    return let(let(let(F.decode(b, "ISO-8859-1"), lines), ends), cut)
 
 
 def is_closed(c: Column) -> Column:
-    return has_header(c) & (_close(c) > 0)
+    return parts(c.cast("binary"))["header"].isNotNull()
 
 
 def header(c: Column) -> Column:
     """The YAML text; null without a closed header."""
-    first = F.char_length(F.substring_index(c, "\n", 1))
-    return F.when(has_header(c), let(_close(c), lambda at: F.when(at > 0, F.substring(c, first + F.lit(2), at - first - 1))))
+    return parts(c.cast("binary"))["header"].cast("string")
 
 
 def body(c: Column) -> Column:
     """What follows a closed header, else everything."""
-    rest = lambda end: F.when(end.isNotNull(), F.substring(c, _close(c) + F.char_length(end), F.lit(2**31 - 1)))
-    return F.coalesce(F.when(has_header(c), let(F.regexp_substr(c, F.lit(_CLOSE)), rest)), c)
+    return parts(c.cast("binary"))["body"].cast("string")
 
 
 def _yaml():
@@ -141,34 +157,58 @@ def _printed(text: pd.Series) -> pd.DataFrame:
 
 def printed(c: Column) -> Column:
     """struct(text, error): the header as it is shown, sorted; empty without one."""
-    return _printed(header(c))
+    return _printed(_head(c.cast("binary"))[0])
 
 
 def parse(c: Column) -> Column:
     """struct(values variant, body, error): values are null without a header or with an empty one."""
-    got = _parsed(header(c))
-    return F.struct(F.try_parse_json(got["json"]).alias("values"), F.when(got["error"].isNull(), body(c)).alias("body"), got["error"].alias("error"))
+    text, bad = _head(c.cast("binary"))
+    got = _parsed(text)
+    error = F.coalesce(bad, got["error"])
+    return F.struct(F.try_parse_json(got["json"]).alias("values"), F.when(error.isNull(), body(c)).alias("body"), error.alias("error"))
 
 
 def keys(c: Column) -> Column:
     """The header's keys, sorted; none without a header."""
-    got = F.map_keys(F.from_json(_parsed(header(c))["json"], "map<string,string>"))
+    got = F.map_keys(F.from_json(_parsed(_head(c.cast("binary"))[0])["json"], "map<string,string>"))
     return F.array_sort(F.coalesce(got, F.array().cast("array<string>")))
 
 
-def set_key(c: Column, key: str, value: str | Column) -> Column:
-    """struct(content, error): a key set to a command-line value; a header is made if there is none."""
+def _head(b: Column) -> tuple[Column, Column]:
+    """The header's text as YAML may have it, and the error of one that is not UTF-8."""
+    h = parts(b)["header"].cast("string")
+    return F.when(F.is_valid_utf8(h), h), F.when(~F.is_valid_utf8(h), BAD_YAML)
+
+
+def set_key_bytes(b: Column, key: str, value: str | Column) -> Column:
+    """struct(content, error): a key set to a command-line value; a header is made if there is none. The
+    body's bytes stay as they are, whatever they are; only the header is decoded."""
     v = value if isinstance(value, Column) else F.lit(value)
-    got = _edited(header(c), F.lit(key), value_json(v))
-    new = F.concat(F.lit("---\n"), got["header"], F.lit("---\n"), body(c))
-    return F.struct(new.alias("content"), got["error"].alias("error"))
+    text, bad = _head(b)
+    got = _edited(text, F.lit(key), value_json(v))
+    error = F.coalesce(bad, got["error"])
+    new = F.concat(F.encode(F.concat(F.lit("---\n"), got["header"], F.lit("---\n")), "UTF-8"), parts(b)["body"])
+    return F.struct(F.when(error.isNull(), new).alias("content"), error.alias("error"))
 
 
-def delete_key(c: Column, key: str) -> Column:
+def delete_key_bytes(b: Column, key: str) -> Column:
     """struct(content, error): without the key; without its last key a header goes, and one
-    newline after it. A missing key is no error, a missing header is one."""
-    got = _edited(header(c), F.lit(key), F.lit(None).cast("string"))
-    rest = F.concat(F.lit("---\n"), got["header"], F.lit("---\n"), body(c))
-    new = F.when(got["header"] == "", F.regexp_replace(body(c), r"\A\n", "")).otherwise(rest)
-    error = F.when(~has_header(c), NO_HEADER).otherwise(got["error"])
+    newline after it. A missing key is no error, a missing header is one. As :func:`set_key_bytes` for bytes."""
+    text, bad = _head(b)
+    got, rest = _edited(text, F.lit(key), F.lit(None).cast("string")), parts(b)["body"]
+    after = F.when(F.substring(rest, F.lit(1), F.lit(1)) == F.lit(b"\n"), F.substring(rest, F.lit(2), F.lit(2**31 - 1))).otherwise(rest)
+    new = F.when(got["header"] == "", after).otherwise(F.concat(F.encode(F.concat(F.lit("---\n"), got["header"], F.lit("---\n")), "UTF-8"), rest))
+    error = F.when(~parts(b)["open"], NO_HEADER).otherwise(F.coalesce(bad, got["error"]))
     return F.struct(F.when(error.isNull(), new).alias("content"), error.alias("error"))
+
+
+def set_key(c: Column, key: str, value: str | Column) -> Column:
+    """:func:`set_key_bytes` for a content in text."""
+    r = set_key_bytes(c.cast("binary"), key, value)
+    return F.struct(r["content"].cast("string").alias("content"), r["error"].alias("error"))
+
+
+def delete_key(c: Column, key: str) -> Column:
+    """:func:`delete_key_bytes` for a content in text."""
+    r = delete_key_bytes(c.cast("binary"), key)
+    return F.struct(r["content"].cast("string").alias("content"), r["error"].alias("error"))

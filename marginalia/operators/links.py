@@ -170,21 +170,23 @@ def replace_all(content: Column, pairs: dict[str, str]) -> Column:
     return content
 
 
-def rewritten(notes: DataFrame, old: str, new: str, strict: bool = False) -> DataFrame:
+def rewritten(notes: DataFrame, old: str, new: str, strict: bool = False, unreadable: bool = False) -> DataFrame:
     """The notes whose content changes when links to ``old`` become links to ``new``, with
     the new content. Case-sensitive; hidden notes are left alone, notes in hidden folders not.
 
     Links by base name change for all notes of that name; ``strict`` (an extension) leaves those
     links alone where another note has the same base name, and changes links by path only; to know that, it
-    runs a job while the plan is made."""
+    runs a job while the plan is made. ``unreadable`` also keeps notes without content, for a caller that
+    must not pass over them."""
     pairs = replacements(old, new)
     if strict:
         own = [with_md(x.replace("\\", "/")) for x in (old, new)]  # the note may have moved already
         same = notes.where(is_note(F.col("path")) & (basename(F.col("path")) == with_md(base_name(old))) & ~F.col("path").isin(own))
         if not same.isEmpty():
             pairs = {a: b for a, b in pairs.items() if a not in wiki(base_name(old))}
-    own = notes.where(is_rewritable(F.col("path")) & F.contains("content", F.lit(base_name(old))))
-    out = own.withColumn("__new", replace_all(F.col("content"), pairs)).where(~F.col("__new").eqNullSafe(F.col("content")))
+    lost = F.col("content").isNull() if unreadable else F.lit(False)
+    own = notes.where(is_rewritable(F.col("path")) & (F.contains("content", F.lit(base_name(old))) | lost))
+    out = own.withColumn("__new", replace_all(F.col("content"), pairs)).where(~F.col("__new").eqNullSafe(F.col("content")) | lost)
     return out.withColumn("content", F.col("__new")).drop("__new")
 
 

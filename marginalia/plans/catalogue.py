@@ -13,9 +13,10 @@ from ..functions import frontmatter as fm
 from ..functions import paths, text
 from ..model import NOTES_SQL, SEARCH_CAP, notes_from_documents
 from ..operators import dml, links, resolve, search
+from ..scratch import shared_dir
 from ..session import on_workers
 from ..sources import registry
-from . import linking
+from . import linking, vaults
 
 TERM, TARGET_ID, NEW = "the", 10, "archive/renamed"
 
@@ -364,11 +365,13 @@ def q_frontmatter_print(spark, sf_dir):
 
 
 def _registry(spark, sf_dir):
-    """A registry of vaults, one for each nation."""
+    """Registries of vaults, one vault for each nation and one file for each region, written and read by a scan."""
     on_workers(spark)
-    own = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("string").alias("k"), F.struct(F.concat(F.lit("/vaults/"), "n_name").alias("path")).alias("v"))
-    one = own.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("vaults"))).alias("text"))
-    return registry.registry(spark, one.first().text)
+    own = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_regionkey", F.col("n_nationkey").cast("string").alias("k"), F.struct(F.concat(F.lit("/vaults/"), "n_name").alias("path")).alias("v"))
+    files = own.groupBy("n_regionkey").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("vaults"))).alias("value"))
+    path = f"{shared_dir(spark)}/registries"
+    files.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return registry.read_registry(spark, path)
 
 
 def q_vault_registry(spark, sf_dir):
@@ -379,9 +382,9 @@ def q_vault_lookup(spark, sf_dir):
     return registry.find_vault(_registry(spark, sf_dir), "7")
 
 
-QUERIES = {name.removeprefix("q_"): f for name, f in list(globals().items()) if name.startswith("q_")} | linking.QUERIES
+QUERIES = {name.removeprefix("q_"): f for name, f in list(globals().items()) if name.startswith("q_")} | linking.QUERIES | vaults.QUERIES
 
-SQL = linking.SQL | {
+SQL = linking.SQL | vaults.SQL | {
     "search_content": SEARCH_CONTENT,
     "search_snippet": SEARCH_SNIPPET,
     "search_filename_fallback": SEARCH_FALLBACK,

@@ -91,5 +91,11 @@ def registry(spark: SparkSession, text: str) -> DataFrame:
     return one.select(F.explode("r.vaults").alias("id", "v")).select("id", F.col("v.path").alias("path"))
 
 
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """The entries (id, path) of all registry files in a folder, or of one file, by a scan."""
+    files = spark.read.schema(REGISTRY).json(path, multiLine=True)
+    return files.select(F.explode("vaults").alias("id", "v")).select("id", F.col("v.path").alias("path"))
+
+
 def find_vault(registered: DataFrame, name: str) -> DataFrame:
     return registered.where(F.col("path").endswith(name) & F.lit(bool(name))).agg(F.min("path").alias("path")).where("path is not null")

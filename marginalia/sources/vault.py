@@ -4,8 +4,10 @@ Spark's file sources skip names that begin with ``.`` or ``_``; this source list
 ``spark.read.format("vault").option("path", root)`` gives :data:`marginalia.model.NOTE`; with
 ``content=false`` files are listed and not read. A bound on ``size`` is checked before a file
 is opened. The driver lists folders only until there are ``FOLDERS`` to deal out; the rest is listed
-by the tasks. Files are dealt into partitions of about ``batchBytes``; for folders on a
-distributed file system without hidden notes, :func:`read_binary` scans in parallel.
+by the tasks. Files are dealt into partitions of about ``batchBytes``, a folder that is dealt out goes whole to one
+task: for large vaults :mod:`marginalia.sources.listing` spreads any layout evenly, and for folders on a
+distributed file system without hidden notes, :func:`read_binary` scans in parallel. ``df.write.format("vault")`` changes
+notes as a transaction, see :mod:`marginalia.sources.sink`.
 
 A file that cannot be read (a link to nothing, no permission, gone since it was listed) is a row
 without content, and of size and time 0 if it cannot even be looked at.
@@ -23,7 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, GreaterThan, Gr
 
 from ..model import NOTE, NOTE_INFO
 from ..session import on_workers
-
+from .sink import VaultWriter
 
 FOLDERS = 256
 
@@ -127,9 +129,15 @@ class VaultSource(DataSource):
     def reader(self, schema):
         return VaultReader(dict(self.options))
 
+    def writer(self, schema, overwrite):
+        if overwrite:
+            raise ValueError("a vault is changed note by note: use mode append")
+        return VaultWriter(dict(self.options)).begin()
+
 
 def register(spark: SparkSession) -> None:
     on_workers(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(VaultSource)
 
 
