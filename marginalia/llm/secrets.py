@@ -6,7 +6,9 @@ gzip/zlib/bzip2/xz anywhere in a decoded layer) is unwrapped into a new layer, w
 with the same bytes from the same place is not entered again, so cycles end; decoded layers
 shrink, except compressed ones. What one encoded stretch unwraps beyond ``WINDOW`` bytes is scanned
 in overlapping windows, so memory stays bounded; beyond ``max_unwrapped`` bytes in all, a
-stretch is reported with kind ``bomb`` rather than dropped. A finding inside a
+stretch is reported with kind ``bomb`` rather than dropped, as is an xz stream that asks for more than
+``XZ_MEMORY`` to be read. Not unwrapped: the older lzma format, deflate without a header, and the escapes
+``\\u{..}`` and ``\\U........``. A finding inside a
 layer is mapped back to code points of the original text: byte by byte through URL and
 Unicode escapes, and to the whole encoded stretch through base64 and compression; through base64
 over several lines, to the lines that hold it. Base64 is read from each of its first four
@@ -60,6 +62,8 @@ MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|
 RUN = 16  # the shortest assignment found, of 12 bytes, has 16 characters in base64
 MAX_UNWRAPPED, WINDOW, OVERLAP = 1 << 30, 16 << 20, 1 << 20
 PIECE = 1 << 14
+#: What an xz stream may ask for; one that asks for more is a ``bomb``.
+XZ_MEMORY = 128 << 20
 BROKEN = (zlib.error, OSError, lzma.LZMAError, EOFError)
 
 
@@ -152,7 +156,12 @@ def decompressor(data):
     if head[:3] == b"BZh":
         return bz2.BZ2Decompressor()
     if head == b"\xfd7zXZ\x00":
-        return lzma.LZMADecompressor(memlimit=128 << 20)
+        return lzma.LZMADecompressor(memlimit=XZ_MEMORY)
+
+
+def over_limit(e: Exception) -> bool:
+    """Whether an xz stream needs a dictionary larger than ``XZ_MEMORY``: it is not broken, and not read."""
+    return isinstance(e, lzma.LZMAError) and "limit" in str(e)
 
 
 def inflate(data: bytes, most: int, at: int = 0) -> tuple[bytes, int, bool] | None | bool:
@@ -170,7 +179,9 @@ def inflate(data: bytes, most: int, at: int = 0) -> tuple[bytes, int, bool] | No
                     if d.eof or n > most:
                         break
                 broken = False
-            except BROKEN:
+            except BROKEN as e:
+                if over_limit(e):
+                    return False
                 broken = True
             if piece == 1 or not broken:
                 out += got
@@ -204,7 +215,10 @@ def windows(data: bytes, at: int, most: int):
                     held, fresh = [whole[-OVERLAP:]], 0
                 if d.eof:
                     break
-        except BROKEN:
+        except BROKEN as e:
+            if over_limit(e):
+                yield None
+                return
             break
         if not d.eof:
             break
