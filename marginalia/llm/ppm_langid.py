@@ -22,6 +22,8 @@ empty table gives an empty table. Input columns named like an output column are
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -218,11 +220,11 @@ def identify(docs: DataFrame, labelled: DataFrame, order: int = ORDER, train_doc
     texts: dict[str, list[bytes]] = {}
     for r in sample_of(labelled, train_docs).toLocalIterator():
         texts.setdefault(r.lang, []).append(r.text.encode())
-    sent = spark.sparkContext.broadcast(Ppm(texts, order))
+    sent, key = spark.sparkContext.broadcast(Ppm(texts, order)), uuid.uuid4().hex
     fields = T.StructType().add("lang_pred", "string").add("score", "double")
 
     def make():
-        tables = unfolded(sent)
+        tables = unfolded(sent, key)
 
         def f(b):
             got = predict(tables, utf8_of(b))
@@ -236,10 +238,11 @@ def identify(docs: DataFrame, labelled: DataFrame, order: int = ORDER, train_doc
 _LAST: tuple = (None, None)
 
 
-def unfolded(sent) -> Tables:
-    """The tables of a broadcast model; a worker keeps those of the last one."""
+def unfolded(sent, key: str) -> Tables:
+    """The tables of a broadcast model; a worker keeps those of the last one, by the model's own key (an
+    object's address may be used again)."""
     global _LAST
-    if _LAST[0] != (key := (sent.value.langs, str(id(sent.value)))):
+    if _LAST[0] != key:
         _LAST = (key, sent.value.unfold())
     return _LAST[1]
 
