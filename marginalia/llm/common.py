@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,8 +61,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base}/marginalia/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-#: Paths of the tables that this process has written, in order.
-_WRITTEN: list[str] = []
+#: Paths of the tables written here, in order; each thread has its own list, so runs side by side
+#: do not delete each other's tables.
+_WRITTEN: ContextVar[list[str]] = ContextVar("written")
+
+
+def _own() -> list[str]:
+    try:
+        return _WRITTEN.get()
+    except LookupError:
+        _WRITTEN.set(own := [])
+        return own
 
 
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
@@ -70,7 +80,7 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    _own().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -90,16 +100,16 @@ def discard(*tables: DataFrame) -> None:
 
 def written() -> int:
     """A mark for :func:`discard_since`."""
-    return len(_WRITTEN)
+    return len(_own())
 
 
 def discard_since(spark: SparkSession, mark: int, keep: DataFrame | None = None) -> None:
     """Delete the tables written since a mark, but for one that is still read."""
     stay = {os.path.dirname(f) for f in keep.inputFiles()} if keep is not None else set()
-    for path in _WRITTEN[mark:]:
+    for path in _own()[mark:]:
         if not any(x.endswith(path.split(":", 1)[-1].lstrip("/")) for x in stay):
             _delete(spark, path)
-            _WRITTEN.remove(path)
+            _own().remove(path)
 
 
 #: Ids that may be broadcast: 8 MB.
