@@ -7,6 +7,12 @@ gives all vectors one length. A tree is the array of its strings, sorted by thei
 symbols; it is cut into nodes by the first symbols of the strings (as many as hold a node to about
 ``CHUNK`` strings, two at most), and a node that is larger still into chunks. Nodes are written once.
 
+Bands. The step to angles lets the longest vector hide how the others differ: beside one of 1,000 times
+their length they all point along the added coordinate. So vectors are dealt into bands by length, each at
+most half as long as the one before (``BANDS``; the last takes all that are shorter still), and every band has
+a forest of its own, lifted to its own longest vector. A query searches all bands of its dimension at once,
+and the exact scores of what they name are compared.
+
 Search. In every tree a query descends along its own string. All trees then ascend together, in
 steps: from an own prefix to its siblings, those of the ``WIDTHS`` closest next symbols, at last to
 the whole parent. A query stops at the first step at which all trees together hold ``wanted(n)``
@@ -40,7 +46,9 @@ CHUNK, FLUSH, SENT = 1 << 18, 1 << 14, 32 << 20
 #: How many sibling symbols a step takes in; the last symbols first. ``FAN`` is the whole parent.
 WIDTHS = np.array([128, 96, 64, 48, 32, 24, 16, 12, 8, 6, 4, 3, 2])
 STEPS = len(WIDTHS)
-NODE = ["d", "tree", "node"]
+#: Bands of length: a group ``g`` is a dimension and a band, g = dimension * BANDS + band.
+BANDS = 16
+NODE = ["g", "tree", "node"]
 
 
 def wanted(n: int) -> int:
@@ -110,7 +118,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def classes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One row (rep, d, raw) per distinct vector, ``raw`` its components as 64-bit numbers or, where
+    """One row (rep, d, raw, long) per distinct vector, ``long`` its length, ``raw`` its components as 64-bit numbers or, where
     they come so, as 32-bit ones; and (rep, vec_id) for every id."""
     one = usable(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     one = materialize(one.select("vec_id", "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit("v"), F.col("embedding")).alias("h2")), "vectors")
@@ -121,13 +129,15 @@ def classes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
             e = b.column(3)
             flat, at = e.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(e.value_lengths().to_numpy(zero_copy_only=False)))
             raw = [flat[i:j].tobytes() for i, j in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.diff(at), pa.int32()), pa.array(raw, pa.binary())], names=["h1", "h2", "rep", "d", "raw"])
+            wide = flat.astype(np.float64)
+            long = np.sqrt(np.add.reduceat(wide * wide, at[:-1])) if len(raw) else np.zeros(0)  # none is empty
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.diff(at), pa.int32()), pa.array(raw, pa.binary()), pa.array(long, pa.float64())], names=["h1", "h2", "rep", "d", "raw", "long"])
 
-    classes = materialize(classes.mapInArrow(pack, "h1 long, h2 long, rep long, d int, raw binary"), "classes")
+    classes = materialize(classes.mapInArrow(pack, "h1 long, h2 long, rep long, d int, raw binary, long double"), "classes")
     ids = one.select("h1", "h2", "vec_id").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select("rep", "vec_id")
     ids = materialize(ids, "ids")
     discard(one)
-    return classes.select("rep", "d", "raw"), ids
+    return classes.select("rep", "d", "raw", "long"), ids
 
 
 def matrix(b: pa.RecordBatch, name: str, d: int) -> np.ndarray:
@@ -140,9 +150,9 @@ def column(b: pa.RecordBatch, name: str) -> np.ndarray:
     return b.column(b.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
 
-def by_length(b: pa.RecordBatch):
-    """The parts of a batch whose vectors have one length."""
-    d = column(b, "d")
+def by_length(b: pa.RecordBatch, name: str = "d"):
+    """The parts of a batch whose vectors have one dimension (or are of one group)."""
+    d = column(b, name)
     for n in np.unique(d):
         yield int(n), b.filter(pa.array(d == n)) if (d != n).any() else b
 
@@ -151,8 +161,16 @@ def nodes_of(s: np.ndarray, depth: int) -> np.ndarray:
     return word(s[:, :depth]).astype(np.int64) if depth else np.zeros(len(s), np.int64)
 
 
+def banded(classes: DataFrame) -> DataFrame:
+    """``classes`` with their group: dimension and band."""
+    top = classes.groupBy("d").agg(F.max("long").alias("__top"))
+    ratio = F.least(F.try_divide("__top", "long"), F.lit(2.0 ** (BANDS - 1)))  # null or not a number: squares under- or overflow
+    band = F.when(F.isnan(ratio) | ratio.isNull(), F.when(F.col("long") > 0, 0).otherwise(BANDS - 1)).otherwise(F.floor(F.log2(ratio)))
+    return classes.join(F.broadcast(top), "d").withColumn("g", (F.col("d") * BANDS + band).cast("int")).drop("__top")
+
+
 def plant(classes: DataFrame, longest: dict[int, float], depth: dict[int, int]) -> DataFrame:
-    """The forest as rows of sorted chunks: d, tree, node, chunks, ids, keys, tails."""
+    """The forests as rows of sorted chunks: g, tree, node, chunks, ids, keys, tails."""
     spark = classes.sparkSession
 
     def strings(batches):
@@ -167,22 +185,22 @@ def plant(classes: DataFrame, longest: dict[int, float], depth: dict[int, int])
             yield from flush(held)
 
     def flush(held):
-        for d, b in by_length(pa.Table.from_batches(held).combine_chunks().to_batches()[0]) if sum(map(len, held)) else ():
-            ids, x = column(b, "rep"), lifted(matrix(b, "raw", d), longest[d])
+        for g, b in by_length(pa.Table.from_batches(held).combine_chunks().to_batches()[0], "g") if sum(map(len, held)) else ():
+            ids, x = column(b, "rep"), lifted(matrix(b, "raw", g // BANDS), longest[g])
             for t in range(TREES):
                 s = symbols(x, t)
-                node, keys, tails = nodes_of(s, depth[d]), word(s[:, :SORTED]), word(s[:, SORTED:])
+                node, keys, tails = nodes_of(s, depth[g]), word(s[:, :SORTED]), word(s[:, SORTED:])
                 order = np.argsort(node, kind="stable")
                 cut = np.flatnonzero(np.concatenate([[True], np.diff(node[order]) != 0]))
                 parts = [order[i:j] for i, j in zip(cut, np.append(cut[1:], len(order)))]
-                cols = [[d] * len(parts), [t] * len(parts), [node[p[0]] for p in parts], [len(p) for p in parts]]
+                cols = [[g] * len(parts), [t] * len(parts), [node[p[0]] for p in parts], [len(p) for p in parts]]
                 raw = [[v[p].tobytes() for p in parts] for v in (ids, keys, tails)]
                 types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), *(pa.binary(),) * 3)
                 yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols + raw, types)], names=[*NODE, "n", "ids", "keys", "tails"])
 
-    rows = materialize(classes.mapInArrow(strings, "d int, tree int, node long, n long, ids binary, keys binary, tails binary"), "strings")
+    rows = materialize(classes.select("rep", "g", "raw").mapInArrow(strings, "g int, tree int, node long, n long, ids binary, keys binary, tails binary"), "strings")
     large = [(*r[:3], -(-r.n // CHUNK)) for r in rows.groupBy(*NODE).agg(F.sum("n").alias("n")).where(F.col("n") > CHUNK).collect()]
-    large = spark.createDataFrame(large, "d int, tree int, node long, chunks int")  # nodes are bounded in number
+    large = spark.createDataFrame(large, "g int, tree int, node long, chunks int")  # nodes are bounded in number
     dealt = rows.join(F.broadcast(large), NODE, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("ids"), F.col("chunks")))
 
@@ -194,7 +212,7 @@ def plant(classes: DataFrame, longest: dict[int, float], depth: dict[int, int])
             head = head.append_column(name, pa.array([v[order].tobytes()], pa.binary()))
         return head
 
-    schema = "d int, tree int, node long, chunks int, ids binary, keys binary, tails binary"
+    schema = "g int, tree int, node long, chunks int, ids binary, keys binary, tails binary"
     forest = materialize(dealt.groupBy(*NODE, "chunk").applyInArrow(sort, schema), "forest")
     discard(rows)
     return forest
@@ -309,22 +327,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     classes, ids = classes_of(vectors)
     q_classes, q_ids = classes_of(queries)
 
-    def lengths(batches):
-        for whole in batches:
-            for d, b in by_length(whole):
-                x = matrix(b, "raw", d)
-                yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([len(x)], pa.int64()), pa.array([np.sqrt((x**2).sum(1).max())])], names=["d", "n", "longest"])
-
-    stats = classes.mapInArrow(lengths, "d int, n long, longest double").groupBy("d").agg(F.sum("n").alias("n"), F.max("longest").alias("longest")).collect()
-    size, longest = {r.d: r.n for r in stats}, {r.d: r.longest for r in stats}
-    depth = {d: next((i for i in range(2) if n <= CHUNK * FAN**i), 2) for d, n in size.items()}
-    forest = plant(classes, longest, depth)
-    asked = q_classes.where(F.col("d").isin(list(size))) if size else q_classes.limit(0)
+    own = materialize(banded(classes), "bands")
+    stats = own.groupBy("g").agg(F.count("*").alias("n"), F.max("long").alias("longest")).collect()
+    size, longest = {r.g: r.n for r in stats}, {r.g: r.longest for r in stats}
+    depth = {g: next((i for i in range(2) if n <= CHUNK * FAN**i), 2) for g, n in size.items()}
+    forest = plant(own, longest, depth)
+    dims = sorted({g // BANDS for g in size})
+    q_classes = q_classes.where(F.col("d").isin(dims)) if dims else q_classes.limit(0)
+    groups = vectors.sparkSession.createDataFrame([(g // BANDS, g) for g in size], "d int, g int")  # BANDS for each dimension
+    asked = q_classes.join(F.broadcast(groups), "d").select("rep", "g", "raw")
     steps = settle(asked, forest, size, depth)
-    pairs = named(asked.join(steps, "rep"), forest, size, depth, k)
+    pairs = named(asked.join(steps, ["rep", "g"]), forest, size, depth, k)
     pairs = materialize(pairs.distinct(), "pairs")
     discard(forest)
-    best = materialize(scored(pairs, classes, asked, k), "scored")
+    best = materialize(scored(pairs, classes, q_classes, k), "scored")
     # ids for vectors: a class has as many as count
     first = Window.partitionBy("rep").orderBy("vec_id")
     few = ids.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= k + 1).select("rep", "vec_id")
@@ -336,68 +352,68 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
 
 def routed(asked: DataFrame, depth: dict[int, int]) -> DataFrame:
-    """Queries (rep, d, raw, step) packed for each node that they touch."""
+    """Queries (rep, g, raw, step) packed for each node that they touch."""
 
     def run(batches):
         for whole in batches:
-            for d, b in by_length(whole):
+            for g, b in by_length(whole, "g"):
                 reps, step = column(b, "rep"), column(b, "step").astype(np.int64)
-                q = lifted(matrix(b, "raw", d))
+                q = lifted(matrix(b, "raw", g // BANDS))
                 for t in range(TREES):
-                    who, where = routes(q, step, t, depth[d])
+                    who, where = routes(q, step, t, depth[g])
                     order = np.argsort(where, kind="stable")
                     cut = np.flatnonzero(np.concatenate([[True], np.diff(where[order]) != 0]))
                     parts = [who[order[i:j]] for i, j in zip(cut, np.append(cut[1:], len(order)))]
-                    cols = [[d] * len(parts), [t] * len(parts), [where[order[i]] for i in cut]]
+                    cols = [[g] * len(parts), [t] * len(parts), [where[order[i]] for i in cut]]
                     raw = [[v[p].tobytes() for p in parts] for v in (reps, step, q)]
                     types = (pa.int32(), pa.int32(), pa.int64(), *(pa.binary(),) * 3)
                     yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols + raw, types)], names=[*NODE, "reps", "steps", "q"])
 
-    return asked.select("rep", "d", "raw", "step").mapInArrow(run, "d int, tree int, node long, reps binary, steps binary, q binary")
+    return asked.select("rep", "g", "raw", "step").mapInArrow(run, "g int, tree int, node long, reps binary, steps binary, q binary")
 
 
 def unpacked(b: pa.RecordBatch):
     """The rows of a join of chunks and queries."""
     for r in b.to_pylist():
-        q = np.frombuffer(r["q"], np.float32).reshape(-1, r["d"] + 1)
+        q = np.frombuffer(r["q"], np.float32).reshape(-1, r["g"] // BANDS + 1)
         yield r, q, np.frombuffer(r["reps"], np.int64), np.frombuffer(r["keys"], np.uint64)
 
 
 def settle(asked: DataFrame, forest: DataFrame, size: dict, depth: dict) -> DataFrame:
-    """(rep, step): how far up each query's trees ascend together."""
+    """(rep, g, step): how far up each query's trees of a group ascend together."""
     spark = asked.sparkSession
-    sizes = {d: [np.zeros(FAN ** depth[d], np.int64) for _ in range(TREES)] for d in size}
+    sizes = {g: [np.zeros(FAN ** depth[g], np.int64) for _ in range(TREES)] for g in size}
     if any(depth.values()):
         for r in forest.groupBy(*NODE).agg(F.sum(F.octet_length("ids") / 8).cast("long").alias("n")).collect():
-            sizes[r.d][r.tree][r.node] = r.n
+            sizes[r.g][r.tree][r.node] = r.n
     else:
-        sizes = {d: [np.array([n])] * TREES for d, n in size.items()}
+        sizes = {g: [np.array([n])] * TREES for g, n in size.items()}
     sent = spark.sparkContext.broadcast(sizes)
 
     def outer(batches):
         for whole in batches:
-            for d, b in by_length(whole):
-                step = outer_step(lifted(matrix(b, "raw", d)), sent.value[d], depth[d], wanted(size[d]))
-                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("rep")), pa.array(step, pa.int32())], names=["rep", "step"])
+            for g, b in by_length(whole, "g"):
+                step = outer_step(lifted(matrix(b, "raw", g // BANDS)), sent.value[g], depth[g], wanted(size[g]))
+                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in ("rep", "g")), pa.array(step, pa.int32())], names=["rep", "g", "step"])
 
-    first = materialize(asked.select("rep", "d", "raw").mapInArrow(outer, "rep long, step int"), "steps")
-    deep = asked.join(first.where("step < 0"), "rep")
+    first = materialize(asked.select("rep", "g", "raw").mapInArrow(outer, "rep long, g int, step int"), "steps")
+    deep = asked.join(first.where("step < 0"), ["rep", "g"])
 
     def count(batches):
         for b in batches:
             for r, q, reps, keys in unpacked(b):
-                d = r["d"]
-                for level, who, n in deep_counts(keys, q, r["tree"], depth[d], wanted(size[d]) / (8 * TREES * r["chunks"])):
+                g = r["g"]
+                for level, who, n in deep_counts(keys, q, r["tree"], depth[g], wanted(size[g]) / (8 * TREES * r["chunks"])):
                     rep, step = np.repeat(reps[who], STEPS), np.tile(level * STEPS + np.arange(STEPS), len(who))
-                    yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.full(len(rep), d, np.int32)), pa.array(step, pa.int32()), pa.array(n.ravel(), pa.int64())], names=["rep", "d", "step", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.full(len(rep), g, np.int32)), pa.array(step, pa.int32()), pa.array(n.ravel(), pa.int64())], names=["rep", "g", "step", "n"])
 
-    met = forest.select(*NODE, "chunks", "keys").join(routed(deep, depth), NODE).select("d", "tree", "chunks", "keys", "reps", "q")
-    counted = met.mapInArrow(count, "rep long, d int, step int, n long").groupBy("rep", "d", "step").agg(F.sum("n").alias("n"))
-    want = F.element_at(F.create_map(*(F.lit(x) for d, n in size.items() for x in (d, wanted(n)))), F.col("d")) if size else F.lit(0)
-    inner = counted.where(F.col("n") >= want).groupBy("rep").agg(F.max("step").alias("inner"))
-    root = F.element_at(F.create_map(*(F.lit(x) for d, n in depth.items() for x in (d, n * STEPS))), F.col("d")) if size else F.lit(0)
-    both = asked.select("rep", "d").join(first, "rep").join(inner, "rep", "left")
-    return materialize(both.select("rep", F.when(F.col("step") >= 0, F.col("step")).otherwise(F.coalesce("inner", root)).cast("int").alias("step")), "settled")
+    met = forest.select(*NODE, "chunks", "keys").join(routed(deep, depth), NODE).select("g", "tree", "chunks", "keys", "reps", "q")
+    counted = met.mapInArrow(count, "rep long, g int, step int, n long").groupBy("rep", "g", "step").agg(F.sum("n").alias("n"))
+    want = F.element_at(F.create_map(*(F.lit(x) for g, n in size.items() for x in (g, wanted(n)))), F.col("g")) if size else F.lit(0)
+    inner = counted.where(F.col("n") >= want).groupBy("rep", "g").agg(F.max("step").alias("inner"))
+    root = F.element_at(F.create_map(*(F.lit(x) for g, n in depth.items() for x in (g, n * STEPS))), F.col("g")) if size else F.lit(0)
+    both = asked.select("rep", "g").join(first, ["rep", "g"]).join(inner, ["rep", "g"], "left")
+    return materialize(both.select("rep", "g", F.when(F.col("step") >= 0, F.col("step")).otherwise(F.coalesce("inner", root)).cast("int").alias("step")), "settled")
 
 
 def named(asked: DataFrame, forest: DataFrame, size: dict, depth: dict, k: int) -> DataFrame:
@@ -408,13 +424,13 @@ def named(asked: DataFrame, forest: DataFrame, size: dict, depth: dict, k: int)
             for r, q, reps, keys in unpacked(b):
                 ids, tails, steps = (np.frombuffer(r[c], ty) for c, ty in (("ids", np.int64), ("tails", np.uint64), ("steps", np.int64)))
                 who, got = [], []
-                for i, own in closest(ids, keys, tails, q, steps, r["tree"], depth[r["d"]], shortlist(size[r["d"]], k)):
+                for i, own in closest(ids, keys, tails, q, steps, r["tree"], depth[r["g"]], shortlist(size[r["g"]], k)):
                     who.append(np.full(len(own), reps[i]))
                     got.append(own)
                 if who:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(who)), pa.array(np.concatenate(got))], names=["q", "rep"])
 
-    met = forest.join(routed(asked, depth), NODE).select("d", "tree", "ids", "keys", "tails", "reps", "steps", "q")
+    met = forest.join(routed(asked, depth), NODE).select("g", "tree", "ids", "keys", "tails", "reps", "steps", "q")
     return met.mapInArrow(run, "q long, rep long")
 
 
