@@ -22,9 +22,11 @@ EVERY, TERM = 400, "the"
 
 def vault_of(content: DataFrame) -> str:
     """A new vault folder with these notes (path, content)."""
-    root = mounted_dir(content.sparkSession)
+    spark = content.sparkSession
+    root = mounted_dir(spark)
     os.makedirs(root)
-    sink.write_back(content.select("path", "content"), root)
+    # files are written one by one: to as many tasks as there are cores, a few times over
+    sink.write_back(content.select("path", "content").repartition(3 * spark.sparkContext.defaultParallelism), root)
     return root
 
 
