@@ -6,8 +6,8 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
 import uuid
-from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -61,17 +61,21 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base}/marginalia/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-#: Paths of the tables written here, in order; each thread has its own list, so runs side by side
-#: do not delete each other's tables.
-_WRITTEN: ContextVar[list[str]] = ContextVar("written")
+class _Written(threading.local):
+    """Paths of the tables written here, in order; each thread has its own, so runs side by side do not
+    delete each other's tables."""
 
+    def __init__(self) -> None:
+        self.paths: list[str] = []
 
-def _own() -> list[str]:
-    try:
-        return _WRITTEN.get()
-    except LookupError:
-        _WRITTEN.set(own := [])
-        return own
+    def __getitem__(self, at):
+        return self.paths[at]
+
+    def __len__(self) -> int:
+        return len(self.paths)
+
+
+_WRITTEN = _Written()
 
 
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
@@ -80,7 +84,7 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}"
     df.write.parquet(path)
-    _own().append(path)
+    _WRITTEN.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -100,16 +104,16 @@ def discard(*tables: DataFrame) -> None:
 
 def written() -> int:
     """A mark for :func:`discard_since`."""
-    return len(_own())
+    return len(_WRITTEN)
 
 
 def discard_since(spark: SparkSession, mark: int, keep: DataFrame | None = None) -> None:
     """Delete the tables written since a mark, but for one that is still read."""
     stay = {os.path.dirname(f) for f in keep.inputFiles()} if keep is not None else set()
-    for path in _own()[mark:]:
+    for path in _WRITTEN[mark:]:
         if not any(x.endswith(path.split(":", 1)[-1].lstrip("/")) for x in stay):
             _delete(spark, path)
-            _own().remove(path)
+            _WRITTEN.paths.remove(path)
 
 
 #: Ids that may be broadcast: 8 MB.
