@@ -53,8 +53,6 @@ def _stage(staged: str, content: bytes | None, mode: int | None, source: str | N
         return
     with open(staged, "xb") as f:
         f.write(content or b"")
-        f.flush()
-        os.fsync(f.fileno())
     if mode is None and source is not None:
         mode = os.stat(source).st_mode & 0o7777
     os.chmod(staged, 0o644 if mode is None else mode)
@@ -93,12 +91,13 @@ class VaultWriter(DataSourceWriter):
                 log.write(json.dumps(entry) + "\n")
                 log.flush()
                 os.makedirs(os.path.dirname(path), exist_ok=True)
-                _stage(entry["staged"], r["content"], r.get("mode"), source)
+                content = r["content"].encode() if isinstance(r["content"], str) else r["content"]
+                _stage(entry["staged"], content, r.get("mode"), source)
                 if not os.path.isdir(self.folder):
                     os.unlink(entry["staged"])
                     raise RuntimeError("the transaction was taken back")
                 n += 1
-            os.fsync(log.fileno())
+        os.sync()  # once for all files of the task: what a commit names is on the disk before it
         return Staged(part, n)
 
     def commit(self, messages):
