@@ -9,8 +9,10 @@ where the window would begin, the length and position bounds drop what cannot fi
 rest is compared word by word.
 
 The benchmark is read in blocks of about ``block_bytes`` of text, whatever its size: one block at a
-time is on the driver and broadcast, and what it marks is written before the next one is read.
-Documents are never shuffled. Counts are collected for one block's shingles at a time.
+time is on the driver and broadcast. With one block, documents are answered in one pass without a
+shuffle. With several, each block writes marks only: a bit for each word and the items of every text that
+it hits, under the text's 128-bit digest; texts themselves are never written. A last pass counts words
+and joins the merged marks by digest. Counts are collected for one block's shingles at a time.
 
 Defined results: a null or empty text has no words, is never hit; items with a null id, null
 text or no words have no windows; items that share an id are one item; identical windows of
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, discard, materialize, prepare, table, utf8_of
+from .common import add_columns, materialize, prepare, table, utf8_of
 
 WINDOW, SHINGLE, BLOCK_BYTES = 10, 5, 4 << 20
+#: Bytes of merged marks that may be broadcast; beyond, over how many keys the copies of a text are dealt.
+FEW_BYTES, SALTS = 16 << 20, 32
 
 _FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -176,51 +181,106 @@ def document_counts(docs: DataFrame, block: Block) -> dict[int, int]:
     return {int(block.keys[r.i]): r.n for r in rows}
 
 
+def marks_of(docs: DataFrame, sent) -> DataFrame:
+    """(key, hit, items) of the texts that a broadcast block marks: the text's digest, a bit for each
+    of its words, and the items. Texts without a hit give no row, so texts are never copied."""
+
+    def run(batches):
+        block = sent.value
+        probe = block.prober()
+        for b in batches:
+            rows = []
+            for text in utf8_of(b):
+                if text:
+                    ids = block.ids(words_of(text))
+                    places, which = probe(ids)
+                    hit = np.zeros(len(ids), bool)
+                    if len(places) and (items := block.occurrences(ids, places, which, hit)):
+                        rows.append((_digest(text), np.packbits(hit).tobytes(), sorted(items)))
+            cols = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.binary(), pa.list_(pa.string())))], names=["key", "hit", "items"])
+
+    return docs.select("text").mapInArrow(run, "key binary, hit binary, items array<string>")
+
+
+def merged_marks(marks: list[DataFrame]) -> DataFrame:
+    """One row (key, n_hit, item_ids) for each text that any block marks. Copies of a text are
+    marked alike, so a group holds one entry for each block at most."""
+    every = reduce(DataFrame.unionByName, marks)
+    grouped = every.groupBy("key").agg(F.collect_set("hit").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
+
+    def run(batches):
+        for b in batches:
+            n = [int(np.bitwise_count(np.bitwise_or.reduce([np.frombuffer(h, np.uint8) for h in hits])).sum()) for hits in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), b.column(2)], names=["key", "n_hit", "item_ids"])
+
+    return grouped.mapInArrow(run, "key binary, n_hit long, item_ids array<string>")
+
+
+def _digest(text: bytes) -> bytes:
+    return hashlib.blake2b(text, digest_size=16).digest()
+
+
 def mark_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with n_words, n_hit, item_ids (sorted as strings) and contaminated."""
     spark = docs.sparkSession
     prepare(spark)
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "n_hit", "item_ids", "contaminated")]
-    source, out = docs, docs
-    inner = T.StructType().add("__hit", "binary").add("__items", T.ArrayType(T.StringType()))
-    final = T.StructType().add("n_words", "long").add("n_hit", "long").add("item_ids", T.ArrayType(T.StringType())).add("contaminated", "boolean")
-    for k, (block, last) in enumerate(blocks_of(benchmark, window, shingle, block_bytes)):
-        first = k == 0
-        sent = spark.sparkContext.broadcast(block.by_rarity(document_counts(source, block)))
-
-        def make(sent=sent, first=first, last=last):
-            block = sent.value
-            probe = block.prober()
-
-            def f(b):
-                texts = utf8_of(b)
-                before = [(None, None)] * len(texts) if first else list(zip(b.column(b.schema.get_field_index("__hit")).to_pylist(), b.column(b.schema.get_field_index("__items")).to_pylist()))
-                words, hits, items = [], [], []
-                for text, (old, had) in zip(texts, before):
-                    ids = block.ids(words_of(text))
-                    places, which = probe(ids)
-                    mask = np.unpackbits(np.frombuffer(old, np.uint8), count=len(ids)).astype(bool) if old else np.zeros(len(ids), bool)
-                    got = set(had or ())
-                    if len(places):
-                        got |= block.occurrences(ids, places, which, mask)
-                    words.append(len(ids))
-                    hits.append(mask)
-                    items.append(sorted(got))
-                if not last:
-                    return pa.array([np.packbits(m).tobytes() for m in hits], pa.binary()), pa.array(items, pa.list_(pa.string()))
-                n = [int(m.sum()) for m in hits]
-                return pa.array(words, pa.int64()), pa.array(n, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array([x > 0 for x in n], pa.bool_())
-
-            return f
-
-        needs = ("text",) if first else ("text", "__hit", "__items")
-        before, out = out, add_columns(out, make, final if last else inner, keep if last else [*dict.fromkeys([*keep, "text"])], needs)
-        if not last:
-            out = materialize(out, "marked")
-            sent.unpersist()
-            if not first:
-                discard(before)
-    return out
+    fields = T.StructType().add("n_words", "long").add("n_hit", "long").add("item_ids", T.ArrayType(T.StringType())).add("contaminated", "boolean")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in fields.names]
+    marks: list[DataFrame] = []
+    for block, last in blocks_of(benchmark, window, shingle, block_bytes):
+        sent = spark.sparkContext.broadcast(block.by_rarity(document_counts(docs, block)))
+        if last and not marks:
+            return _marked_at_once(docs, sent, fields, keep)
+        marks.append(materialize(marks_of(docs, sent), "marks"))
+        sent.unpersist()
+    return _marked_by_text(docs, materialize(merged_marks(marks), "merged"), fields, keep)
+
+
+def _marked_at_once(docs: DataFrame, sent, fields: T.StructType, keep: list[str]) -> DataFrame:
+    """The columns of a benchmark of one block, in one pass without a shuffle."""
+
+    def make():
+        block = sent.value
+        probe = block.prober()
+
+        def f(b):
+            words, hits, items = [], [], []
+            for text in utf8_of(b):
+                ids = block.ids(words_of(text))
+                places, which = probe(ids)
+                hit = np.zeros(len(ids), bool)
+                items.append(sorted(block.occurrences(ids, places, which, hit)) if len(places) else [])
+                words.append(len(ids))
+                hits.append(int(hit.sum()))
+            return pa.array(words, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array([n > 0 for n in hits], pa.bool_())
+
+        return f
+
+    return add_columns(docs, make, fields, keep)
+
+
+def _marked_by_text(docs: DataFrame, merged: DataFrame, fields: T.StructType, keep: list[str]) -> DataFrame:
+    """The columns from the marks of several blocks, joined by the texts' digests. Few marks are
+    broadcast; else copies of one text are dealt over ``SALTS`` keys by their doc_id."""
+
+    def make():
+        def f(b):
+            texts = utf8_of(b)
+            return pa.array([len(words_of(t)) for t in texts], pa.int64()), pa.array([_digest(t) if t else None for t in texts], pa.binary())
+
+        return f
+
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)) if "doc_id" in docs.columns else F.lit(0)
+    own = add_columns(docs.withColumn("__salt", salt), make, T.StructType().add("n_words", "long").add("__key", "binary"), [*keep, "__salt"])
+    marks = merged.withColumnRenamed("key", "__key")
+    size = marks.agg(F.sum(F.octet_length(F.array_join("item_ids", ",")) + F.lit(64))).first()[0] or 0
+    if size <= FEW_BYTES:
+        out = own.join(F.broadcast(marks), "__key", "left")
+    else:
+        out = own.join(marks.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["__key", "__salt"], "left")
+    n = F.coalesce("n_hit", F.lit(0))
+    return out.select(*keep, "n_words", n.cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), (n > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

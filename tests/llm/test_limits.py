@@ -3,15 +3,17 @@ worker, xz streams with large dictionaries, runs side by side."""
 
 import base64
 import lzma
+import os
+import random
 import threading
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.llm import common, forest, ppm_langid, secrets
+from marginalia.llm import common, decontaminate, forest, ppm_langid, secrets
 
-from test_contracts import recall_of, unit
+from test_contracts import prose, recall_of, same, unit
 
 
 @pytest.mark.parametrize("kind", ["one of 1000 times the length", "log-normal", "near copies"])
@@ -77,3 +79,23 @@ def test_runs_side_by_side_keep_their_tables(spark):
     assert out["n"] == 5 and common.written() == mark
     with pytest.raises(Exception):
         own.select(F.sum("id")).collect()
+
+
+@pytest.mark.parametrize("few", [16 << 20, 0])
+def test_many_blocks_of_a_benchmark_copy_no_texts(spark, monkeypatch, few):
+    monkeypatch.setattr(decontaminate, "FEW_BYTES", few)
+    r = random.Random(8)
+    items = [(i, prose(r, 60, 10_000)) for i in range(100)]
+    docs = [(i, prose(r, 2000, 10_000)) for i in range(60)] + [(60, None), (61, "")]
+    docs += [(100 + i, prose(r, 500, 10_000) + " " + items[i][1] + " " + items[99 - i][1]) for i in range(20)]
+    docs += [(200 + i, docs[-1][1]) for i in range(150)]  # copies of one text: most rows
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    size = sum(len(t) for _, t in items)
+    mark = common.written()
+    got = decontaminate.mark_contaminated(d, b, block_bytes=size // 20).collect()
+    folders = [p.removeprefix("file://") for p in common._WRITTEN[mark:] if p.endswith("marks")]
+    spent = [sum(os.path.getsize(os.path.join(f, x)) for x in os.listdir(f) if x.endswith(".parquet")) for f in folders]
+    assert len(folders) >= 20 and max(spent) < sum(len(t or "") for _, t in docs) / 10
+    once = decontaminate.mark_contaminated(d, b).collect()
+    same([(x.doc_id, x.n_words, x.n_hit, ",".join(x.item_ids), x.contaminated) for x in got], [(x.doc_id, x.n_words, x.n_hit, ",".join(x.item_ids), x.contaminated) for x in once])
+    assert sum(x.contaminated for x in got) == 170 and all(len(x.item_ids) >= 2 for x in got if x.contaminated)
