@@ -2,8 +2,8 @@
 
 Training builds, per language, a variable-order tree of byte contexts (up to ``order`` bytes)
 from a bounded, documented sample of labelled texts: the whole texts of at most ``train_docs``
-documents of each language, those with the smallest hashes of their ids. The statistics are then
-frozen. A byte costs -log2 of its PPM probability (method C with exclusion left out): in a context
+documents of each language, those with the smallest hashes of their ids. Runs are counted in tasks and
+summed by Spark, so no text comes to the driver, only distinct runs. The statistics are then frozen. A byte costs -log2 of its PPM probability (method C with exclusion left out): in a context
 of n bytes seen before, with d distinct successors, a known successor has c / (n + d) and the
 escape d / (n + d), which moves on to the context one byte shorter, down to 1/256 for any byte. A
 whole text's code length under each language is exact; the shortest wins.
@@ -52,29 +52,39 @@ def packed(x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+#: Bytes of which the runs are counted at once.
+AT_ONCE = 4 << 20
+
+
+def counts_of(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of ``n`` bytes of texts, sorted, and how often they occur. Long texts are counted
+    in pieces that overlap by n - 1 bytes, so each run is counted once."""
+    keys, counts, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+    pieces = [(i, lo) for i, text in enumerate(texts) for lo in range(0, len(text), AT_ONCE)]
+    for j, (i, lo) in enumerate(pieces):
+        held.append(packed(np.frombuffer(texts[i], np.uint8)[lo : lo + AT_ONCE + n - 1], n))
+        size += len(held[-1])
+        if size >= AT_ONCE or j == len(pieces) - 1:
+            new, times = np.unique(np.concatenate(held), return_counts=True)
+            both, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, times]), len(both)).astype(np.int64)
+            keys, held, size = both, [], 0
+    return keys, counts
+
+
 class Ppm:
     """Frozen counts of all languages: ``counts[lang][k]`` has the runs of k + 1 bytes, a context
     and its successor, as sorted numbers, and how often they occur."""
 
-    AT_ONCE = 4 << 20
-
     def __init__(self, texts: dict[str, list[bytes]], order: int = ORDER):
+        counts = {lang: [counts_of(texts[lang], k + 1) for k in range(order + 1)] for lang in sorted(texts)}
+        self.freeze(counts, order)
+
+    def freeze(self, counts: dict[str, list[tuple[np.ndarray, np.ndarray]]], order: int) -> "Ppm":
         if order > 7:
             raise ValueError("a context has at most 7 bytes")
-        self.langs, self.order = sorted(texts), order
-        self.counts = {lang: [self.count(texts[lang], k + 1) for k in range(order + 1)] for lang in self.langs}
-
-    def count(self, texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
-        keys, counts, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
-        for i, text in enumerate(texts):
-            held.append(packed(np.frombuffer(text, np.uint8), n))
-            size += len(held[-1])
-            if size >= self.AT_ONCE or i == len(texts) - 1:
-                new, times = np.unique(np.concatenate(held), return_counts=True)
-                both, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-                counts = np.bincount(at, np.concatenate([counts, times]), len(both)).astype(np.int64)
-                keys, held, size = both, [], 0
-        return keys, counts
+        self.langs, self.order, self.counts = sorted(counts), order, counts
+        return self
 
     def bits(self, lang: str, context: bytes, byte: int) -> float:
         """The cost of a byte after a context, straight from the definition."""
@@ -213,14 +223,42 @@ def predict(tables: Tables, texts: list[bytes | None]) -> list[tuple[str, float]
     return out
 
 
+def learned(sample: DataFrame, order: int = ORDER) -> Ppm:
+    """The model of a sample (text, lang). Runs are counted where the texts are and summed by Spark; what
+    comes to the driver are distinct runs and their counts, never a text."""
+
+    def run(batches):
+        for b in batches:
+            texts: dict[str, list[bytes]] = {}
+            for lang, text in zip(b.column(b.schema.get_field_index("lang")).to_pylist(), utf8_of(b)):
+                texts.setdefault(lang, []).append(text)
+            for lang, own in texts.items():
+                # a language is known even if its texts are empty: k = -1
+                found = [(-1, np.zeros(1, np.uint64), np.zeros(1, np.int64))] + [(k, *counts_of(own, k + 1)) for k in range(order + 1)]
+                for k, keys, n in found:
+                    cols = [pa.array([lang] * len(keys), pa.string()), pa.array(np.full(len(keys), k, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["lang", "k", "run", "n"])
+
+    parts = sample.select("lang", "text").mapInArrow(run, "lang string, k int, run long, n long")
+    t = parts.groupBy("lang", "k", "run").agg(F.sum("n").alias("n")).toArrow()
+    code, k = t["lang"].combine_chunks().dictionary_encode(), t["k"].to_numpy()
+    run_, n = t["run"].to_numpy().view(np.uint64), t["n"].to_numpy()
+    which, counts = code.indices.to_numpy(), {}
+    for i, lang in sorted(enumerate(code.dictionary.to_pylist()), key=lambda x: x[1]):
+        counts[lang] = []
+        for j in range(order + 1):
+            own = np.flatnonzero((which == i) & (k == j))
+            own = own[np.argsort(run_[own])]
+            counts[lang].append((run_[own], n[own]))
+    return Ppm.__new__(Ppm).freeze(counts, order)
+
+
 def identify(docs: DataFrame, labelled: DataFrame, order: int = ORDER, train_docs: int = TRAIN_DOCS, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with lang_pred and score, after learning from ``labelled`` (doc_id, text, lang)."""
     spark = docs.sparkSession
     prepare(spark)
-    texts: dict[str, list[bytes]] = {}
-    for r in sample_of(labelled, train_docs).toLocalIterator():
-        texts.setdefault(r.lang, []).append(r.text.encode())
-    sent, key = spark.sparkContext.broadcast(Ppm(texts, order)), uuid.uuid4().hex
+    model = learned(sample_of(labelled, train_docs), order)
+    sent, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
     fields = T.StructType().add("lang_pred", "string").add("score", "double")
 
     def make():

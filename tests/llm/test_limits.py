@@ -99,3 +99,18 @@ def test_many_blocks_of_a_benchmark_copy_no_texts(spark, monkeypatch, few):
     once = decontaminate.mark_contaminated(d, b).collect()
     same([(x.doc_id, x.n_words, x.n_hit, ",".join(x.item_ids), x.contaminated) for x in got], [(x.doc_id, x.n_words, x.n_hit, ",".join(x.item_ids), x.contaminated) for x in once])
     assert sum(x.contaminated for x in got) == 170 and all(len(x.item_ids) >= 2 for x in got if x.contaminated)
+
+
+def test_counts_from_tasks_are_those_of_the_texts(spark, monkeypatch):
+    r = random.Random(4)
+    texts = {"a": [prose(r, 300).encode(), "é\x00ß".encode()], "b": [b"xyx xyz", b"", b"q"], "c": [b""]}
+    want = ppm_langid.Ppm(texts)
+    data = [(lang, t.decode()) for lang, own in texts.items() for t in own]
+    got = ppm_langid.learned(spark.createDataFrame(data, "lang string, text string").repartition(3))
+    monkeypatch.setattr(ppm_langid, "AT_ONCE", 7)
+    for other in (got, ppm_langid.Ppm(texts)):
+        assert other.langs == want.langs == ["a", "b", "c"]
+        for lang in want.langs:
+            for (x, n), (y, m) in zip(want.counts[lang], other.counts[lang], strict=True):
+                assert x.tolist() == y.tolist() and n.tolist() == m.tolist()
+    assert ppm_langid.learned(spark.createDataFrame([], "lang string, text string")).langs == []
