@@ -13,7 +13,7 @@ which are counted over all learnable rows. Texts are worked off in slabs, forwar
 so memory does not grow with the longest of them by more than its own size.
 
 Defined results: null and empty texts are one chunk of padding, scored like any other; with
-labels of one class only, or none, every text has that class's smoothed share as its score and
+labels of one class only, or none (texts over the bound in bytes teach nothing), every text has that class's smoothed share as its score and
 the model is ``constant``: nothing was learned. Repeated rows are each scored; of rows that share
 a labelled id the smallest text is learned from, of its labels the larger one. An empty table gives
 an empty table. Input columns named like an output column are replaced.
@@ -27,9 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, prepare, smallest_hashes, table, utf8_of
+from .common import add_columns, discard, materialize, prepare, smallest_hashes, table, utf8_of
 
 TRAIN_ROWS, STEPS, BATCH, CUT = 1500, 500, 32, 0.7
+TRAIN_BYTES = 64 << 20  # of texts of each class
 HALF, GROUP, EMBED, FILTERS, HIDDEN = 128, 4, 8, 24, 16
 SLAB = 512  # half-chunks at a time
 
@@ -153,11 +154,21 @@ class Cnn:
         return self
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, steps: int = STEPS) -> Cnn:
+def within(rows: list, most: int) -> list:
+    """The rows (doc_id, quality, n) of each class, in order, whose sizes fit into ``most`` together."""
+    used, out = {}, []
+    for r in rows:
+        if used.get(r.quality, 0) + r.n <= most:
+            used[r.quality] = used.get(r.quality, 0) + r.n
+            out.append(r)
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, steps: int = STEPS, train_bytes: int = TRAIN_BYTES) -> Cnn:
     """Train on the texts of ``docs`` that ``labels`` (doc_id, quality) marks.
 
     The sample is chosen among the labels, without their texts: at most ``2 * train_rows`` ids,
-    a bound that makes them fit to broadcast, so texts are never shuffled.
+    a bound that makes them fit to broadcast, so texts outside the sample are never shuffled.
     """
     rows = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n = {r.quality: r.n for r in rows.groupBy("quality").agg(F.count("*").alias("n")).collect()}
@@ -167,7 +178,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, steps:
         return model
     ids = docs.sparkSession.createDataFrame(smallest_hashes(rows, "quality", train_rows).collect(), rows.schema)
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    found = sorted((r.doc_id, r.quality, r.text.encode()) for r in texts.toLocalIterator())
+    texts = materialize(texts, "sample")
+    sizes = texts.select("doc_id", "quality", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("at")).collect()
+    fitting = {r.doc_id for r in within(sorted(sizes, key=lambda r: (r.at, r.doc_id)), train_bytes)}
+    chosen = texts if len(fitting) == len(sizes) else texts.where(F.col("doc_id").isin(*fitting)) if fitting else texts.limit(0)
+    found = sorted((r.doc_id, r.quality, r.text.encode()) for r in chosen.toLocalIterator())
+    discard(texts)
     if len({q for _, q, _ in found}) < 2:
         model.constant = (n[1] + 1) / (n[0] + n[1] + 2)
         return model
