@@ -11,7 +11,8 @@ class's sketch. A shingle of the symmetric difference spoils one block, so the n
 blocks that differ (the Hamming distance of the sketches) is at most d: of any d + 1 non-empty
 blocks one is equal in both (pigeonhole). Each class sends its d + 1 rarest blocks; rarity is
 one order for all, from a table of counts of all shingles of the corpus (of as many cells as
-``cells_for`` its bytes, 2^23 at most), so passages that many documents share come last. It cannot lose a pair: the blocks that two classes share
+``cells_for`` its bytes, 2^23 at most; beyond, a cell holds many shingles by chance, and only what stands out
+of the median cell counts as frequent), so passages that many documents share come last. It cannot lose a pair: the blocks that two classes share
 are at least max(blocks) - d, and prefixes of length d + 1 of one order meet. Prefixes of
 length d + ``SHARED`` even meet in ``SHARED`` blocks (or in all that must be shared, where
 that is less), which rules out most chance hits for a few more blocks. A class with fewer
@@ -142,7 +143,11 @@ def _count(counts: np.ndarray, s: np.ndarray) -> None:
 
 
 def counted(partial: DataFrame, cells: int = CELLS) -> np.ndarray:
-    """The summed counts: one table of bounded size, whatever the corpus."""
+    """The summed counts less those of the median cell: one table of bounded size, whatever the corpus.
+
+    What a cell holds by chance grows with the corpus once the table does not; without the median
+    every block would look frequent. The order of the cells stays as it is.
+    """
 
     def run(batches):
         total: dict[int, np.ndarray] = {}
@@ -153,9 +158,9 @@ def counted(partial: DataFrame, cells: int = CELLS) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for c in total.values()], pa.binary())], names=["chunk", "counts"])
 
     out = np.zeros(cells, np.int64)
-    for r in partial.repartition(16, "chunk").mapInArrow(run, "chunk int, counts binary").collect():
+    for r in partial.repartition(max(16, cells // CHUNK // 4), "chunk").mapInArrow(run, "chunk int, counts binary").collect():
         out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(r.counts), np.int64)
-    return np.minimum(out, 2**31 - 1).astype(np.int32)
+    return np.clip(out - int(np.median(out)), -(2**31), 2**31 - 1).astype(np.int32)
 
 
 # --- pass 2: blocks and candidates --------------------------------------------------------
@@ -174,7 +179,7 @@ def lateness(packed: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def parts_of(count: np.ndarray) -> np.ndarray:
-    return np.maximum(1, np.sqrt(count).astype(np.int64) // SPLIT)
+    return np.maximum(1, np.sqrt(np.maximum(count, 0)).astype(np.int64) // SPLIT)
 
 
 def part_token(token: np.ndarray, part: np.ndarray, parts: np.ndarray) -> np.ndarray:

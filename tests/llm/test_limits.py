@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.llm import common, decontaminate, forest, ppm_langid, secrets
+from marginalia.llm import common, decontaminate, forest, parity_join, ppm_langid, quality_cnn, secrets
 
 from test_contracts import prose, recall_of, same, unit
 
@@ -114,3 +114,39 @@ def test_counts_from_tasks_are_those_of_the_texts(spark, monkeypatch):
             for (x, n), (y, m) in zip(want.counts[lang], other.counts[lang], strict=True):
                 assert x.tolist() == y.tolist() and n.tolist() == m.tolist()
     assert ppm_langid.learned(spark.createDataFrame([], "lang string, text string")).langs == []
+
+
+def test_counts_that_the_corpus_has_outgrown(spark, monkeypatch):
+    """Far more shingles than cells: no block is frequent by chance, those of a shared passage still are."""
+    monkeypatch.setattr(parity_join, "CELLS", parity_join.CHUNK)
+    monkeypatch.setattr(parity_join, "MOST_CELLS", parity_join.CHUNK)
+    monkeypatch.setattr(parity_join, "SPLIT", 4)
+    r = random.Random(9)
+    passage = prose(r, 60, 5000)
+    texts = [f"{prose(r, 900, 5000)} {passage}" for _ in range(300)]
+    texts += [t.replace(" ", " extra ", 1) for t in texts[:40]] + texts[40:50]
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    cells = parity_join.cells_for(10**12)
+    assert cells == parity_join.CHUNK
+    counts = parity_join.counted(parity_join.survey(df, 5, cells)[1], cells)
+    assert np.median(counts) == 0 and (parity_join.parts_of(counts) > 1).mean() < 0.05
+    shared = parity_join.shingle_set(passage.encode(), 5)
+    assert (parity_join.parts_of(counts[parity_join._cell(shared, cells)]) > 1).all()
+    got = [tuple(x) for x in parity_join.near_duplicates(df).collect()]
+    same(got, parity_join.brute(docs))
+
+
+def test_the_sample_of_the_classifier_is_bounded_in_bytes(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_cnn.Cnn, "train", lambda self, texts, labels, steps: seen.append((texts, labels)) or self)
+    docs = [(i, f"{i} " + "x" * (50_000 if i % 10 == 0 else 100)) for i in range(200)] + [(200, None)]
+    labels = [(i, i % 2) for i in range(201)]
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    quality_cnn.fit(d, lab, train_bytes=4000)
+    (texts, y), whole = seen.pop(), {(t or "").encode() for _, t in docs}
+    assert set(texts) <= whole and all(3000 < sum(len(t) for t, q in zip(texts, y) if q == k) <= 4000 for k in (0, 1))
+    quality_cnn.fit(d, lab)
+    assert len(seen.pop()[0]) == 201
+    only_long = d.where("doc_id % 10 = 0 and doc_id < 200")
+    assert quality_cnn.fit(only_long, lab, train_bytes=4000).constant is not None and not seen
