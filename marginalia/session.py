@@ -6,6 +6,10 @@ import os
 
 from pyspark.sql import SparkSession
 
+#: Rows and bytes of an Arrow batch: Spark's own 10,000 rows and 64 MiB, held several times over by each worker of a
+#: task, make Python grow with the rows of a partition.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -27,7 +31,9 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def on_workers(spark: SparkSession) -> None:
-    """Let local workers import this package from the driver's tree (clusters: ``--py-files``)."""
+    """Bound Arrow batches; let local workers import this package from the driver's tree (clusters: ``--py-files``)."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):

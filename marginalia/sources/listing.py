@@ -22,7 +22,7 @@ from ..functions.paths import walk_key
 from ..model import NOTE, NOTE_INFO
 from ..operators.ranks import placed
 from ..scratch import written
-from ..session import on_workers
+from ..session import BATCH_BYTES, BATCH_ROWS, on_workers
 from .vault import content_of, looked_at
 
 #: Entries that a task looks at in a round, and bytes that a task reads; an opened file counts as some bytes more.
@@ -134,7 +134,7 @@ def with_content(files: DataFrame, root: str, largest: int | None = None, batch:
                 content = content_of(os.path.join(root, path)) if largest is None or size <= largest else None
                 rows.append((path, size, time, mode, content))
                 held += len(content or b"")
-                if held > 8 << 20 or len(rows) == 2000:
+                if held > BATCH_BYTES or len(rows) == BATCH_ROWS:
                     yield batch_of(rows)
                     rows, held = [], 0
         yield batch_of(rows)

@@ -4,6 +4,7 @@ import json
 import os
 import shutil
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from marginalia.actions import NoteError, Vault
 from marginalia.cli import main
 from marginalia.functions import frontmatter as fm
 from marginalia.functions.paths import PathError
+from marginalia.session import BATCH_BYTES, BATCH_ROWS, on_workers
 from marginalia.sources import listing, sink, vault as source
 
 CHANGE = "path string, content binary, mode int, moved_from string"
@@ -254,3 +256,20 @@ def test_many_moves_of_files(engine):
 def test_the_command_line_names_a_folder_that_is_gone(engine, capsys):
     shutil.rmtree(engine.root)
     assert main(["print", "a"], engine) == 1 and "cannot access the vault folder" in capsys.readouterr().err
+
+
+# size -------------------------------------------------------------------------------------------
+
+
+def test_python_holds_few_notes_at_once(spark):
+    def held(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]})
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    on_workers(spark)
+    for n, size in ((20_000, 10), (60, 1 << 20)):
+        df = spark.range(n).coalesce(1).select("id", F.repeat(F.lit("x"), size).cast("binary").alias("content"))
+        got = df.mapInArrow(held, "rows long, bytes long").collect()
+        assert sum(r.rows for r in got) == n and max(r.rows for r in got) <= BATCH_ROWS and max(r.bytes for r in got) <= BATCH_BYTES + (2 << 20)
