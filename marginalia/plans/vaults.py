@@ -29,6 +29,11 @@ def vault_of(content: DataFrame) -> str:
     return root
 
 
+def old_of(root: str) -> str:
+    """Where the files go that a query replaces in its vault: beside it, to be deleted with it."""
+    return f"{root}.old"
+
+
 def q_vault_read_back(spark, sf_dir):
     """Files written, listed in rounds, read in bins of equal bytes."""
     root = vault_of(notes(spark, sf_dir))
@@ -62,7 +67,7 @@ def q_vault_headers_set(spark, sf_dir):
     root = vault_of(_raw(spark, sf_dir))
     own = listing.vault_notes(spark, root)
     new = own.select("path", fm.set_key_bytes(F.col("content"), "status", "draft").alias("r"), "mode").select("path", "r.content", "mode")
-    sink.write_back(new, root)
+    sink.write_back(new, root, old_of(root))
     return listing.vault_notes(spark, root).select("path", F.md5("content").alias("content_md5"))
 
 
@@ -71,7 +76,7 @@ def q_vault_headers_deleted(spark, sf_dir):
     root = vault_of(_raw(spark, sf_dir))
     own = listing.vault_notes(spark, root)
     new = own.select("path", fm.delete_key_bytes(F.col("content"), "lang").alias("r"), "mode").select("path", "r.content", "mode")
-    sink.write_back(new, root)
+    sink.write_back(new, root, old_of(root))
     return listing.vault_notes(spark, root).select("path", F.md5("content").alias("content_md5"))
 
 

@@ -5,6 +5,10 @@ stage it; the commit is the renaming of one small file; then the staged files ar
 again. Until the commit nothing is changed, and :func:`recover` takes the staged files away; after it nothing can be
 lost, and :func:`recover` finishes what a crash left. All steps may be repeated. Single files are
 written beside their place and renamed onto it.
+
+What a transaction replaces or removes is freed file by file, which a disk mounted with ``discard`` does one after the
+other, however many tasks ask for it. With a ``keep`` folder (on the same disk) the old files stay there instead,
+for vaults that are deleted as a whole later on.
 """
 
 from __future__ import annotations
@@ -70,7 +74,7 @@ class VaultWriter(DataSourceWriter):
 
     def __init__(self, options: dict):
         self.root, self.txn = options["path"], options.get("transaction") or uuid.uuid4().hex
-        self.finish = options.get("finish", "true").lower() != "false"
+        self.finish, self.keep = options.get("finish", "true").lower() != "false", options.get("keep")
         self.folder = os.path.join(self.root, FOLDER + self.txn)
 
     def begin(self) -> VaultWriter:
@@ -79,7 +83,7 @@ class VaultWriter(DataSourceWriter):
         return self
 
     def write(self, iterator):
-        part, n = f"{uuid.uuid4().hex}.log", 0
+        part, n, made = f"{uuid.uuid4().hex}.log", 0, set()
         with open(os.path.join(self.folder, part), "w", encoding="utf-8") as log:
             for row in iterator:
                 r = row.asDict()
@@ -90,7 +94,9 @@ class VaultWriter(DataSourceWriter):
                     entry |= {"from": source, "inode": os.lstat(source).st_ino}
                 log.write(json.dumps(entry) + "\n")
                 log.flush()
-                os.makedirs(os.path.dirname(path), exist_ok=True)
+                if (at := os.path.dirname(path)) not in made:
+                    os.makedirs(at, exist_ok=True)
+                    made.add(at)
                 content = r["content"].encode() if isinstance(r["content"], str) else r["content"]
                 _stage(entry["staged"], content, r.get("mode"), source)
                 if not os.path.isdir(self.folder):
@@ -104,7 +110,7 @@ class VaultWriter(DataSourceWriter):
         own = [m for m in messages if m is not None]
         tmp = os.path.join(self.folder, ".commit")
         with open(tmp, "w", encoding="utf-8") as f:
-            json.dump({"parts": [m.part for m in own], "n": sum(m.n for m in own)}, f)
+            json.dump({"parts": [m.part for m in own], "n": sum(m.n for m in own), "keep": self.keep}, f)
             f.flush()
             os.fsync(f.fileno())
         os.replace(tmp, os.path.join(self.folder, COMMITTED))
@@ -122,11 +128,21 @@ def _entries(folder: str, part: str):
                 yield json.loads(line)
 
 
+def _kept(keep: str, e: dict) -> str:
+    """A second name for what an entry replaces or removes: of each entry one name for each step."""
+    return os.path.join(keep, os.path.basename(e["staged"]).strip(".").removesuffix(".new"))
+
+
 def put_part(folder: str, part: str) -> int:
     """Rename a part's staged files onto their places; done ones are passed over."""
-    n = 0
+    n, keep = 0, _keep(folder)
     for e in _entries(folder, part):
         if os.path.lexists(e["staged"]):
+            if keep:
+                try:
+                    os.link(e["to"], _kept(keep, e), follow_symlinks=False)
+                except (FileNotFoundError, FileExistsError):
+                    pass  # nothing is there, or it was linked before
             os.replace(e["staged"], e["to"])
             if os.path.lexists(e["staged"]):  # two names of one file stay as they are
                 os.unlink(e["staged"])
@@ -136,10 +152,14 @@ def put_part(folder: str, part: str) -> int:
 
 def drop_part(folder: str, part: str) -> None:
     """After all parts are put: remove what was moved away, unless its place was taken."""
+    keep = _keep(folder)
     for e in _entries(folder, part):
         try:
             if "from" in e and os.lstat(e["from"]).st_ino == e["inode"]:
-                os.unlink(e["from"])
+                if keep:
+                    os.replace(e["from"], _kept(keep, e) + ".from")
+                else:
+                    os.unlink(e["from"])
         except FileNotFoundError:
             pass
 
@@ -152,6 +172,12 @@ def _committed(folder: str) -> dict | None:
         return None
 
 
+def _keep(folder: str) -> str | None:
+    if keep := (_committed(folder) or {}).get("keep"):
+        os.makedirs(keep, exist_ok=True)
+    return keep
+
+
 def _discard_uncommitted(folder: str, keep: set[str]) -> None:
     for part in os.listdir(folder):
         if part.endswith(".log") and part not in keep:
@@ -214,9 +240,10 @@ def _by_tasks(spark: SparkSession, root: str, txn: str):
     return each
 
 
-def write_back(notes: DataFrame, root: str) -> int:
+def write_back(notes: DataFrame, root: str, keep: str | None = None) -> int:
     """Write (path, content, and if there are such columns mode, moved_from) into the folder ``root``, which all
-    workers must see, as one transaction; the number of files written."""
+    workers must see, as one transaction; the number of files written. What is replaced or removed
+    goes to the folder ``keep``, if there is one."""
     from .vault import register
 
     spark = notes.sparkSession
@@ -225,5 +252,6 @@ def write_back(notes: DataFrame, root: str) -> int:
     txn = uuid.uuid4().hex
     cols = [F.col("path"), F.col("content").cast("binary").alias("content")]
     cols += [F.col(c).cast(t).alias(c) for c, t in (("mode", "int"), ("moved_from", "string")) if c in notes.columns]
-    notes.select(*cols).write.format("vault").mode("append").option("transaction", txn).option("finish", "false").save(root)
+    to = notes.select(*cols).write.format("vault").mode("append").option("transaction", txn).option("finish", "false")
+    (to.option("keep", keep) if keep else to).save(root)
     return roll_forward(root, txn, _by_tasks(spark, root, txn))

@@ -273,3 +273,42 @@ def test_python_holds_few_notes_at_once(spark):
         df = spark.range(n).coalesce(1).select("id", F.repeat(F.lit("x"), size).cast("binary").alias("content"))
         got = df.mapInArrow(held, "rows long, bytes long").collect()
         assert sum(r.rows for r in got) == n and max(r.rows for r in got) <= BATCH_ROWS and max(r.bytes for r in got) <= BATCH_BYTES + (2 << 20)
+
+
+def test_replaced_files_are_kept_and_not_freed(spark, tmp_path):
+    root, old = make(tmp_path / "v", {"a.md": b"a", "b.md": b"b", "c.md": b"c", "d.md": b"d"}), str(tmp_path / "old")
+    inodes = {os.lstat(f"{root}/{n}").st_ino for n in ("a.md", "c.md")}
+    rows = [("a.md", bytearray(b"A"), None, None), ("new/c.md", bytearray(b"C"), None, "c.md"), ("e.md", bytearray(b"E"), None, None), ("f.md", None, None, "d.md")]
+    assert sink.write_back(spark.createDataFrame(rows, CHANGE), root, old) == 4
+    assert tree(root) == {"a.md": b"A", "b.md": b"b", "new/c.md": b"C", "e.md": b"E", "f.md": b"d"}
+    assert sorted(tree(old).values()) == [b"a", b"c", b"d"] and inodes <= {os.lstat(f"{old}/{n}").st_ino for n in os.listdir(old)}
+    # a crash after the commit: what is kept is kept once, however often a part is put
+    w = sink.VaultWriter({"path": root, "transaction": "k", "finish": "false", "keep": str(tmp_path / "older")}).begin()
+    m = w.write(iter(spark.createDataFrame([("a.md", bytearray(b"AA"), None, None), ("g.md", bytearray(b"G"), None, "b.md")], CHANGE).collect()))
+    w.commit([m])
+    sink.put_part(w.folder, m.part)
+    assert sink.recover(root) == {"k": 2} and tree(root) == {"a.md": b"AA", "g.md": b"G", "new/c.md": b"C", "e.md": b"E", "f.md": b"d"}
+    assert sorted(tree(tmp_path / "older").values()) == [b"A", b"b"]
+
+
+def test_plain_headers_are_read_and_written_by_libyaml_alike():
+    yaml = pytest.importorskip("yaml")
+    if not yaml.__with_libyaml__:
+        pytest.skip("no libyaml")
+    assert fm._quick("SafeLoader", True) is yaml.CSafeLoader and fm._quick("SafeDumper", False) is yaml.SafeDumper
+    values = "true yes No null 1 0x1F 1_000 1e3 1.5 2020-01-01 2020-13-45 12 a y on doc_1 a-b a/b.c 0b1 017 _ nan 1-2 9e9 1.0.0".split() + ["a" * 40, "[1, 2]", "'q'", "a # c", "a: b", "x" * 100, "\xe9", "\U0001f600", "- a", "a b " * 40]
+    for key in ("title", "y", "null", "a", "x" * 30, "x" * 200, "1", "a b"):
+        for value in values:
+            text = f"lang: en\n{key}: {value}\n"
+            try:
+                want = yaml.safe_load(text)
+            except (yaml.YAMLError, ValueError):
+                want = fm.BAD_YAML
+            try:
+                got = fm.load(text)
+            except ValueError as e:
+                got = str(e)
+            assert repr(got) == repr(want), text
+            for v in (value, None, True, 7, [value], want.get(key) if isinstance(want, dict) else 1):
+                d = {key: v, "lang": "en"}
+                assert fm.dump(d) == yaml.safe_dump(d, sort_keys=True, allow_unicode=True, default_flow_style=False)
