@@ -13,6 +13,7 @@ texts in an equi-join. Contents are bytes throughout, so what is not UTF-8 stays
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import add_md, basename, is_rewritable, remove_md, slashes
+from ..scratch import written
 from ..session import on_workers
 
 #: Link texts that are broadcast: at most about 40 MB.
@@ -93,7 +95,9 @@ def _broadcast_form(notes: DataFrame, texts: DataFrame, lengths: dict) -> DataFr
     return notes.mapInArrow(run, _with_new(notes))
 
 
-def _join_form(notes: DataFrame, texts: DataFrame, lengths: dict) -> DataFrame:
+def _join_form(notes: DataFrame, texts: DataFrame, lengths: dict, with_hits=None) -> DataFrame:
+    """``with_hits`` gives the notes with the hits of each (path, __hits): by default a join, which shuffles contents."""
+
     def search(batches):
         for b in batches:
             rows = []
@@ -119,7 +123,8 @@ def _join_form(notes: DataFrame, texts: DataFrame, lengths: dict) -> DataFrame:
     links = notes.select("path", "content").mapInArrow(search, "path string, y long, n long, kind string, key string")
     hits = links.join(texts, ["kind", "key"]).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("y", (-F.col("n")).alias("m"), "new"))).alias("__hits"))
     schema = _with_new(notes)  # a join by name puts its key first
-    return notes.join(hits, "path", "left").select(*notes.columns, "__hits").mapInArrow(splice, schema)
+    own = with_hits(hits) if with_hits else notes.join(hits, "path", "left")
+    return own.select(*notes.columns, "__hits").mapInArrow(splice, schema)
 
 
 def _with_new(notes: DataFrame) -> T.StructType:
@@ -144,6 +149,22 @@ def rewritten_all(notes: DataFrame, moves: DataFrame) -> DataFrame:
     return out.withColumn("content", F.col("__new").cast(kind)).select(*notes.columns)
 
 
+def changes(files: DataFrame, moves: DataFrame, read: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``moves`` make of ``files`` (without contents), for a sink: (path, content, moved_from), a row for each file,
+    without content where no link changes. ``read`` adds the contents to a table of files and keeps its other columns:
+    links are spliced where contents are read, so no shuffle has contents, and the tasks that read also write."""
+    on_workers(files.sparkSession)
+    to = new_paths(files.withColumn("__from", F.col("path")), moves).withColumnRenamed("path", "__to").withColumnRenamed("__from", "path")
+    to, texts = written(to.select(*files.columns, "__to"), "to"), written(link_texts(moves), "texts")
+    lengths, own = odd_lengths(texts), read(to)
+    if texts.count() <= MOST:
+        out = _broadcast_form(own, texts, lengths)
+    else:
+        out = _join_form(own, texts, lengths, lambda hits: read(written(to.join(hits, "path", "left"), "hits")))
+    new = F.when(is_rewritable(F.col("path")) & ~F.col("__new").eqNullSafe(F.col("content")), F.col("__new"))
+    return out.select(F.col("__to").alias("path"), new.alias("content"), F.col("path").alias("moved_from"))
+
+
 def new_paths(notes: DataFrame, moves: DataFrame) -> DataFrame:
     """``notes`` under their paths after the moves; of several moves of one note the smallest new name counts."""
     file = moves.where("old is not null and new is not null").select(add_md(slashes(F.col("old"))).alias("path"), add_md(slashes(F.col("new"))).alias("__to"))

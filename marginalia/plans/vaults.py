@@ -44,10 +44,8 @@ def q_vault_moved_back(spark, sf_dir):
     """Swaps and moves of most notes as one transaction on files, read back."""
     root = vault_of(notes(spark, sf_dir))
     files = listing.list_vault(spark, root)
-    own = listing.with_content(files, root)
-    to = moves.new_paths(files.select("path", F.col("path").alias("moved_from")), _moves(spark, sf_dir))
-    changed = moves.rewritten_all(own, _moves(spark, sf_dir)).select(F.col("path").alias("moved_from"), "content")
-    sink.write_back(to.join(changed, "moved_from", "left").select("path", "content", "moved_from"), root)
+    new = moves.changes(files, _moves(spark, sf_dir), lambda f: listing.with_content(f, root))
+    sink.write_back(new, root, old_of(root))
     return listing.vault_notes(spark, root).select("path", F.md5("content").alias("content_md5"))
 
 

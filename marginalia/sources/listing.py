@@ -17,12 +17,13 @@ from collections import deque
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.paths import walk_key
 from ..model import NOTE, NOTE_INFO
 from ..operators.ranks import placed
 from ..scratch import written
-from ..session import BATCH_BYTES, BATCH_ROWS, on_workers
+from ..session import BATCH_BYTES, on_workers
 from .vault import content_of, looked_at
 
 #: Entries that a task looks at in a round, and bytes that a task reads; an opened file counts as some bytes more.
@@ -114,33 +115,31 @@ def list_vault(spark: SparkSession, root: str, bound: int = BOUND) -> DataFrame:
 
 
 def with_content(files: DataFrame, root: str, largest: int | None = None, batch: int = BATCH) -> DataFrame:
-    """``files`` (of :func:`list_vault`) with their contents, in bins of about ``batch`` bytes. A file of more than
-    ``largest`` bytes is not opened and has no content."""
+    """``files`` (of :func:`list_vault`, other columns stay) with their contents, in bins of about ``batch`` bytes. A file
+    of more than ``largest`` bytes is not opened and has no content."""
     spark = files.sparkSession
     cost = F.lit(OPEN) + (F.col("size") if largest is None else F.when(F.col("size") <= largest, F.col("size")).otherwise(0))
     total = files.agg(F.sum(cost)).first()[0] or 0
     batch = max(1, min(batch, max(1 << 20, total // (3 * spark.sparkContext.defaultParallelism))))
     bins = placed(files, [walk_key(F.col("path"))], cost).withColumn("__bin", F.expr(f"cast(before div {batch} as int)"))
 
-    def run(batches):
-        def batch_of(rows):
-            cols = zip(*rows) if rows else [()] * 5
-            types = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=NOTE.names)
+    more = [f for f in files.schema if f.name not in NOTE.names]
 
-        rows, held = [], 0
+    def run(batches):
+        n = len(NOTE_INFO)
         for b in batches:
-            for path, size, time, mode in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in NOTE_INFO.names)):
-                content = content_of(os.path.join(root, path)) if largest is None or size <= largest else None
-                rows.append((path, size, time, mode, content))
-                held += len(content or b"")
-                if held > BATCH_BYTES or len(rows) == BATCH_ROWS:
-                    yield batch_of(rows)
-                    rows, held = [], 0
-        yield batch_of(rows)
-
-    own = bins.repartitionById(int(total // batch) + 1, F.col("__bin")).select(*NOTE_INFO.names)
-    return own.mapInArrow(run, NOTE)
+            contents, held, at = [], 0, 0
+            for i, (path, size) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                contents.append(content_of(os.path.join(root, path)) if largest is None or size <= largest else None)
+                held += len(contents[-1] or b"")
+                if held > BATCH_BYTES or i + 1 == b.num_rows:
+                    own = b.slice(at, i + 1 - at)
+                    cols = [*own.columns[:n], pa.array(contents, pa.binary()), *own.columns[n:]]
+                    yield pa.RecordBatch.from_arrays(cols, names=[*NOTE.names, *own.schema.names[n:]])
+                    contents, held, at = [], 0, i + 1
+
+    own = bins.repartitionById(int(total // batch) + 1, F.col("__bin")).select(*NOTE_INFO.names, *[f.name for f in more])
+    return own.mapInArrow(run, T.StructType([*NOTE.fields, *more]))
 
 
 def vault_notes(spark: SparkSession, root: str, content: bool = True, largest: int | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from marginalia.cli import main
 from marginalia.functions import frontmatter as fm
 from marginalia.functions.paths import PathError
 from marginalia.session import BATCH_BYTES, BATCH_ROWS, on_workers
+from marginalia.operators import moves as many
 from marginalia.sources import listing, sink, vault as source
 
 CHANGE = "path string, content binary, mode int, moved_from string"
@@ -312,3 +313,16 @@ def test_plain_headers_are_read_and_written_by_libyaml_alike():
             for v in (value, None, True, 7, [value], want.get(key) if isinstance(want, dict) else 1):
                 d = {key: v, "lang": "en"}
                 assert fm.dump(d) == yaml.safe_dump(d, sort_keys=True, allow_unicode=True, default_flow_style=False)
+
+
+@pytest.mark.parametrize("most", [10, 0])
+def test_moves_are_made_where_files_are_read(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(many, "MOST", most)
+    root = make(tmp_path / "v", {f"d{i % 3}/n{i}.md": f"[[n{(i + 1) % 600}]] \xe9 [x](d0/n0.md)".encode("latin-1") for i in range(600)} | {"d0/.h.md": b"[[n0]]", "p.md": b"plain", "e.md": b""})
+    moves = spark.createDataFrame([("d0/n0", "d1/n1"), ("d1/n1", "d0/n0"), ("p", "q/p")], "old string, new string")
+    files = listing.list_vault(spark, root)
+    want = {r.path: bytes(r.content) for r in many.moved_all(listing.with_content(files, root), moves).collect()}
+    got = many.changes(files, moves, lambda f: listing.with_content(f, root, batch=1 << 20))
+    rows = got.withColumn("task", F.spark_partition_id()).collect()
+    assert len(rows) == 603 and len({r.task for r in rows}) > 4 and {r.moved_from for r in rows if r.content is None} == {"d0/.h.md", "p.md", "e.md"}
+    assert sink.write_back(got, root, str(tmp_path / "old")) == 603 and tree(root) == want
