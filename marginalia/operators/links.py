@@ -138,11 +138,12 @@ def link_lines(notes: DataFrame, lengths: dict[str, Column]) -> DataFrame:
     return rows.select("src_path", "mtime_ns", (F.col("__pos") + 1).alias("line_number"), "line", F.inline(F.concat(texts("wiki"), texts("md"))))
 
 
-def all_backlinks(notes: DataFrame) -> DataFrame:
+def all_backlinks(notes: DataFrame, named: DataFrame | None = None) -> DataFrame:
     """Backlinks of every note at once, whatever its name: (target_path, file_path, line_number, match_line,
     mtime_ns). The texts of links are cut out of the lines and meet the notes' names in an equi-join,
-    instead of testing each pattern on each line; only the lengths of odd names go to all tasks."""
-    keys = link_keys(notes)
+    instead of testing each pattern on each line; only the lengths of odd names go to all tasks. The names are looked at
+    three times: ``named`` gives their paths where ``notes`` would open every file each time."""
+    keys = link_keys(notes if named is None else named)
     odd = keys.where(F.col("key").rlike(ODD))
     length = lambda kind: odd.where(F.col("kind") == kind).agg(F.collect_set(F.char_length("key")))
     found = link_lines(notes, {kind: length(kind).scalar() for kind in ("wiki", "md")})

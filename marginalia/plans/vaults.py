@@ -96,7 +96,8 @@ def q_vault_search_sizes(spark, sf_dir):
 def q_vault_backlinks_sizes(spark, sf_dir):
     """Links are looked for in contents up to and at the bound, and not above."""
     root = _sized(spark, sf_dir)
-    found = links.all_backlinks(text_notes(listing.vault_notes(spark, root, largest=BACKLINK_CAP)))
+    files = listing.list_vault(spark, root)
+    found = links.all_backlinks(text_notes(listing.with_content(files, root, BACKLINK_CAP)), files)
     return found.select("target_path", "file_path", F.col("line_number").cast("long").alias("line_number"))
 
 

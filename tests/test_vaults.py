@@ -13,7 +13,8 @@ from marginalia.cli import main
 from marginalia.functions import frontmatter as fm
 from marginalia.functions.paths import PathError
 from marginalia.session import BATCH_BYTES, BATCH_ROWS, on_workers
-from marginalia.operators import moves as many
+from marginalia.operators import links, moves as many
+from marginalia.model import text_notes
 from marginalia.sources import listing, sink, vault as source
 
 CHANGE = "path string, content binary, mode int, moved_from string"
@@ -326,3 +327,17 @@ def test_moves_are_made_where_files_are_read(spark, tmp_path, monkeypatch, most)
     rows = got.withColumn("task", F.spark_partition_id()).collect()
     assert len(rows) == 603 and len({r.task for r in rows}) > 4 and {r.moved_from for r in rows if r.content is None} == {"d0/.h.md", "p.md", "e.md"}
     assert sink.write_back(got, root, str(tmp_path / "old")) == 603 and tree(root) == want
+
+
+def test_names_for_backlinks_come_from_the_listing(spark, tmp_path):
+    root = make(tmp_path / "v", {f"n{i}.md": f"[[n{(i + 1) % 40}]] [[o]]".encode() for i in range(40)} | {"o.md": b""})
+    files, reads = listing.list_vault(spark, root), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    notes = listing.with_content(files, root)
+    found = links.all_backlinks(text_notes(notes.mapInArrow(counted, notes.schema)), files)
+    assert len(found.collect()) == 80 and reads.value == 41
