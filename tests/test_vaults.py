@@ -341,3 +341,17 @@ def test_names_for_backlinks_come_from_the_listing(spark, tmp_path):
     notes = listing.with_content(files, root)
     found = links.all_backlinks(text_notes(notes.mapInArrow(counted, notes.schema)), files)
     assert len(found.collect()) == 80 and reads.value == 41
+
+
+def test_large_files_pass_the_writer_one_by_one(spark, tmp_path):
+    root = str(tmp_path / "v")
+    os.makedirs(root)
+    big = spark.range(40).coalesce(1).select(F.format_string("d/%d.md", "id").alias("path"), F.repeat(F.lit("x"), 5 << 20).alias("content"))
+
+    def peak(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    on_workers(spark)
+    assert max(r.n for r in big.select(F.col("content").cast("binary")).mapInArrow(peak, "n long").collect()) == 1
+    assert sink.write_back(big, root) == 40 and {len(c) for c in tree(root).values()} == {5 << 20}
