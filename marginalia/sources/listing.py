@@ -125,18 +125,25 @@ def with_content(files: DataFrame, root: str, largest: int | None = None, batch:
 
     more = [f for f in files.schema if f.name not in NOTE.names]
 
+    def packed(b, at, contents):
+        """The rows of ``b`` from ``at`` on that have these contents. Nothing else keeps them: the next file is large too."""
+        own, n = b.slice(at, len(contents)), len(NOTE_INFO)
+        cols = [*own.columns[:n], pa.array(contents, pa.binary()), *own.columns[n:]]
+        contents.clear()
+        return pa.RecordBatch.from_arrays(cols, names=[*NOTE.names, *own.schema.names[n:]])
+
     def run(batches):
-        n = len(NOTE_INFO)
         for b in batches:
             contents, held, at = [], 0, 0
             for i, (path, size) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-                contents.append(content_of(os.path.join(root, path)) if largest is None or size <= largest else None)
+                opened = largest is None or size <= largest
+                if contents and opened and held + size > BATCH_BYTES:
+                    yield packed(b, at, contents)
+                    held, at = 0, i
+                contents.append(content_of(os.path.join(root, path)) if opened else None)
                 held += len(contents[-1] or b"")
-                if held > BATCH_BYTES or i + 1 == b.num_rows:
-                    own = b.slice(at, i + 1 - at)
-                    cols = [*own.columns[:n], pa.array(contents, pa.binary()), *own.columns[n:]]
-                    yield pa.RecordBatch.from_arrays(cols, names=[*NOTE.names, *own.schema.names[n:]])
-                    contents, held, at = [], 0, i + 1
+            if contents:
+                yield packed(b, at, contents)
 
     own = bins.repartitionById(int(total // batch) + 1, F.col("__bin")).select(*NOTE_INFO.names, *[f.name for f in more])
     return own.mapInArrow(run, T.StructType([*NOTE.fields, *more]))

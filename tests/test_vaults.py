@@ -355,3 +355,26 @@ def test_large_files_pass_the_writer_one_by_one(spark, tmp_path):
     on_workers(spark)
     assert max(r.n for r in big.select(F.col("content").cast("binary")).mapInArrow(peak, "n long").collect()) == 1
     assert sink.write_back(big, root) == 40 and {len(c) for c in tree(root).values()} == {5 << 20}
+
+
+def test_a_large_file_is_read_when_nothing_else_is_held(spark, tmp_path, monkeypatch):
+    big = 6 << 20
+    root = make(tmp_path / "v", {f"a{i:02}.md": b"x" * (big if i % 4 == 3 else 1 << 20) for i in range(16)} | {"b.md": b"", "c.md": b"y" * (big + 1)})
+    files, made = listing.list_vault(spark, root), []
+    monkeypatch.setattr(type(files), "mapInArrow", lambda self, f, schema: made.append((f, schema)) or self)
+    bins = listing.with_content(files, root, big)
+    [(run, schema)] = made
+    info = bins.coalesce(1).orderBy("path").toArrow().combine_chunks().to_batches()
+    before, at_read, got = pa.total_allocated_bytes(), [], {}
+
+    def read(path):
+        at_read.append(pa.total_allocated_bytes() - before)
+        return source.content_of(path)
+
+    monkeypatch.setattr(listing, "content_of", read)
+    out = run(iter(info))
+    while (b := next(out, None)) is not None:
+        assert b.schema.names == schema.names and (b.num_rows == 1 or sum(len(c.as_py() or b"") for c in b.column("content")) <= BATCH_BYTES)
+        got |= dict(zip(b.column("path").to_pylist(), b.column("content").to_pylist()))
+        del b
+    assert got == {k: None if k == "c.md" else v for k, v in tree(root).items()} and len(at_read) == 17 and max(at_read) < 1 << 20
